@@ -27,22 +27,26 @@ def _by_language(js: Column, py: Column, dt: Column, go: Column) -> Column:
     )
 
 
-def _with_code(files: DataFrame) -> DataFrame:
+def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     content = F.col("content")
     return files.select(
         "project",
         "path",
+        *keep,
         "language",
         F.when(F.col("language") == "Go", golang.code(content)).otherwise(content).alias("code"),
     )
 
 
-def file_nodes(files: DataFrame) -> DataFrame:
-    """One nested row per file: functions, imports, exports, api_routes, types."""
+def file_nodes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One nested row per file: functions, imports, exports, api_routes, types.
+
+    Columns named in ``keep`` are carried along."""
     code = F.col("code")
-    found = _with_code(files).select(
+    found = _with_code(files, keep).select(
         "project",
         "path",
+        *keep,
         "language",
         "code",
         _by_language(
@@ -68,6 +72,7 @@ def file_nodes(files: DataFrame) -> DataFrame:
     return found.select(
         "project",
         "path",
+        *keep,
         "language",
         "functions",
         "imports",

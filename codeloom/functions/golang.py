@@ -135,16 +135,13 @@ def group_types(params: Column) -> Column:
     def is_named(p: Column) -> Column:
         return p.rlike(named) & ~p.rlike(r"^(?:chan|func|map|struct|interface) ")
 
-    def types(ps: Column) -> Column:
-        return F.when(
-            F.exists(ps, is_named),
-            F.transform(
-                F.filter(ps, is_named),
-                lambda p: type_text(F.regexp_replace(p, F.lit(named), F.lit(""))),
-            ),
-        ).otherwise(F.transform(ps, type_text))
+    def texts(ps: Column) -> Column:
+        bare = F.transform(
+            F.filter(ps, is_named), lambda p: F.regexp_replace(p, F.lit(named), F.lit(""))
+        )
+        return F.when(F.size(bare) > 0, bare).otherwise(ps)
 
-    return let(pieces, types)
+    return F.transform(let(pieces, texts), type_text)
 
 
 def imports(bare: Column) -> Column:
@@ -161,22 +158,29 @@ def imports(bare: Column) -> Column:
 
 def functions(bare: Column) -> Column:
     def build(h: Column) -> Column:
-        name = group(h, _FUNC, 2)
-        receiver = group(h, _FUNC, 1)
-        single = F.btrim(group(h, _FUNC, 5), F.lit("\t\n\f\r "))
-        returns = F.when(single != "", F.array(type_text(single))).otherwise(
-            group_types(group(h, _FUNC, 4))
+        # receiver, parameters, result list, single result: parsed by one expression
+        lists = F.transform(
+            F.array(*[group(h, _FUNC, i) for i in (1, 3, 4)]), group_types
         )
+        single = F.transform(F.array(group(h, _FUNC, 5)), group_types)
+        return F.struct(
+            h["line"].alias("line"),
+            group(h, _FUNC, 2).alias("name"),
+            F.concat(lists, single).alias("lists"),
+        )
+
+    def finish(f: Column) -> Column:
+        lists = f["lists"]
         return sym.function(
-            name,
-            h["line"],
-            exported(name),
-            receiver=F.when(receiver != "", F.element_at(group_types(receiver), 1)),
-            parameters=group_types(group(h, _FUNC, 3)),
-            returns=returns,
+            f["name"],
+            f["line"],
+            exported(f["name"]),
+            receiver=F.get(lists[0], F.lit(0)),
+            parameters=lists[1],
+            returns=F.concat(lists[2], lists[3]),
         )
 
-    return F.transform(hits(bare, _FUNC, ("func",)), build)
+    return F.transform(F.transform(hits(bare, _FUNC, ("func",)), build), finish)
 
 
 def types(flat: Column) -> Column:

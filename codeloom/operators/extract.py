@@ -7,6 +7,7 @@ once, no row leaves its partition, and a file's cost depends on that file only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +39,12 @@ def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     )
 
 
-def file_nodes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One nested row per file: functions, imports, exports, api_routes, types.
-
-    Columns named in ``keep`` are carried along."""
-    code = F.col("code")
-    found = _with_code(files, keep).select(
-        "project",
-        "path",
-        *keep,
-        "language",
-        "code",
+@lru_cache(maxsize=4)
+def _symbol_columns(application: str) -> tuple[list[Column], Column]:
+    """The extraction expressions; building them takes thousands of calls into
+    the JVM, so each application builds them once."""
+    code, functions, types = F.col("code"), F.col("functions"), F.col("types")
+    found = [
         _by_language(
             javascript.functions(code),
             python.functions(code),
@@ -67,23 +63,26 @@ def file_nodes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             dart.types(code),
             golang.types(golang.ungrouped(code)),
         ).alias("types"),
+    ]
+    exports = _by_language(
+        javascript.exports(code),
+        python.exports(code, functions, types),
+        dart.exports(code, functions, types),
+        golang.exports(functions, types),
     )
-    functions, types = F.col("functions"), F.col("types")
-    return found.select(
-        "project",
-        "path",
-        *keep,
-        "language",
-        "functions",
-        "imports",
-        _by_language(
-            javascript.exports(code),
-            python.exports(code, functions, types),
-            dart.exports(code, functions, types),
-            golang.exports(functions, types),
-        ).alias("exports"),
-        "api_routes",
-        "types",
+    return found, exports.alias("exports")
+
+
+def file_nodes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One nested row per file: functions, imports, exports, api_routes, types.
+
+    Columns named in ``keep`` are carried along."""
+    found, exports = _symbol_columns(files.sparkSession.sparkContext.applicationId)
+    base = ["project", "path", *keep, "language"]
+    return (
+        _with_code(files, keep)
+        .select(*base, "code", *found)
+        .select(*base, "functions", "imports", exports, "api_routes", "types")
     )
 
 

@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "codelo
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call sites of columns are not needed, and cost a round trip per call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

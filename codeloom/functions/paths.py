@@ -21,20 +21,16 @@ def dirname(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1))
+    name = basename(path)
+    return F.when(
+        name.contains("."), F.lower(F.concat(F.lit("."), F.substring_index(name, ".", -1)))
+    ).otherwise("")
 
 
 def language(path: Column) -> Column:
     """Language of a file by its extension; null where no extractor takes it."""
-    ext = extension(path)
-    by_language: dict[str, list[str]] = {}
-    for suffix, name in P.LANGUAGE_BY_EXTENSION.items():
-        by_language.setdefault(name, []).append(suffix)
-    chosen = None
-    for name, suffixes in by_language.items():
-        cond = ext.isin(*suffixes)
-        chosen = F.when(cond, name) if chosen is None else chosen.when(cond, name)
-    return chosen
+    pairs = [F.lit(text) for pair in P.LANGUAGE_BY_EXTENSION.items() for text in pair]
+    return F.try_element_at(F.create_map(*pairs), extension(path))
 
 
 def join_clean(directory: Column, relative: Column) -> Column:

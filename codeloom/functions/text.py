@@ -76,11 +76,8 @@ def hits(
         texts = F.transform(
             F.slice(F.split(m, _OPEN), 2, _ALL), lambda s: F.substring_index(s, _CLOSE, 1)
         )
-        return F.zip_with(
-            F.flatten(numbered),
-            texts,
-            element,
-        )
+        found = F.zip_with(F.flatten(numbered), texts, element)
+        return F.when(m.contains(_OPEN), found).otherwise(F.slice(found, 1, 0))
 
     return let(marked, read, when=contains_any(content, needles))
 

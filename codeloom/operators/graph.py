@@ -133,6 +133,10 @@ def package_index(nodes: DataFrame, include_root_dir: bool = False) -> DataFrame
     )
 
 
+def _slashes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+
+
 def resolve_package(
     imports: DataFrame, nodes: DataFrame, include_root_dir: bool = False, **probe: int
 ) -> DataFrame:
@@ -140,34 +144,39 @@ def resolve_package(
 
     A directory fits when its last name ends the import or its whole path occurs
     in it. Comparing imports with directories would pair everything within a
-    project; instead every part of an import as long as some key is looked up by
-    equality. Where several fit: by last name first, then the longest directory,
-    then the smallest path.
+    project; instead the parts of an import that have the shape of some key are
+    looked up by equality. Where several fit: by last name first, then the
+    longest directory, then the smallest path.
     """
     index = stage(package_index(nodes, include_root_dir), "package-index")
-    # bounded by the longest path, whatever the number of rows
-    lengths = index.select(F.collect_set(F.length("key")).alias("lengths"))
-    text = F.col("import")
-    distinct = imports.select("project", "import").distinct()
+    # shapes are bounded by the longest path, whatever the number of rows
+    shape = F.struct("rule", F.length("key").alias("size"), _slashes(F.col("key")).alias("slashes"))
+    shapes = index.select(F.collect_set(shape).alias("shapes"))
+    text, size = F.col("import"), F.col("size")
+    last = F.length(text) - size + 1
     parts = (
-        distinct.withColumn("lengths", lengths.scalar())
-        .withColumn("size", F.explode("lengths"))
-        .filter(F.col("size") <= F.length(text))
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("size") + 1)))
-        .select(
-            "project",
-            "import",
-            F.substr(text, F.col("start"), F.col("size")).alias("key"),
+        imports.select("project", "import")
+        .distinct()
+        .withColumn("shapes", shapes.scalar())
+        .select("project", "import", F.inline("shapes"))
+        .filter((size <= F.length(text)) & (F.col("slashes") <= _slashes(text)))
+        .withColumn(
             "start",
-            (F.col("start") + F.col("size") > F.length(text)).alias("at_end"),
+            F.explode(
+                F.when(F.col("rule") == 0, F.array(last)).otherwise(F.sequence(F.lit(1), last))
+            ),
         )
+        .select(
+            "project", "import", "rule", "slashes", "start",
+            F.substr(text, F.col("start"), size).alias("key"),
+        )
+        .filter(_slashes(F.col("key")) == F.col("slashes"))
+        .drop("slashes")
     )
-    found = skew.lookup(
-        parts, index, ["project", "key"], ["project", "import", "start", "key"], how="inner", **probe
-    )
+    keys = ["project", "key", "rule"]
+    found = skew.lookup(parts, index, keys, ["project", "import", "start"], how="inner", **probe)
     return (
-        found.filter((F.col("rule") == 1) | F.col("at_end"))
-        .groupBy("project", "import")
+        found.groupBy("project", "import")
         .agg(F.min(F.struct("rule", "best")).alias("pick"))
         .select("project", "import", F.col("pick.best.path").alias("to_path"))
     )

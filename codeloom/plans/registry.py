@@ -44,14 +44,14 @@ def _fact_rows(w: Workspace) -> DataFrame:
 
 
 def _merge_nodes(w: Workspace) -> DataFrame:
-    following = scan.source_files(derived.next_corpus(w.spark, w.sf_dir))
+    following = scan.source_files(w.next_corpus)
     fresh = stage(extract.file_nodes(following), "fresh-nodes")
     return _counts(incremental.merge_nodes(w.nodes, fresh))
 
 
 def _incremental_refresh(w: Workspace) -> DataFrame:
     refreshed = incremental.incremental_refresh(
-        w.nodes, w.corpus, derived.next_corpus(w.spark, w.sf_dir)
+        w.nodes, w.corpus, w.next_corpus
     )
     return _counts(refreshed)
 
@@ -60,7 +60,7 @@ def _watch_sources(w: Workspace) -> DataFrame:
     """Both revisions as file versions, the newer one first, so that every
     version of the second run arrives late."""
     spark, root = w.spark, new_stage_path(w.spark, "watch")
-    newer = derived.next_corpus(spark, w.sf_dir)
+    newer = w.next_corpus
     gone = w.corpus.select("project", "path").join(
         newer.select("project", "path"), ["project", "path"], "left_anti"
     )
@@ -205,7 +205,7 @@ QUERIES: dict[str, Query] = {
     "dependency_depth": _on(lambda w: graph.dependency_depth(w.nodes, w.edges)),
     # snapshots and streams
     "changed_files": _on(
-        lambda w: incremental.changed_files(w.corpus, derived.next_corpus(w.spark, w.sf_dir))
+        lambda w: incremental.changed_files(w.corpus, w.next_corpus)
     ),
     "merge_nodes": _on(_merge_nodes),
     "incremental_refresh": _on(_incremental_refresh),

@@ -12,8 +12,8 @@ from codeloom.sources import derived
 
 
 class Workspace:
-    """Extraction reads all the text, so its result is written once as Parquet
-    and every later job scans the few columns it needs from there."""
+    """The corpus table is derived once, and extraction reads all its text once:
+    both results are Parquet, so every later job scans the columns it needs."""
 
     _open: dict[tuple[str, str], Workspace] = {}
 
@@ -38,7 +38,11 @@ class Workspace:
 
     @property
     def corpus(self) -> DataFrame:
-        return derived.corpus(self.spark, self.sf_dir)
+        return self._once("corpus", lambda: derived.corpus(self.spark, self.sf_dir))
+
+    @property
+    def next_corpus(self) -> DataFrame:
+        return self._once("next-corpus", lambda: derived.next_corpus(self.spark, self.sf_dir))
 
     @property
     def files(self) -> DataFrame:

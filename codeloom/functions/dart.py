@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
-from codeloom.functions.text import captures, group, hits
+from codeloom.functions.text import captures, group, hits, matches
 
 
 def imports(content: Column) -> Column:
@@ -15,23 +15,20 @@ def imports(content: Column) -> Column:
 
 
 def functions(content: Column) -> Column:
-    def build(h: Column) -> Column:
-        name = group(h, P.DART_FUNCTION, 1)
-        return sym.function(name, h["line"], sym.public(name))
-
-    return F.filter(
-        F.transform(hits(content, P.DART_FUNCTION, ("(",)), build),
-        lambda f: ~f["name"].isin(*P.DART_KEYWORDS),
+    return F.transform(
+        F.filter(
+            hits(content, P.DART_FUNCTION, ("(",), 1), lambda h: ~h["g1"].isin(*P.DART_KEYWORDS)
+        ),
+        lambda h: sym.function(h["g1"], h["line"], sym.public(h["g1"])),
     )
 
 
 def types(content: Column) -> Column:
     def of(pattern: str, kind: str) -> Column:
-        def build(h: Column) -> Column:
-            name = group(h, pattern, 1)
-            return sym.type_(name, F.lit(kind), h["line"], sym.public(name))
-
-        return F.transform(hits(content, pattern, (kind,)), build)
+        return F.transform(
+            hits(content, pattern, (kind,), 1),
+            lambda h: sym.type_(h["g1"], F.lit(kind), h["line"], sym.public(h["g1"])),
+        )
 
     return F.concat(of(P.DART_CLASS, "class"), of(P.DART_ENUM, "enum"), of(P.DART_MIXIN, "mixin"))
 
@@ -46,7 +43,7 @@ def exports(content: Column, functions: Column, types: Column) -> Column:
 
 def routes(content: Column) -> Column:
     return F.transform(
-        hits(content, P.DART_ROUTE, ("'/", '"/')),
+        matches(content, P.DART_ROUTE, ("'/", '"/')),
         lambda h: sym.route(
             F.lit("GET"), group(h, P.DART_ROUTE, 1), group(h, P.DART_ROUTE, 2), h["line"]
         ),

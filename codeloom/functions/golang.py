@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
-from codeloom.functions.text import captures, group, hits, let
+from codeloom.functions.text import captures, group, let, matches
 
 _ID = r"[\p{L}_][\p{L}\p{Nd}_]*+"
 _BALANCED = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
@@ -101,8 +101,7 @@ def exported(name: Column) -> Column:
 
 def type_text(text: Column) -> Column:
     """The short form of one type expression; shapes without one are ``unknown``."""
-    flat = F.btrim(F.regexp_replace(text, F.lit(P.S + "+"), F.lit(" ")))
-    flat = F.regexp_replace(flat, F.lit(r"interface ?\{[^{}]*+\}"), F.lit("interface{}"))
+    flat = F.regexp_replace(text, F.lit(r"interface ?\{[^{}]*+\}"), F.lit("interface{}"))
     flat = F.regexp_replace(flat, F.lit(r"(?<![\p{L}\p{Nd}_])\[[^\[\]]*+\]"), F.lit("[]"))
     prefix = rf"^((?:\*|\.\.\.|\[\]|map\[(?:\*|\[\])*+{_ID}(?:\.{_ID}|\{{\}})?+\])*+)"
 
@@ -112,7 +111,10 @@ def type_text(text: Column) -> Column:
             lambda head: F.concat(head, _plain_or_unknown(F.substr(flat, F.length(head) + 1))),
         )
 
-    return F.element_at(let(flat, short), 1)
+    common = text.rlike(rf"^(?:\*|\[\]|\.\.\.)*+{_ID}(?:\.{_ID})?+\z") & ~text.rlike(
+        r"(?:func|struct|chan)\z"
+    )
+    return F.when(common, text).otherwise(F.element_at(let(flat, short), 1))
 
 
 def _plain_or_unknown(rest: Column) -> Column:
@@ -123,10 +125,10 @@ def _plain_or_unknown(rest: Column) -> Column:
 def group_types(params: Column) -> Column:
     """One type per parameter group: ``a, b int`` is one ``int``."""
     piece = r"(?:[^,()\[\]{}]++|\((?:[^()]++|\([^()]*+\))*+\)|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]|\{[^{}]*+\})++"
+    one_line = F.regexp_replace(params, F.lit(P.S + "++"), F.lit(" "))
     pieces = F.filter(
         F.transform(
-            F.regexp_extract_all(params, F.lit(piece), F.lit(0)),
-            lambda p: F.btrim(F.regexp_replace(p, F.lit(P.S + "+"), F.lit(" "))),
+            F.regexp_extract_all(one_line, F.lit(piece), F.lit(0)), lambda p: F.btrim(p)
         ),
         lambda p: p != "",
     )
@@ -141,7 +143,7 @@ def group_types(params: Column) -> Column:
         )
         return F.when(F.size(bare) > 0, bare).otherwise(ps)
 
-    return F.transform(let(pieces, texts), type_text)
+    return F.transform(let(pieces, texts, when=params != "", kind="array<string>"), type_text)
 
 
 def imports(bare: Column) -> Column:
@@ -160,13 +162,10 @@ def functions(bare: Column) -> Column:
     def build(h: Column) -> Column:
         # receiver, parameters, result list, single result: parsed by one expression
         lists = F.transform(
-            F.array(*[group(h, _FUNC, i) for i in (1, 3, 4)]), group_types
+            F.array(*[group(h, _FUNC, i) for i in (1, 3, 4, 5)]), group_types
         )
-        single = F.transform(F.array(group(h, _FUNC, 5)), group_types)
         return F.struct(
-            h["line"].alias("line"),
-            group(h, _FUNC, 2).alias("name"),
-            F.concat(lists, single).alias("lists"),
+            h["line"].alias("line"), group(h, _FUNC, 2).alias("name"), lists.alias("lists")
         )
 
     def finish(f: Column) -> Column:
@@ -180,7 +179,7 @@ def functions(bare: Column) -> Column:
             returns=F.concat(lists[2], lists[3]),
         )
 
-    return F.transform(F.transform(hits(bare, _FUNC, ("func",)), build), finish)
+    return F.transform(F.transform(matches(bare, _FUNC, ("func",)), build), finish)
 
 
 def types(flat: Column) -> Column:
@@ -202,7 +201,7 @@ def types(flat: Column) -> Column:
             name, F.when(kind == "", "alias").otherwise(kind), h["line"], exported(name), members
         )
 
-    return F.transform(hits(flat, _TYPE, ("type",)), build)
+    return F.transform(matches(flat, _TYPE, ("type",)), build)
 
 
 def exports(functions: Column, types: Column) -> Column:
@@ -222,11 +221,11 @@ def exports(functions: Column, types: Column) -> Column:
 
 def routes(bare: Column) -> Column:
     return F.transform(
-        hits(bare, _ROUTE, ("(",), tail=3),
+        matches(bare, _ROUTE, ("(",), ahead=3),
         lambda h: sym.route(
             F.upper(group(h, _ROUTE_HEAD, 1)),
             F.btrim(group(h, _ROUTE_HEAD, 2), F.lit('"')),
-            h["tail"],
+            h["ahead"],
             h["line"],
         ),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
-from codeloom.functions.text import captures, group, hits, let
+from codeloom.functions.text import captures, group, hits, matches
 
 
 def imports(content: Column) -> Column:
@@ -40,59 +40,33 @@ def exported_tokens(content: Column) -> Column:
     return F.split(tails, "[^0-9A-Za-z_]+")
 
 
-def _with_exported(content: Column, found: Column, build) -> Column:
-    """``build(hit, exported tokens)`` over ``found``, tokenising the file once
-    and only when something was found."""
-    return let(
-        found,
-        lambda hs: let(
-            exported_tokens(content),
-            lambda tokens: F.transform(hs, lambda h: build(h, tokens)),
-            when=F.size(hs) > 0,
-            kind="array<string>",
-        ),
+def functions(content: Column, tokens: Column) -> Column:
+    """Declarations, then arrow functions; ``tokens`` are :func:`exported_tokens`."""
+    found = F.concat(
+        hits(content, P.JS_FUNCTION, ("function",), 1), hits(content, P.JS_ARROW, ("=>",), 1)
     )
-
-
-def _named(content: Column, pattern: str, needle: str, tag: str) -> Column:
     return F.transform(
-        hits(content, pattern, (needle,)),
-        lambda h: F.struct(
-            h["line"].alias("line"), group(h, pattern, 1).alias("name"), F.lit(tag).alias("tag")
-        ),
+        found, lambda h: sym.function(h["g1"], h["line"], F.array_contains(tokens, h["g1"]))
     )
 
 
-def functions(content: Column) -> Column:
-    found = F.concat(
-        _named(content, P.JS_FUNCTION, "function", "declaration"),
-        _named(content, P.JS_ARROW, "=>", "arrow"),
-    )
-    return _with_exported(
-        content,
-        found,
-        lambda h, tokens: sym.function(h["name"], h["line"], F.array_contains(tokens, h["name"])),
-    )
-
+def types(content: Column, tokens: Column) -> Column:
+    def of(pattern: str, kind: str) -> Column:
+        return F.transform(
+            hits(content, pattern, (kind,), 1),
+            lambda h: sym.type_(
+                h["g1"], F.lit(kind), h["line"], F.array_contains(tokens, h["g1"])
+            ),
+        )
 
-def types(content: Column) -> Column:
-    found = F.concat(
-        _named(content, P.JS_CLASS, "class", "class"),
-        _named(content, P.JS_INTERFACE, "interface", "interface"),
-        _named(content, P.JS_TYPE, "type", "type"),
-    )
-    return _with_exported(
-        content,
-        found,
-        lambda h, tokens: sym.type_(
-            h["name"], h["tag"], h["line"], F.array_contains(tokens, h["name"])
-        ),
+    return F.concat(
+        of(P.JS_CLASS, "class"), of(P.JS_INTERFACE, "interface"), of(P.JS_TYPE, "type")
     )
 
 
 def routes(content: Column) -> Column:
     return F.transform(
-        hits(content, P.JS_ROUTE, ("app.", "router.")),
+        matches(content, P.JS_ROUTE, ("app.", "router.")),
         lambda h: sym.route(
             F.upper(group(h, P.JS_ROUTE, 1)), group(h, P.JS_ROUTE, 2), F.lit(""), h["line"]
         ),

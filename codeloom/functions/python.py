@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
-from codeloom.functions.text import captures, group, hits
+from codeloom.functions.text import captures, hits
 
 # White space as Unicode defines it; items of __all__ are trimmed of it.
 _SPACE = (
@@ -26,31 +26,24 @@ def imports(content: Column) -> Column:
 
 
 def functions(content: Column) -> Column:
-    def build(h: Column) -> Column:
-        name = group(h, P.PY_FUNCTION, 1)
-        return sym.function(name, h["line"], sym.public(name))
-
-    return F.transform(hits(content, P.PY_FUNCTION, ("def",)), build)
+    return F.transform(
+        hits(content, P.PY_FUNCTION, ("def",), 1),
+        lambda h: sym.function(h["g1"], h["line"], sym.public(h["g1"])),
+    )
 
 
 def routes(content: Column) -> Column:
     return F.transform(
-        hits(content, P.PY_ROUTE, ("@",)),
-        lambda h: sym.route(
-            F.upper(group(h, P.PY_ROUTE, 1)),
-            group(h, P.PY_ROUTE, 2),
-            group(h, P.PY_ROUTE, 3),
-            h["line"],
-        ),
+        hits(content, P.PY_ROUTE, ("@",), 1, 2, 3),
+        lambda h: sym.route(F.upper(h["g1"]), h["g2"], h["g3"], h["line"]),
     )
 
 
 def types(content: Column) -> Column:
-    def build(h: Column) -> Column:
-        name = group(h, P.PY_CLASS, 1)
-        return sym.type_(name, F.lit("class"), h["line"], sym.public(name))
-
-    return F.transform(hits(content, P.PY_CLASS, ("class",)), build)
+    return F.transform(
+        hits(content, P.PY_CLASS, ("class",), 1),
+        lambda h: sym.type_(h["g1"], F.lit("class"), h["line"], sym.public(h["g1"])),
+    )
 
 
 def exports(content: Column, functions: Column, types: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Non-characters that frame each match; text that already holds one gets a
 # third instead, which every pattern treats the same way.
-_OPEN, _CLOSE, _TAIL, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+_OPEN, _CLOSE, _NEXT, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 _ALL = 2**30
 
 
@@ -33,32 +33,22 @@ def contains_any(content: Column, needles: tuple[str, ...]) -> Column:
     return cond
 
 
-def hits(
-    content: Column, pattern: str, needles: tuple[str, ...], tail: int | None = None
-) -> Column:
-    """``array<struct<line int, text string>>``: the successive matches of ``pattern``.
+def _framed(content: Column, pattern: str, needles: tuple[str, ...], inside: str, after: str,
+            element: Callable[[Column, Column], Column]) -> Column:
+    """``element(line, framed text)`` of each match of ``pattern``.
 
-    One regex pass frames the matches; line numbers and texts then come from
-    plain splits, so the cost is linear in the text. ``needles`` are literals,
-    one of which every match contains: other files skip the regex. With
-    ``tail``, field ``tail`` holds that capture, which may lie in a look-ahead
-    but must not span lines.
+    One regex pass puts ``inside`` between the frame marks where a match starts
+    and ``after`` behind them; line numbers and texts then come from plain
+    splits, so the cost is linear in the text. ``needles`` are literals, one of
+    which every match contains: other files skip the regex.
     """
-    frame = f"{_OPEN}$0{_CLOSE}" if tail is None else f"{_OPEN}$0{_TAIL}${tail}{_CLOSE}"
     safe = F.when(
-        contains_any(content, (_OPEN, _CLOSE, _TAIL)),
-        F.translate(content, _OPEN + _CLOSE + _TAIL, _STAND_IN * 3),
+        contains_any(content, (_OPEN, _CLOSE, _NEXT)),
+        F.translate(content, _OPEN + _CLOSE + _NEXT, _STAND_IN * 3),
     ).otherwise(content)
-    marked = F.regexp_replace(safe, F.lit(pattern), F.lit(frame))
-
-    def element(n: Column, t: Column) -> Column:
-        if tail is None:
-            return F.struct(n.alias("line"), t.alias("text"))
-        return F.struct(
-            n.alias("line"),
-            F.substring_index(t, _TAIL, 1).alias("text"),
-            F.substring_index(t, _TAIL, -1).alias("tail"),
-        )
+    marked = F.regexp_replace(
+        safe, F.lit(pattern), F.lit(f"{_OPEN}{inside}{_CLOSE}{after}")
+    )
 
     def read(m: Column) -> Column:
         numbered = F.filter(
@@ -82,8 +72,44 @@ def hits(
     return let(marked, read, when=contains_any(content, needles))
 
 
+def hits(content: Column, pattern: str, needles: tuple[str, ...], *groups: int) -> Column:
+    """``array<struct<line int, g1 string, ...>>``: captures of each match, which
+    must not span lines."""
+    inside = _NEXT.join(f"${g}" for g in groups)
+
+    def element(line: Column, text: Column) -> Column:
+        if len(groups) == 1:
+            return F.struct(line.alias("line"), text.alias("g1"))
+        parts = F.split(text, _NEXT)
+        return F.struct(
+            line.alias("line"), *[parts[i].alias(f"g{i + 1}") for i in range(len(groups))]
+        )
+
+    return _framed(content, pattern, needles, inside, "$0", element)
+
+
+def matches(
+    content: Column, pattern: str, needles: tuple[str, ...], ahead: int | None = None
+) -> Column:
+    """``array<struct<line int, text string>>``: the whole text of each match, to
+    read captures from that may span lines. With ``ahead``, field ``ahead`` is a
+    capture made by looking ahead of the match, inside one line."""
+
+    def element(line: Column, text: Column) -> Column:
+        if ahead is None:
+            return F.struct(line.alias("line"), text.alias("text"))
+        return F.struct(
+            line.alias("line"),
+            F.substring_index(text, _NEXT, 1).alias("text"),
+            F.substring_index(text, _NEXT, -1).alias("ahead"),
+        )
+
+    inside = "$0" if ahead is None else f"$0{_NEXT}${ahead}"
+    return _framed(content, pattern, needles, inside, "", element)
+
+
 def group(h: Column, pattern: str, index: int) -> Column:
-    """Capture ``index`` of one element of :func:`hits`."""
+    """Capture ``index`` of one element of :func:`matches`."""
     return F.regexp_extract(h["text"], pattern, index)
 
 

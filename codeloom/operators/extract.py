@@ -36,6 +36,7 @@ def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         *keep,
         "language",
         F.when(F.col("language") == "Go", golang.code(content)).otherwise(content).alias("code"),
+        F.when(F.col("language").isin(*JS), javascript.exported_tokens(content)).alias("tokens"),
     )
 
 
@@ -43,10 +44,11 @@ def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 def _symbol_columns(application: str) -> tuple[list[Column], Column]:
     """The extraction expressions; building them takes thousands of calls into
     the JVM, so each application builds them once."""
-    code, functions, types = F.col("code"), F.col("functions"), F.col("types")
+    code, tokens = F.col("code"), F.col("tokens")
+    functions, types = F.col("functions"), F.col("types")
     found = [
         _by_language(
-            javascript.functions(code),
+            javascript.functions(code, tokens),
             python.functions(code),
             dart.functions(code),
             golang.functions(code),
@@ -58,7 +60,7 @@ def _symbol_columns(application: str) -> tuple[list[Column], Column]:
             javascript.routes(code), python.routes(code), dart.routes(code), golang.routes(code)
         ).alias("api_routes"),
         _by_language(
-            javascript.types(code),
+            javascript.types(code, tokens),
             python.types(code),
             dart.types(code),
             golang.types(golang.ungrouped(code)),
@@ -170,12 +172,31 @@ def js_exports(files: DataFrame) -> DataFrame:
     return _strings(_exploded(files, JS, javascript.exports), "export")
 
 
+def _js_symbols(files: DataFrame) -> DataFrame:
+    code = files.filter(F.col("language").isin(*JS)).select(
+        "project",
+        "path",
+        F.col("content").alias("code"),
+        javascript.exported_tokens(F.col("content")).alias("tokens"),
+    )
+    return code.select(
+        "project",
+        "path",
+        javascript.functions(F.col("code"), F.col("tokens")).alias("functions"),
+        javascript.types(F.col("code"), F.col("tokens")).alias("types"),
+    )
+
+
 def js_functions(files: DataFrame) -> DataFrame:
-    return _functions(_exploded(files, JS, javascript.functions)).drop("exported")
+    found = _js_symbols(files).select(
+        "project", "path", F.posexplode("functions").alias("ord", "item")
+    )
+    return _functions(found).drop("exported")
 
 
 def js_types(files: DataFrame) -> DataFrame:
-    return _types(_exploded(files, JS, javascript.types)).drop("exported")
+    found = _js_symbols(files).select("project", "path", F.posexplode("types").alias("ord", "item"))
+    return _types(found).drop("exported")
 
 
 def js_routes(files: DataFrame) -> DataFrame:
@@ -184,23 +205,15 @@ def js_routes(files: DataFrame) -> DataFrame:
 
 def js_exported_flag(files: DataFrame) -> DataFrame:
     """Every JavaScript/TypeScript symbol with whether an export line names it."""
-    symbols = lambda code: F.concat(
-        F.transform(
-            javascript.functions(code),
-            lambda f: F.struct(
-                F.lit("function").alias("kind"), f["name"].alias("name"),
-                f["line"].alias("line"), f["exported"].alias("exported"),
-            ),
-        ),
-        F.transform(
-            javascript.types(code),
-            lambda t: F.struct(
-                t["kind"].alias("kind"), t["name"].alias("name"),
-                t["line"].alias("line"), t["exported"].alias("exported"),
-            ),
-        ),
+    flag = "array<struct<kind:string,name:string,line:int,exported:boolean>>"
+    functions = F.transform(
+        "functions",
+        lambda f: F.struct(F.lit("function").alias("kind"), f["name"], f["line"], f["exported"]),
+    )
+    types = F.transform("types", lambda t: F.struct(t["kind"], t["name"], t["line"], t["exported"]))
+    return _js_symbols(files).select(
+        "project", "path", F.inline(F.concat(functions.cast(flag), types.cast(flag)))
     )
-    return _exploded(files, JS, symbols).select("project", "path", "item.*")
 
 
 def py_imports(files: DataFrame) -> DataFrame:

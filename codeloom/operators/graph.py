@@ -107,7 +107,7 @@ def resolve_relative(imports: DataFrame, nodes: DataFrame, **probe: int) -> Data
         relative_imports(imports),
         stem_index(nodes),
         ["project", "stem"],
-        ["project", "path", "ord"],
+        ["project", "path"],
         **probe,
     ).select("project", "path", "ord", "import", "to_path")
 
@@ -174,7 +174,7 @@ def resolve_package(
         .drop("slashes")
     )
     keys = ["project", "key", "rule"]
-    found = skew.lookup(parts, index, keys, ["project", "import", "start"], how="inner", **probe)
+    found = skew.lookup(parts, index, keys, ["project", "import"], how="inner", **probe)
     return (
         found.groupBy("project", "import")
         .agg(F.min(F.struct("rule", "best")).alias("pick"))
@@ -197,7 +197,7 @@ def import_edges(nodes: DataFrame, include_root_dir: bool = False, **probe: int)
         rest,
         packages,
         ["project", "import"],
-        ["project", "path", "ord"],
+        ["project", "path"],
         how="inner",
         **probe,
     )

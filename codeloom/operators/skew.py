@@ -29,9 +29,11 @@ def lookup(
     Hot keys of ``left`` are found from a hash-chosen share of its rows. That
     choice only decides the salting: every row is joined. The hot list is at
     most ``MAX_HOT`` eight-byte hashes, so it can always be broadcast; the rows
-    of ``right`` are repeated for those keys only. ``row_id`` must tell the left
-    rows of one key apart; all inputs must be deterministic, since both sides
-    compute the list.
+    of ``right`` are repeated for those keys only.
+
+    ``row_id`` spreads the left rows of one key. Columns that exist before a row
+    is unfolded serve best: the probe's filter then moves below the unfolding.
+    All inputs must be deterministic, since both sides compute the list.
     """
     hashed = left.withColumn("_key", F.xxhash64(*keys)).withColumn(
         "_row", F.xxhash64(F.lit("row"), *row_id)

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.config import AnalysisConfig
 from codeloom.operators import extract, scan
+from codeloom.sources.snapshot import SnapshotStore
 
 VERSION_SCHEMA = "project string, path string, seq long, content string"
 KEYS = ["project", "path"]
@@ -24,6 +25,7 @@ class WatchStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.config = config
+        self.base = SnapshotStore(spark, f"{self.root}/base")
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """Extract one micro-batch of file versions, without a shuffle.
@@ -38,15 +40,33 @@ class WatchStore:
             f"{self.root}/batches/batch={batch_id}"
         )
 
-    def current(self) -> DataFrame:
-        """The newest version of every file that is not deleted.
+    def _newest(self) -> DataFrame:
+        """The newest version of every file, deletions included.
 
         Partial aggregation leaves one row per file and task to shuffle, however
         often a single file changed.
         """
-        log = self.spark.read.parquet(f"{self.root}/batches").drop("batch")
+        log = self.spark.read.parquet(f"{self.root}/batches")
+        version = self.base.latest()
+        if version is not None:
+            covered = self.base.load("covered", version).first()[0]
+            log = log.filter(F.col("batch") > covered).drop("batch")
+            log = log.unionByName(self.base.load("state", version))
+        else:
+            log = log.drop("batch")
         newest = log.groupBy(*KEYS).agg(F.max_by(F.struct(*log.columns), "seq").alias("v"))
-        return newest.select("v.*").filter(~F.col("deleted")).drop("deleted")
+        return newest.select("v.*")
+
+    def current(self) -> DataFrame:
+        return self._newest().filter(~F.col("deleted")).drop("deleted")
+
+    def compact(self) -> None:
+        """Fold the batches so far into one state, so that readers scan that and
+        the batches after it only."""
+        batches = self.spark.read.parquet(f"{self.root}/batches")
+        covered = batches.agg(F.max("batch").cast("long").alias("batch")).first()[0]
+        state = self._newest()
+        self.base.save(state=state, covered=self.spark.range(covered, covered + 1).toDF("batch"))
 
 
 def watch_sources(

@@ -30,8 +30,9 @@ def files(spark):
 @pytest.fixture(scope="session")
 def nodes_of(files):
     from codeloom.operators import extract, scan
+    from codeloom.session import stage
 
-    return lambda texts: extract.file_nodes(scan.source_files(files(texts)))
+    return lambda texts: stage(extract.file_nodes(scan.source_files(files(texts))), "test-nodes")
 
 
 @pytest.fixture(scope="session")

@@ -1,0 +1,188 @@
+import posixpath
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.functions import paths
+from codeloom.functions import patterns as P
+from codeloom.operators import graph, skew
+
+SAMPLE = {
+    "app.py": "from flask import Flask\n@app.get('/health')\ndef health():\n    pass\nclass Service:\n    pass\n",
+    "handler.js": "import express from 'express';\nimport { U } from './services/user';\nrouter.get('/users', h);\n",
+    "main.go": "package main\n\ntype App struct {\n\tName string\n}\n\nfunc main() {\n}\n",
+}
+
+
+def edges_of(nodes, **options):
+    rows = graph.import_edges(nodes, **options).collect()
+    return sorted((r.project, r.from_path, r.to_path) for r in rows)
+
+
+def test_node_ids(files):
+    names = {"main.go": "main_go", "internal/parser/go.go": "internal_parser_go_go",
+             "a-b c:d\\e.js": "a_b_c_d_e_js"}
+    rows = graph.node_ids(files({n: "" for n in names})).collect()
+    assert {r.path: r.id for r in rows} == names
+
+
+def test_sample_graph(nodes_of):
+    nodes = nodes_of(SAMPLE)
+    table = graph.graph_nodes(nodes)
+    got = sorted((r.type, r.label, r.file, r.id) for r in table.collect())
+    assert got == [
+        ("api", "GET /health", "app.py", "app_py_GET__health"),
+        ("api", "GET /users", "handler.js", "handler_js_GET__users"),
+        ("module", "app.py", "app.py", "app_py"),
+        ("module", "handler.js", "handler.js", "handler_js"),
+        ("module", "main.go", "main.go", "main_go"),
+        ("type", "App", "main.go", "main_go_App"),
+        ("type", "Service", "app.py", "app_py_Service"),
+    ]
+    parts = [graph.module_nodes(nodes), graph.type_nodes(nodes), graph.api_nodes(nodes)]
+    assert sum(p.count() for p in parts) == len(got)
+    # files in the root have no directory that could fit an import ...
+    assert edges_of(nodes) == []
+    # ... unless asked for: then "." fits any import with a dot in it
+    assert edges_of(nodes, include_root_dir=True) == [("p", "handler.js", "app.py")]
+
+
+def test_relative_preferences(nodes_of):
+    texts = {
+        "a/main.ts": "".join(
+            f"import x from '{i}';\n"
+            for i in ("./b", "./c", "../lib", "./d.js", "././/d", "../a/../a/e", "../../up", "./gone")
+        ),
+        "a/b.py": "", "a/b.js": "", "a/c/index.ts": "", "a/c/index.js": "",
+        "lib/index.ts": "", "lib.dart": "", "a/d.js": "", "a/d.js.ts": "", "a/e.go": "package a\n",
+    }
+    rows = graph.resolve_relative(graph.imports(nodes_of(texts)), nodes_of(texts)).collect()
+    assert {getattr(r, "import"): r.to_path for r in rows} == {
+        "./b": "a/b.js", "./c": "a/c/index.js", "../lib": "lib.dart", "./d.js": "a/d.js",
+        "././/d": "a/d.js", "../a/../a/e": "a/e.go", "../../up": None, "./gone": None,
+    }
+
+
+@pytest.mark.parametrize(
+    "directory, text",
+    [("a/b", "../../../x"), (".", "./a"), (".", "."), ("a", ".."), ("a/b", "..//./c/../d/"), (".", "../.."),
+     ("a/b", ".models"), ("a", "./b/...")],
+)
+def test_join_clean(spark, directory, text):
+    df = spark.createDataFrame([(directory, text)], "d string, t string")
+    got = df.select(paths.join_clean(F.col("d"), F.col("t"))).first()[0]
+    assert got == posixpath.normpath(f"{directory}/{text}")
+
+
+def brute_force_package(files, imports):
+    found = {}
+    for project, imp in imports:
+        fitting = []
+        for p, path in files:
+            directory = posixpath.dirname(path) or "."
+            base = posixpath.basename(directory)
+            if p == project and directory != "." and (imp.endswith(base) or directory in imp):
+                fitting.append((0 if imp.endswith(base) else 1, -len(directory), path))
+        if fitting:
+            found[project, imp] = min(fitting)[2]
+    return found
+
+
+@pytest.mark.parametrize("probe", [{}, {"probe_every": 1, "hot_rows": 2, "salts": 5}])
+def test_package_rule_against_brute_force(spark, probe):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    path = lambda: "/".join(word() for _ in range(rng.randint(1, 4)))
+    files = sorted({(rng.choice("pq"), path() + ".py") for _ in range(60)})
+    imports = sorted({(rng.choice("pq"), rng.choice(["", "x.", "@"]) + path()) for _ in range(150)})
+    nodes = spark.createDataFrame(files, "project string, path string")
+    wanted = spark.createDataFrame(imports, "project string, `import` string")
+    rows = graph.resolve_package(wanted, nodes, **probe).collect()
+    assert {(r.project, getattr(r, "import")): r.to_path for r in rows} == brute_force_package(files, imports)
+
+
+def test_salting_changes_no_edge(nodes_of):
+    texts = [("p", f"a/f{i}.ts", "import h from './hub';\nimport k from 'kit/a';\n") for i in range(40)]
+    texts += [("p", "a/hub.ts", ""), ("q", "a/hub.ts", "import h from './hub';")]
+    nodes = nodes_of(texts)
+    plain = edges_of(nodes)
+    assert plain == edges_of(nodes, probe_every=1, hot_rows=3, salts=4)
+    assert len(plain) == 81
+
+
+def test_lookup_splits_hot_keys(spark):
+    left = spark.range(1000).selectExpr("if(id < 900, 0, id) AS k", "id AS row")
+    right = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1, hot_rows=100, salts=8)
+    assert joined.count() == 1000 and joined.filter("v <> k * 2 OR v IS NULL").count() == 0
+
+
+def test_joins_stay_equi_joins(spark, nodes_of):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    nodes = nodes_of(SAMPLE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            graph.resolve_relative(graph.imports(nodes), nodes),
+            graph.resolve_package(graph.imports(nodes), nodes),
+            graph.import_edges(nodes),
+        ]
+        for df in plans:
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in text and "Cartesian" not in text
+            assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_duplicate_imports_and_self_edges(nodes_of):
+    texts = {"src/x/a.go": 'package x\n\nimport "m/src/x"\nimport "m/src/x"\n'}
+    assert edges_of(nodes_of(texts)) == [("p", "src/x/a.go", "src/x/a.go")] * 2
+
+
+def test_summary_and_lines(nodes_of):
+    nodes = nodes_of({"lib/a.ts": "import b from './b';\n", "lib/b.ts": "export class B {}\nclass C {}\n", "x/z.py": ""})
+    edges = graph.import_edges(nodes)
+    row = graph.graph_summary(nodes, edges).first()
+    assert (row.modules, row.types, row.api_routes, row.dependencies) == (3, 1, 0, 1)
+    assert [r.text for r in graph.relationship_lines(edges).collect()] == ["  lib_a_ts --imports--> lib_b_ts"]
+
+
+def test_mermaid(spark):
+    nodes = spark.createDataFrame(
+        [("p", "a_go", "a.go", "module", "a.go", 0), ("p", "T", 'My<"T">', "type", "a.go", 1),
+         ("p", "r", "GET /x", "api", "a.go", 2), ("p", "f", "run", "function", "a.go", 3)],
+        "project string, id string, label string, type string, file string, ord int",
+    )
+    edges = spark.createDataFrame(
+        [("p", "a", "b", t, "a.go", i) for i, t in enumerate(("imports", "calls", "extends", "implements"))],
+        "project string, from_id string, to_id string, type string, from_path string, ord int",
+    )
+    lines = graph.mermaid_lines(nodes, edges).orderBy("section", "file", "seq").collect()
+    assert [r.text for r in lines] == [
+        "graph TD",
+        '    a_go["a.go"]', '    T{{"My#lt;#quot;T#quot;#gt;"}}', '    r(["GET /x"])', '    f("run")',
+        "",
+        "    a --> b", "    a -.-> b", "    a ==> b", "    a -.->|implements| b",
+        "",
+        "    classDef module fill:#e1f5fe,stroke:#01579b",
+        "    classDef type fill:#f3e5f5,stroke:#4a148c",
+        "    classDef api fill:#e8f5e9,stroke:#1b5e20",
+        "    class a_go module", "    class T type", "    class r api",
+    ]
+
+
+def test_depth_with_a_cycle(nodes_of):
+    texts = {f"m/f{i}.ts": f"import n from './f{(i + 1) % 6}';\n" for i in range(6)}
+    texts["m/main.py"] = ""
+    texts["m/index.ts"] = "import a from './f0';\nimport b from './f1';\n"
+    nodes = nodes_of(texts)
+    edges = graph.import_edges(nodes)
+    got = {r.path: r.depth for r in graph.dependency_depth(nodes, edges, depth=3).collect()}
+    assert got == {"m/main.py": 0, "m/index.ts": 0, "m/f0.ts": 1, "m/f1.ts": 1, "m/f2.ts": 2, "m/f3.ts": 3}
+    assert len(graph.dependency_depth(nodes, edges, depth=9).collect()) == 8
+
+
+def test_import_suffixes_cover_the_ranks():
+    assert P.IMPORT_SUFFIXES[0] == "" and len(P.IMPORT_SUFFIXES) == 10

@@ -1,0 +1,199 @@
+import json
+import os
+
+import pytest
+
+from codeloom.operators import graph, report
+from codeloom.session import stage
+from codeloom.sources.sinks import write_lines, write_outputs
+
+TEXTS = [
+    ("shop", "main.py", "@app.get('/a')\ndef a():\n    pass\nclass Cart:\n    pass\nclass _H:\n    pass\n"),
+    ("shop", "web/app.ts", "import u from './util';\nexport class View {}\n"),
+    ("shop", "web/util.ts", "export function util() {}\n"),
+    ("tiny", "x/note.go", "package x\n\nfunc run() {\n}\n"),
+]
+AT = "2024-05-06 07:08:09"
+
+
+@pytest.fixture(scope="module")
+def tables(nodes_of):
+    nodes = nodes_of(TEXTS)
+    return nodes, stage(graph.import_edges(nodes), "test-edges")
+
+
+def text_of(lines, project):
+    rows = lines.filter(lines.project == project).orderBy("section", "file", "seq").collect()
+    return "\n".join(r.text for r in rows) + "\n"
+
+
+SHOP = f"""# Project: shop
+
+## Overview
+
+This project contains **3 files** across **2 languages**.
+
+| Language | Files |
+|----------|-------|
+| Python | 1 |
+| TypeScript | 2 |
+
+## Architecture
+
+- **2** functions/methods
+- **3** types/classes
+- **1** API routes
+- **1** module dependencies
+
+## Entry Points
+
+- `main.py`
+- `web/app.ts`
+
+## API Routes
+
+| Method | Path | File |
+|--------|------|------|
+| GET | /a | main.py |
+
+## Key Types
+
+- `Cart` (class in main.py)
+- `View` (class in web/app.ts)
+
+
+---
+
+*Generated by codeloom on {AT}*
+"""
+
+TINY = f"""# Project: tiny
+
+## Overview
+
+This project contains **1 files** across **1 languages**.
+
+| Language | Files |
+|----------|-------|
+| Go | 1 |
+
+## Architecture
+
+- **1** functions/methods
+- **0** types/classes
+- **0** API routes
+- **0** module dependencies
+
+
+---
+
+*Generated by codeloom on {AT}*
+"""
+
+
+def test_markdown(tables):
+    lines = report.markdown_report(*tables, AT)
+    assert text_of(lines, "shop") == SHOP
+    assert text_of(lines, "tiny") == TINY
+
+
+def test_markdown_with_a_summary(spark, tables):
+    given = spark.createDataFrame([("shop", "It sells.\nWell."), ("tiny", "")], "project string, summary string")
+    lines = report.markdown_report(*tables, AT, given)
+    assert text_of(lines, "shop") == (
+        f"# Project: shop\n\nIt sells.\nWell.\n\n---\n\n*Generated by codeloom on {AT}*\n"
+    )
+    assert text_of(lines, "tiny") == TINY
+
+
+def test_totals(tables):
+    rows = {r.project: r for r in report.project_totals(*tables).collect()}
+    shop = rows["shop"]
+    assert (shop.files, shop.languages, shop.functions, shop.types, shop.routes, shop.edges) == (3, 2, 2, 3, 1, 1)
+    stats = {r.project: (r.files, r.nodes, r.edges) for r in report.run_stats(*tables).collect()}
+    assert stats == {"shop": (3, 6, 1), "tiny": (1, 1, 0)}
+    summary = {r.project: r.summary for r in report.structural_summary(*tables).collect()}
+    assert summary == {
+        "shop": "Project with 1 Python files, 2 TypeScript files, 1 dependencies.",
+        "tiny": "Project with 1 Go files, 0 dependencies.",
+    }
+
+
+def test_entry_points(files):
+    names = ["domain.go", "MAIN.PY", "cmd/x.rb", "app.py", "server.py", "src/main/z", "web/index.ts.bak", "a.go"]
+    nodes = files({n: "" for n in names})
+    assert {r.path for r in report.entry_points(nodes).collect()} == {"domain.go", "MAIN.PY", "cmd/x.rb", "app.py", "server.py"}
+    assert {r.path for r in report.entry_points_prompt(nodes).collect()} == {
+        "domain.go", "MAIN.PY", "cmd/x.rb", "src/main/z", "web/index.ts.bak",
+    }
+
+
+def test_json_document(tables):
+    rows = {r.project: r for r in report.context_json(*tables, AT).collect()}
+    shop = json.loads(rows["shop"].document)
+    assert list(shop) == ["project", "generated_at", "summary", "files", "graph", "entry_points"]
+    assert shop["files"][0] == {
+        "path": "main.py",
+        "language": "Python",
+        "functions": [{"name": "a", "line": 2, "exported": True}],
+        "exports": ["a", "Cart"],
+        "api_routes": [{"method": "GET", "path": "/a", "handler": "a", "line": 1}],
+        "types": [
+            {"name": "Cart", "kind": "class", "line": 4, "exported": True},
+            {"name": "_H", "kind": "class", "line": 6, "exported": False},
+        ],
+    }
+    assert shop["graph"]["edges"] == [{"from": "web_app_ts", "to": "web_util_ts", "type": "imports"}]
+    assert [n["id"] for n in shop["graph"]["nodes"]] == [
+        "main_py", "main_py_Cart", "main_py_GET__a", "web_app_ts", "web_app_ts_View", "web_util_ts",
+    ]
+    assert shop["entry_points"] == ["main.py", "web/app.ts"]
+    tiny = json.loads(rows["tiny"].document)
+    assert tiny["graph"]["edges"] == [] and tiny["entry_points"] == []
+
+
+def test_large_projects_stay_in_pieces(tables):
+    rows = {r.project: r for r in report.context_json(*tables, AT, max_chars=400).collect()}
+    assert rows["shop"].oversized and rows["shop"].document is None
+    assert not rows["tiny"].oversized and json.loads(rows["tiny"].document)["project"] == "tiny"
+    pieces = report.context_lines(*tables, AT)
+    shop = [json.loads(r.text) for r in pieces.filter("project = 'shop'").orderBy("section", "file", "seq").collect()]
+    assert shop[0]["summary"].startswith("Project with") and len(shop) == 1 + 3 + 6 + 1 + 2
+    assert shop[-2:] == ["main.py", "web/app.ts"]
+
+
+def read_text(folder):
+    names = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+    return "".join(open(os.path.join(folder, n)).read() for n in names)
+
+
+def test_outputs(tables, tmp_path):
+    nodes, edges = tables
+    reports = {
+        "md": report.markdown_report(nodes, edges, AT),
+        "mermaid": graph.mermaid_lines(graph.graph_nodes(nodes), edges),
+        "json": report.context_lines(nodes, edges, AT),
+    }
+    with pytest.warns(UserWarning, match="unknown output format"):
+        written = write_outputs(reports, ("markdown", "MMD", "json", "pdf"), str(tmp_path))
+    assert [os.path.basename(p) for p in written] == ["md", "mermaid", "json"]
+    assert read_text(tmp_path / "md/project=shop") == SHOP
+    mermaid = read_text(tmp_path / "mermaid/project=shop")
+    assert mermaid.startswith("graph TD\n") and "    web_app_ts --> web_util_ts\n" in mermaid
+    assert json.loads(read_text(tmp_path / "json/project=tiny").splitlines()[0])["project"] == "tiny"
+
+
+def test_lines_of_one_project_span_files_in_order(spark, tmp_path):
+    lines = spark.range(20_000).selectExpr(
+        "'p' AS project", "1 AS section", "lpad(cast(id % 100 AS string), 3, '0') AS file",
+        "cast(id div 100 AS int) AS seq", "cast(id AS string) AS text",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_lines(lines, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    folder = tmp_path / "out/project=p"
+    assert len([n for n in os.listdir(folder) if n.startswith("part-")]) > 1
+    expected = [str(f + 100 * s) for f in range(100) for s in range(200)]
+    assert read_text(folder).split() == expected

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import report
+from codeloom.operators import report, skew
 from codeloom.operators.graph import graph_summary, relationship_lines
 
 # Provider -> USD per million input and output tokens.
@@ -96,7 +96,9 @@ def prompt_pieces(nodes: DataFrame, edges: DataFrame, language: str = "en") -> D
         totals.join(counts, "project").join(langs, "project").select("project", F.inline(opening))
     )
     first = totals.select("project", "first_prompt_entry")
-    entries = report.entry_points_prompt(nodes).join(first, "project")
+    entries = skew.lookup(
+        report.entry_points_prompt(nodes), first, ["project"], ["path"], how="inner"
+    )
     separator = F.when(F.col("path") == F.col("first_prompt_entry"), "").otherwise(", ")
     functions = nodes.select("project", "path", F.posexplode("functions").alias("ord", "f")).filter(
         "f.exported"
@@ -129,7 +131,7 @@ def build_prompts(
     fitting = sizes.filter(~F.col("oversized")).select("project")
     ordered = F.array_sort(F.collect_list(F.struct("section", "file", "seq", "text")))
     joined = (
-        pieces.join(fitting, "project", "left_semi")
+        skew.lookup(pieces, fitting, ["project"], report.PLACE, how="left_semi")
         .groupBy("project")
         .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("prompt"))
     )

@@ -11,6 +11,8 @@ from codeloom.operators import extract, graph, incremental, report, scan, summar
 from codeloom.plans.workspace import Workspace
 from codeloom.session import new_stage_path, stage
 from codeloom.sources import derived
+from codeloom.sources.sinks import write_outputs
+from codeloom.sources.snapshot import SnapshotStore
 from codeloom.streaming.watch import VERSION_SCHEMA, WatchStore, watch_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +58,31 @@ def _incremental_refresh(w: Workspace) -> DataFrame:
     return _counts(refreshed)
 
 
+def _snapshot_io(w: Workspace) -> DataFrame:
+    """Two saved versions, of which the second is read back."""
+    store = SnapshotStore(w.spark, new_stage_path(w.spark, "snapshots"))
+    store.save(nodes=w.nodes.filter(F.col("language") == "Go"))
+    store.save(nodes=w.nodes)
+    return _counts(store.load("nodes"))
+
+
+def _write_outputs(w: Workspace) -> DataFrame:
+    """The Markdown and Mermaid files of all projects, read back as lines."""
+    out = new_stage_path(w.spark, "outputs")
+    reports = {
+        "md": report.markdown_report(w.nodes, w.edges, GENERATED_AT),
+        "mermaid": graph.mermaid_lines(w.graph_nodes, w.edges),
+    }
+    paths = write_outputs(reports, ("markdown", "mmd"), out)
+    read = [
+        w.spark.read.schema("value string, project string").text(path).select(
+            "project", F.lit(path.rsplit("/", 1)[1]).alias("format"), F.col("value").alias("text")
+        )
+        for path in paths
+    ]
+    return read[0].unionByName(read[1])
+
+
 def _watch_sources(w: Workspace) -> DataFrame:
     """Both revisions as file versions, the newer one first, so that every
     version of the second run arrives late."""
@@ -209,6 +236,7 @@ QUERIES: dict[str, Query] = {
     ),
     "merge_nodes": _on(_merge_nodes),
     "incremental_refresh": _on(_incremental_refresh),
+    "snapshot_io": _on(_snapshot_io),
     "watch_sources": _on(_watch_sources),
     # reports
     "language_counts": _on(lambda w: report.language_counts(w.nodes)),
@@ -225,6 +253,7 @@ QUERIES: dict[str, Query] = {
         lambda w: _lines(report.markdown_report(w.nodes, w.edges, GENERATED_AT))
     ),
     "context_json": _on(_context_fields),
+    "write_outputs": _on(_write_outputs),
     "structural_summary": _on(lambda w: report.structural_summary(w.nodes, w.edges)),
     "run_stats": _on(lambda w: report.run_stats(w.nodes, w.edges)),
     # model-written summaries

@@ -258,11 +258,6 @@ def _ctes(corpus: str, plain: str) -> dict[str, str]:
         f"SELECT project, path, ord, method, route, handler, line FROM {n}_routes"
         for n in ("js", "py", "dart", "go")
     )
-    counts = ", ".join(
-        f"(SELECT project, path, count(*) AS n FROM all_{n} GROUP BY ALL) {n}"
-        for n in ("functions", "imports", "exports", "routes", "types")
-    )
-    del counts
     c["node_counts"] = "SELECT f.project, f.path, f.language, " + ", ".join(
         f"coalesce({n}.n, 0) AS {alias}"
         for n, alias in (
@@ -304,11 +299,6 @@ def _ctes(corpus: str, plain: str) -> dict[str, str]:
     suffixes = " UNION ALL ".join(
         f"SELECT {rank} AS rank, {_q(s)} AS suffix" for rank, s in enumerate(IMPORT_SUFFIXES)
     )
-    c["relative_resolved"] = (
-        "SELECT project, path, ord, import, arg_min(target, rank) AS to_path FROM ("
-        "SELECT r.project, r.path, r.ord, r.import, s.rank, f.path AS target FROM relative r "
-        f"CROSS JOIN ({suffixes}) s LEFT JOIN files f ON f.project = r.project AND f.path = r.stem || s.suffix) GROUP BY ALL"
-    )
     c["relative_resolved"] = (
         "SELECT project, path, ord, import, arg_min(target, rank) FILTER (WHERE target IS NOT NULL) AS to_path FROM ("
         "SELECT r.project, r.path, r.ord, r.import, s.rank, f.path AS target FROM relative r "
@@ -583,7 +573,12 @@ def all_checks() -> dict[str, str]:
         "entry_points_prompt": f"SELECT project, path FROM files WHERE {_IS_PROMPT_ENTRY}",
         "route_listing": "SELECT project, path, ord, method, route FROM all_routes",
         "key_types": "SELECT project, path, ord, name, kind FROM all_types WHERE exported",
+        "snapshot_io": f"SELECT {_COUNTS} FROM node_counts",
         "markdown_report": _markdown(GENERATED_AT),
+        "write_outputs": (
+            f"SELECT project, 'md' AS format, text FROM ({_markdown(GENERATED_AT)}) UNION ALL "
+            f"SELECT project, 'mermaid' AS format, text FROM ({_mermaid()})"
+        ),
         "context_json": (
             f"SELECT s.project, false AS oversized, {_q(GENERATED_AT)} AS generated_at, s.summary, t.files, "
             "c.modules + c.types + c.api_routes AS nodes, c.dependencies AS edges, coalesce(e.x, '') AS entry_points "
@@ -612,9 +607,6 @@ def all_checks() -> dict[str, str]:
         ),
     }
     checks = {name: _check(select) for name, select in selects.items()}
-    checks["dependency_depth"] = _check(
-        "SELECT project, path, CAST(min(depth) AS INTEGER) AS depth FROM reached GROUP BY project, path"
-    )
     depth_parts = _check("SELECT * FROM edges , files")
     head = depth_parts[: depth_parts.rindex(" SELECT * FROM edges , files")]
     checks["dependency_depth"] = (

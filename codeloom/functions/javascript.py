@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
-from codeloom.functions.text import captures, group, hits, matches
+from codeloom.functions.text import captures, contains_any, group, hits, let, matches
 
 
 def imports(content: Column) -> Column:
@@ -42,26 +42,33 @@ def exported_tokens(content: Column) -> Column:
 
 def functions(content: Column, tokens: Column) -> Column:
     """Declarations, then arrow functions; ``tokens`` are :func:`exported_tokens`."""
-    found = F.concat(
-        hits(content, P.JS_FUNCTION, ("function",), 1), hits(content, P.JS_ARROW, ("=>",), 1)
-    )
-    return F.transform(
-        found, lambda h: sym.function(h["g1"], h["line"], F.array_contains(tokens, h["g1"]))
-    )
-
 
-def types(content: Column, tokens: Column) -> Column:
-    def of(pattern: str, kind: str) -> Column:
+    def build(tokens: Column) -> Column:
+        found = F.concat(
+            hits(content, P.JS_FUNCTION, ("function",), 1), hits(content, P.JS_ARROW, ("=>",), 1)
+        )
         return F.transform(
-            hits(content, pattern, (kind,), 1),
-            lambda h: sym.type_(
-                h["g1"], F.lit(kind), h["line"], F.array_contains(tokens, h["g1"])
-            ),
+            found, lambda h: sym.function(h["g1"], h["line"], F.array_contains(tokens, h["g1"]))
         )
 
-    return F.concat(
-        of(P.JS_CLASS, "class"), of(P.JS_INTERFACE, "interface"), of(P.JS_TYPE, "type")
-    )
+    return let(tokens, build, contains_any(content, ("function", "=>")), "array<string>")
+
+
+def types(content: Column, tokens: Column) -> Column:
+    kinds = {"class": P.JS_CLASS, "interface": P.JS_INTERFACE, "type": P.JS_TYPE}
+
+    def build(tokens: Column) -> Column:
+        def of(kind: str, pattern: str) -> Column:
+            return F.transform(
+                hits(content, pattern, (kind,), 1),
+                lambda h: sym.type_(
+                    h["g1"], F.lit(kind), h["line"], F.array_contains(tokens, h["g1"])
+                ),
+            )
+
+        return F.concat(*[of(kind, pattern) for kind, pattern in kinds.items()])
+
+    return let(tokens, build, contains_any(content, tuple(kinds)), "array<string>")
 
 
 def routes(content: Column) -> Column:

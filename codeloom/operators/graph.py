@@ -319,6 +319,7 @@ def dependency_depth(nodes: DataFrame, edges: DataFrame, depth: int = 3) -> Data
     )
     reached = frontier = stage(reached, "depth-0")
     links = edges.select("project", F.col("from_path").alias("path"), "to_path").distinct()
+    links = stage(links, "links")
     for step in range(1, depth + 1):
         nearby = (
             frontier.select("project", "path")

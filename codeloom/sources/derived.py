@@ -219,21 +219,23 @@ def _columns(path: str, content: str, string: str) -> list[str]:
     return [f"{expr.replace('{string}', string)} AS {name}" for name, expr in named.items()]
 
 
-def _spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Use every core where a table has fewer input splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
-
-
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    # small files cost most per byte: more partitions keep the tasks even
-    small = _spread(orders.selectExpr("o_orderkey AS k", "o_custkey AS c"), per_core=3)
-    large = _spread(documents.selectExpr("doc_id AS k", "text AS body"))
-    return small.selectExpr(*_columns(_ORDER_PATH, _order_content(True), "STRING")).unionAll(
-        large.selectExpr(*_columns(_DOC_PATH, _doc_content(True), "STRING"))
+    rows = orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(NULL AS STRING) AS body").unionAll(
+        documents.selectExpr("doc_id AS k", "doc_id AS c", "coalesce(text, '') AS body")
     )
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        # tables with fewer input splits than cores: use every core, evenly
+        rows = rows.repartition(2 * cores)
+
+    def either(small: str, large: str) -> str:
+        return f"CASE WHEN body IS NULL THEN {small} ELSE {large} END"
+
+    path = either(_ORDER_PATH, _DOC_PATH)
+    content = either(_order_content(True), _doc_content(True))
+    return rows.selectExpr(*_columns(path, content, "STRING"))
 
 
 def _keyed_sql(traps: bool) -> str:
@@ -241,7 +243,7 @@ def _keyed_sql(traps: bool) -> str:
     large = ", ".join(_columns(_DOC_PATH, _doc_content(traps), "VARCHAR"))
     return (
         f"SELECT {small} FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders) "
-        f"UNION ALL SELECT {large} FROM (SELECT doc_id AS k, text AS body FROM documents)"
+        f"UNION ALL SELECT {large} FROM (SELECT doc_id AS k, coalesce(text, '') AS body FROM documents)"
     )
 
 

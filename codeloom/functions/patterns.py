@@ -82,6 +82,12 @@ PROMPT_ENTRY_FRAGMENTS = (
     "cmd/", "src/main",
 )
 
+# White space as Unicode defines it, which trimming removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 S = r"[\t\n\f\r ]"  # white space
 L = r"[\t\f\r ]"  # white space inside a line
 NS = r"[^\t\n\f\r ]"

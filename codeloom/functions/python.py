@@ -9,12 +9,6 @@ from codeloom.functions import patterns as P
 from codeloom.functions import symbols as sym
 from codeloom.functions.text import captures, hits
 
-# White space as Unicode defines it; items of __all__ are trimmed of it.
-_SPACE = (
-    "\t\n\x0b\x0c\r \x85\xa0         "
-    "       　"
-)
-
 
 def imports(content: Column) -> Column:
     return F.array_distinct(
@@ -52,7 +46,7 @@ def exports(content: Column, functions: Column, types: Column) -> Column:
     items = F.filter(
         F.transform(
             F.split(listed, ","),
-            lambda item: F.btrim(F.btrim(item, F.lit(_SPACE)), F.lit("'\"")),
+            lambda item: F.btrim(F.btrim(item, F.lit(P.WHITE_SPACE)), F.lit("'\"")),
         ),
         lambda item: item != "",
     )

@@ -13,8 +13,12 @@ _OPEN, _CLOSE, _NEXT, _STAND_IN = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
 _ALL = 2**30
 
 
-def let(value: Column, body: Callable[[Column], Column], when: Column | None = None,
-        kind: str = "string") -> Column:
+def let(
+    value: Column,
+    body: Callable[[Column], Column],
+    when: Column | None = None,
+    kind: str = "string",
+) -> Column:
     """``body(value)``, an array column, with ``value`` evaluated once.
 
     With ``when``, rows that fail the condition get an empty array and never
@@ -33,8 +37,14 @@ def contains_any(content: Column, needles: tuple[str, ...]) -> Column:
     return cond
 
 
-def _framed(content: Column, pattern: str, needles: tuple[str, ...], inside: str, after: str,
-            element: Callable[[Column, Column], Column]) -> Column:
+def _framed(
+    content: Column,
+    pattern: str,
+    needles: tuple[str, ...],
+    inside: str,
+    after: str,
+    element: Callable[[Column, Column], Column],
+) -> Column:
     """``element(line, framed text)`` of each match of ``pattern``.
 
     One regex pass puts ``inside`` between the frame marks where a match starts

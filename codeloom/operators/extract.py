@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import dart, golang, javascript, python
-from codeloom.functions import symbols as sym
 
 JS = ("JavaScript", "TypeScript")
 
@@ -131,7 +130,12 @@ def facts(nodes: DataFrame) -> DataFrame:
     return nodes.select("project", "path", "language", F.inline(unfolded))
 
 
-def _exploded(files: DataFrame, languages: tuple[str, ...], array: Callable[[Column], Column], to_code: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+def _exploded(
+    files: DataFrame,
+    languages: tuple[str, ...],
+    array: Callable[[Column], Column],
+    to_code: Callable[[Column], Column] = lambda c: c,
+) -> DataFrame:
     """``project, path, ord`` and the element of an array computed from the text."""
     code = files.filter(F.col("language").isin(*languages)).select(
         "project", "path", to_code(F.col("content")).alias("code")

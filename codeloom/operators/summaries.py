@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.patterns import WHITE_SPACE
 from codeloom.operators import report, skew
 from codeloom.operators.graph import graph_summary, relationship_lines
 
@@ -342,8 +343,7 @@ def summary_fallback(
             F.when(F.col("error").isNull(), F.col("text")).alias(name),
         )
 
-    blank = "\t\n\x0b\x0c\r \x85\xa0"
-    usable = F.when(F.btrim("first", F.lit(blank)) != "", F.col("first"))
+    usable = F.when(F.btrim("first", F.lit(WHITE_SPACE)) != "", F.col("first"))
     return (
         projects.join(answers(primary, "first"), "project", "left")
         .join(answers(fallback, "second"), "project", "left")

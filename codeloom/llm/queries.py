@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, packing, quality, simhash
+from codeloom.llm import decontam, hnsw, packing, quality, simhash, slots, urls, warc
 from codeloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_hnsw_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select(
@@ -51,11 +55,34 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.shard(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.train(urls.seed_labels(pages))).withColumnRenamed("id", "page_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc_bundles": op2_warc_bundles,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_hnsw_neardup": op5_hnsw_neardup,
     "op6_cost_packing": op6_cost_packing,
+    "op8_virtual_slots": op8_virtual_slots,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_url_filter": op10_url_filter,
 }
 
 CHECKS: dict[str, str] = {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, hnsw, packing, quality, simhash, slots, urls, warc
+from codeloom.llm import decontam, hnsw, licenses, packing, quality, simhash, slots, toolcalls, urls, warc
 from codeloom.llm.common import table
+from codeloom.llm.sql_checks import CHECKS as CHECKS
 
 
 def tokenizer_path() -> str:
@@ -26,6 +27,23 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text``: the documents laid out as files by source, language and number;
+    every second one with a licence notice is a licence file in one of its directories."""
+    k, has = F.col("doc_id"), F.coalesce(F.col("text").rlike(licenses.NOTICE_LINE), F.lit(False))
+    top = F.coalesce("source", F.lit("none"))
+    module = F.concat_ws("/", top, F.coalesce("lang", F.lit("none")), F.concat(F.lit("m"), k % 97))
+    place = F.when(k % 3 == 0, top).when(k % 3 == 1, F.concat_ws("/", top, F.coalesce("lang", F.lit("none"))))
+    path = F.when(has & (k % 2 == 0), F.concat(place.otherwise(module), F.lit("/LICENSE."), k)).otherwise(
+        F.concat(module, F.lit("/f"), k, F.lit(".txt"))
+    )
+    return table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(license_tree(spark, sf_dir))
+
+
 def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -62,6 +80,53 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOOLS = (
+    toolcalls.Tool("search", (toolcalls.Param("query", "string"), toolcalls.Param("limit", "integer", False))),
+    toolcalls.Tool("convert", (toolcalls.Param("amount", "number"), toolcalls.Param("unit", "string"))),
+    toolcalls.Tool("lookup", (toolcalls.Param("ids", "array"), toolcalls.Param("exact", "boolean", False))),
+)
+
+
+def call_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls from the assistants' turns and results from the users', by projection: a
+    call depends on the first one of its eight turns and some on the one before; a
+    user's turn answers the turn before it, but for one in eleven."""
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 7 + F.col("turn"))
+    k, turn = F.col("k"), F.col("turn")
+    word, n = F.regexp_extract("text", "[A-Za-z]+", 0), F.length("text")
+    name = F.when(k % 4 == 0, "search").when(k % 4 == 1, "convert").when(k % 4 == 2, "lookup").otherwise("wipe")
+    arguments = (
+        F.when(k % 35 == 0, F.format_string('{"query":"%s"} tail', word))
+        .when(k % 6 == 0, F.format_string('{"query":"%s","limit":%d}', word, n))
+        .when(k % 6 == 1, F.format_string('{ "limit": %d, "query": "%s" }', n, word))
+        .when(k % 6 == 2, F.format_string('{"unit":"%s","amount":%d.5}', word, n))
+        .when(k % 6 == 3, F.format_string('{"ids":[%d,1],"exact":true}', n))
+        .when(k % 6 == 4, F.format_string('{"query":%d}', n))
+        .otherwise(F.format_string('{"query":"%s"', word))
+    )
+    call = lambda t: F.concat(F.lit("c"), t)
+    after = F.array_compact(
+        F.array(
+            F.when(turn % 8 > 1, call(turn - turn % 8 + 1)),
+            F.when(turn % 4 == 3, call(turn - 2)),
+            F.when((F.col("conv_id") % 50 == 7) & (turn == 1), F.lit("c5")),
+        )
+    )
+    calls = rows.filter("role = 'assistant'").select(
+        "conv_id", call(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
+        after.alias("after"),
+    )
+    results = rows.filter("role = 'user' and turn >= 1 and k % 11 <> 0").select(
+        "conv_id", call(turn - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    return calls, results
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = call_tables(spark, sf_dir)
+    return toolcalls.tool_calls(calls, results, TOOLS)
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -77,12 +142,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_bundles": op2_warc_bundles,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op5_hnsw_neardup": op5_hnsw_neardup,
     "op6_cost_packing": op6_cost_packing,
+    "op7_tool_calls": op7_tool_calls,
     "op8_virtual_slots": op8_virtual_slots,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filter": op10_url_filter,
 }
-
-CHECKS: dict[str, str] = {}

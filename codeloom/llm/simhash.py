@@ -332,7 +332,8 @@ def keep_one_each(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_co
     """
     found = stage(near_duplicates(docs, how, id_col, text_col), "near-duplicates")
     gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col))
-    kept = docs.join(gone.distinct(), id_col, "left_anti").select(docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(gone.distinct(), id_col, "left_anti").select(names)
     repeated = stage(
         found.filter("id = component_id").groupBy("id").count().filter("count > 1")
         .select(F.col("id").alias(id_col)),
@@ -340,7 +341,6 @@ def keep_one_each(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_co
     )
     if repeated.isEmpty():
         return kept
-    names = [F.col(f"`{c}`") for c in docs.columns]
     single = (
         kept.join(repeated, id_col, "left_semi")
         .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*names).alias("row"))
@@ -348,4 +348,4 @@ def keep_one_each(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_co
         .agg(F.min_by("row", F.struct("text", F.xxhash64(F.to_json("row")))).alias("row"))
         .select("row.*")
     )
-    return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(single)
+    return kept.join(repeated, id_col, "left_anti").select(names).unionByName(single)

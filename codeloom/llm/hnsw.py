@@ -27,8 +27,10 @@ SHARD_BYTES = 8 << 20  # of float32 components; wide vectors get smaller shards
 LINKS = 16  # neighbours that a new vector gets; twice as many are kept
 BUILD_BEAM = 64
 BEAM = 48
-AUDIT_ROWS = 256
-AUDIT_RECALL = 0.98
+AUDIT_ROWS = 1024
+AUDIT_RECALL = 0.995
+# Shards of up to so many vectors are looked at in full.
+SMALL = 192
 BATCH = 512
 # Single precision orders the search; only double precision decides.
 _SLACK = 1e-4
@@ -185,8 +187,9 @@ def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool =
             part = pending[i : i + rows]
             entry = _entries(upper, asks[part]) if upper.layers else np.full((len(part), 1), graph.layers[0][0][0])
             if own:
-                # the same node twice would be found twice
-                entry = part[:, None]
+                # a node that is found as its own entry must not be in the beam twice
+                entry = np.where(entry == part[:, None], -1, entry)
+                entry = np.concatenate([part[:, None], entry], axis=1)
             node, close = _beam(graph.unit, graph.layers[0][1], asks[part], entry, width)
             near = close >= least
             full = near.all(axis=1) & (width < size)
@@ -205,7 +208,7 @@ def audited(graph: Graph, asks: np.ndarray, least: float, own: bool = False) ->
     sample = np.linspace(0, len(asks) - 1, min(AUDIT_ROWS, len(asks))).astype(np.int64)
     # pairs of the sample that lie above the threshold, from all rows
     truth = np.argwhere(asks[sample] @ graph.unit.T >= least)
-    width = BEAM
+    width = BEAM if len(graph.unit) > SMALL else SMALL
     while True:
         row, node = search(graph, asks, least, width, own)
         got = set(zip(row.tolist(), node.tolist()))

@@ -1,0 +1,101 @@
+"""Tool calls: links, levels, schema checks and canonical JSON."""
+
+import json
+import random
+
+
+from codeloom.llm import toolcalls
+from codeloom.llm.toolcalls import Param, Tool
+
+CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>, level int, json string"
+RESULTS = "conv_id long, call_id string, turn long, content string, result string"
+TOOLS = (
+    Tool("f", (Param("s", "string"), Param("n", "number", False), Param("i", "integer", False))),
+    Tool("g", (Param("a", "array"), Param("o", "object", False), Param("b", "boolean", False))),
+    Tool("h", ()),
+)
+
+
+def run(spark, calls, results):
+    c = spark.createDataFrame([(*x, 0, "j") for x in calls], CALLS)
+    r = spark.createDataFrame([(*x, "r") for x in results], RESULTS)
+    return {(x["conv_id"], x["call_id"]): x for x in toolcalls.tool_calls(c, r, TOOLS).collect()}
+
+
+ARGUMENTS = [
+    ("f", '{"s":"x"}', ""), ("f", ' { "i" : 3 , "s" : "x", "n": 1.5 } ', ""), ("f", '{"s":1}', "type:s"), ("f", '{"s":null}', "type:s"),
+    ("f", "{}", "missing:s"), ("f", '{"s":"x","i":1.5}', "type:i"), ("f", '{"s":"x","n":"1"}', "type:n"), ("f", '{"s":"x","z":{}}', "unexpected:z"),
+    ("f", None, "not_an_object"), ("f", "", "not_an_object"), ("f", "[1]", "not_an_object"), ("f", '"s"', "not_an_object"), ("f", '{"s":"x"} tail', "not_an_object"),
+    ("f", '{"s":"x"},{"s":"y"}', "not_an_object"), ("f", '{"s":"x"', "not_an_object"), ("g", '{"a":[],"o":{"k":1},"b":false}', ""),
+    ("g", '{"a":{},"o":[],"b":0}', "type:a;type:b;type:o"), ("h", "{}", ""), ("h", '{"q":1}', "unexpected:q"), ("k", "{}", "unknown_tool"), (None, "{}", "unknown_tool"),
+    ("f", json.dumps({"s": "é\n\"" * 20_000}), ""),
+]
+
+
+def test_arguments_against_schemas(spark):
+    calls = [(1, f"c{i}", i, name, args, None) for i, (name, args, _) in enumerate(ARGUMENTS)]
+    got = run(spark, calls, [])
+    for i, (_, args, errors) in enumerate(ARGUMENTS):
+        row = got[1, f"c{i}"]
+        assert (row["errors"], row["valid"]) == (errors, errors == ""), args
+        line = json.loads(row["json"])
+        assert list(line) == sorted(line)
+        if "not_an_object" not in errors:
+            assert line["arguments"] == json.loads(args) and list(line["arguments"]) == sorted(line["arguments"])
+
+
+def test_links_duplicates_and_nulls(spark):
+    calls = [(1, "a", 1, "h", "{}", []), (1, "b", 3, "h", "{}", []), (1, "b", 2, "h", '{"q":1}', []), (2, "a", 1, "h", "{}", None), (None, None, 1, "h", "{}", None), (None, None, None, None, None, None)]
+    results = [(1, "a", 2, "late"), (1, "a", 1, "soon"), (1, "x", 5, None), (2, None, 1, "lost"), (None, None, 1, "n")]
+    got = run(spark, calls, results)
+    assert {k: (r["link"], r["n_calls"], r["n_results"]) for k, r in got.items()} == {
+        (1, "a"): ("linked", 1, 2), (1, "b"): ("unanswered", 2, 0), (2, "a"): ("unanswered", 1, 0), (1, "x"): ("orphan", 0, 1),
+        (2, None): ("orphan", 0, 1), (None, None): ("linked", 2, 1),
+    }
+    assert json.loads(got[1, "a"]["json"])["result"] == "soon" and got[1, "b"]["errors"] == "unexpected:q"
+    assert got[1, "x"]["level"] is None and not got[1, "x"]["valid"]
+
+
+def slow_levels(after):
+    """Kahn's algorithm on known identifiers."""
+    level, left = {}, {c: {d for d in deps or () if d in after} for c, deps in after.items()}
+    while True:
+        ready = {c: max((level[d] + 1 for d in deps), default=0) for c, deps in left.items() if deps <= level.keys()}
+        if not ready:
+            return level
+        level |= ready
+        left = {c: d for c, d in left.items() if c not in ready}
+
+
+def test_levels_are_a_topological_order(spark):
+    rng = random.Random(7)
+    calls, after = [], {}
+    for conv in range(20):
+        own = {}
+        for i in range(rng.randint(1, 12)):
+            own[f"c{i}"] = [f"c{rng.randrange(15)}" for _ in range(rng.choice([0, 0, 1, 2]))] or None
+        after[conv] = own
+        calls += [(conv, c, 1, "h", "{}", deps) for c, deps in own.items()]
+    calls += [(99, f"c{i}", 1, "h", "{}", [f"c{i - 1}"] if i else []) for i in range(9)]
+    after[99] = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(9)}
+    got = run(spark, calls, [])
+    for conv, own in after.items():
+        levels = slow_levels(own)
+        for c, deps in own.items():
+            row = got[conv, c]
+            assert row["level"] == levels.get(c)
+            assert ("cycle" in row["errors"].split(";")) == (c not in levels)
+            unknown = sorted({f"unknown_dependency:{d}" for d in deps or () if d not in own})
+            assert [e for e in row["errors"].split(";") if e.startswith("unknown")] == unknown
+
+
+def test_empty_tables(spark):
+    assert run(spark, [], []) == {}
+    assert len(run(spark, [], [(1, "a", 1, "x")])) == 1
+
+
+def test_the_plan_is_native(spark):
+    c = spark.createDataFrame([(1, "a", 1, "h", "{}", ["b"], 0, "")], CALLS)
+    r = spark.createDataFrame([], RESULTS)
+    plan = toolcalls.tool_calls(c, r, TOOLS)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -8,14 +8,17 @@ the lowest cost that has room for them; what fits nowhere whole is cut.
 from __future__ import annotations
 
 import heapq
-import re
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from tokenizers import Tokenizer
 
 from codeloom.llm.common import id_and_text
 
@@ -24,26 +27,54 @@ END_ID = 1
 # Documents packed together: what a task holds besides an Arrow batch.
 BLOCK_TOKENS = 4_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-# Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
-_TWO_BLANKS = re.compile(r"\s\s")
+# Fixed value: how byte-level vocabularies of this kind cut a text into words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable
+    ones for themselves, the others, in order, for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(spec: dict) -> tiktoken.Encoding | None:
+    """The file's merges for the faster library, which ranks merges by the id of their
+    product; None for a file where that is not the order of the merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True)
+    if model.get("type") != "BPE" or not plain or before.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    if model.get("dropout") or model.get("ignore_merges") or spec.get("truncation"):
+        return None
+    vocab, octet = model["vocab"], _byte_of()
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab["".join(pair)] for pair in pairs]
+    singles = [i for token, i in vocab.items() if len(token) == 1]
+    if made != sorted(set(made)) or len(singles) != 256 or max(singles) > made[0]:
+        return None
+    ranks = {bytes(octet[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("packing", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Ids by the tokenizer file, with a memory of words.
+    """Ids by the tokenizer file.
 
-    The byte-level pattern cuts a text before each single blank that stands between
-    other characters, whatever surrounds it, so the words may be encoded one by one.
-    Texts with white space in a row are encoded as a whole.
+    Where the file allows it, its merges run in the faster of two libraries, which
+    gives the same ids at a quarter of the time; a text that holds one of the file's
+    special tokens always goes to the first.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        self.ranked = _ranked(spec)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -51,33 +82,14 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        if self.ranked is None or any(token in text for token in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ranked.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _TWO_BLANKS.search(text):
-                split.append(None)
-            else:
-                words = text.split(" ")
-                # a blank belongs to the word behind it
-                split.append([words[0], *[" " + w for w in words[1:]]])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, own in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(own.ids, "<u4").tobytes()
-        return [
-            b"".join([known[w] for w in words]) if words is not None else self._whole(text)
-            for text, words in zip(texts, split, strict=True)
-        ]
-
 
 def cost(length: int) -> float:
     return LINEAR * length + QUADRATIC * length * length
@@ -193,12 +205,10 @@ def pack(
         ids, encoded, held = [], [], 0
         for batch in batches:
             own, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for i in range(0, len(own), 256):
-                part = [(t or b"").decode("utf-8", "replace") for t in texts[i : i + 256]]
-                some = [e + end for e in encoder.encode(part)]
-                ids += own[i : i + 256]
-                encoded += some
-                held += sum(map(len, some)) // 4
+            for i, text in zip(own, texts, strict=True):
+                ids.append(i)
+                encoded.append(encoder.encode((text or b"").decode("utf-8", "replace")) + end)
+                held += len(encoded[-1]) // 4
                 if held >= block_tokens:
                     out, sequence = emit(sequence, ids, encoded)
                     yield out
@@ -206,8 +216,6 @@ def pack(
         if ids:
             yield emit(sequence, ids, encoded)[0]
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     texts = id_and_text(docs, id_col, text_col)
     id_type = texts.schema["id"].dataType
     kind = to_arrow_type(id_type)

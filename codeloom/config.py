@@ -39,14 +39,6 @@ DEFAULT_FORMATS = ("md", "mermaid", "json")
 
 @dataclass(frozen=True)
 class AnalysisConfig:
-    """`ignore`, `depth` and `include_root_dir` affect data; the rest labels outputs."""
+    """Which files are analysed."""
 
-    language: str = "en"
-    output: tuple[str, ...] = DEFAULT_FORMATS
-    provider: str = ""
-    model: str = ""
-    fallback: str = "ollama"
-    depth: int = 3
-    incremental: bool = True
     ignore: tuple[str, ...] = field(default=DEFAULT_IGNORE)
-    include_root_dir: bool = False

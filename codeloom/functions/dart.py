@@ -41,10 +41,30 @@ def exports(content: Column, functions: Column, types: Column) -> Column:
     )
 
 
+# Marks an opening bracket that an arrow behind a closing one follows in its line. Only
+# there may a route have parameters, so no other bracket is searched to the line's end.
+_ARROW_AHEAD = "\ufdd5"
+_ROUTE = P.DART_ROUTE.replace(r"(?:\(", rf"(?:{_ARROW_AHEAD}\(")
+_UP_TO_ARROW = rf"(?d).*\){P.S}*+=>|[^\n]++|\n"
+
+
+def _marked(content: Column) -> Column:
+    def mark(part: Column) -> Column:
+        return F.when(
+            part.rlike(rf"\){P.S}*+=>\z"), F.replace(part, F.lit("("), F.lit(_ARROW_AHEAD + "("))
+        ).otherwise(part)
+
+    parts = F.regexp_extract_all(content, F.lit(_UP_TO_ARROW), F.lit(0))
+    return F.when(
+        content.contains("=>"), F.array_join(F.transform(parts, mark), "")
+    ).otherwise(content)
+
+
 def routes(content: Column) -> Column:
     return F.transform(
-        matches(content, P.DART_ROUTE, ("'/", '"/')),
+        matches(_marked(content), _ROUTE, ("'/", '"/')),
         lambda h: sym.route(
-            F.lit("GET"), group(h, P.DART_ROUTE, 1), group(h, P.DART_ROUTE, 2), h["line"]
+            F.lit("GET"), F.replace(group(h, _ROUTE, 1), F.lit(_ARROW_AHEAD), F.lit("")),
+            group(h, _ROUTE, 2), h["line"],
         ),
     )

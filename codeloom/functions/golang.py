@@ -219,9 +219,32 @@ def exports(functions: Column, types: Column) -> Column:
     return F.transform(F.array_sort(F.concat(fns, tps)), lambda s: s["name"])
 
 
+def _without_raw_strings(bare: Column) -> Column:
+    """``bare`` with raw strings emptied, but for those that are a call's first argument:
+    code inside a string is no call."""
+    opens = rf"(?i)\.{P.S}*+(?:{_METHOD}){P.S}*+\({P.S}*+\z"
+
+    def emptied(t: Column) -> Column:
+        breaks = F.regexp_replace(t, F.lit(r"[^\n]++"), F.lit(""))
+        return F.concat(F.lit("`"), breaks, F.lit("`"))
+
+    def mask(tokens: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda t, i: F.when(
+                t.startswith("`") & ~F.coalesce(F.get(tokens, i - 1), F.lit("")).rlike(opens),
+                emptied(t),
+            ).otherwise(t),
+        )
+
+    found = F.regexp_extract_all(bare, F.lit(_TOKEN), F.lit(0))
+    masked = F.array_join(let(found, mask, kind="array<string>"), "")
+    return F.when(bare.contains("`"), masked).otherwise(bare)
+
+
 def routes(bare: Column) -> Column:
     return F.transform(
-        matches(bare, _ROUTE, ("(",), ahead=3),
+        matches(_without_raw_strings(bare), _ROUTE, ("(",), ahead=3),
         lambda h: sym.route(
             F.upper(group(h, _ROUTE_HEAD, 1)),
             F.btrim(group(h, _ROUTE_HEAD, 2), F.lit('"')),

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One row in PROBE_EVERY is looked at to find hot keys; a key seen HOT_ROWS times
-# in the probe is split over SALTS tasks. At most MAX_HOT keys are split: with
-# more keys than that, each holds too small a share to stall a task.
+# One row in PROBE_EVERY is looked at to find hot keys; a key that holds more of those
+# than a shuffle partition does on average is split over SALTS tasks. So there are at
+# most as many hot keys as shuffle partitions, whatever the size of the data.
 PROBE_EVERY = 100
-HOT_ROWS = 20_000
-MAX_HOT = 1024
 SALTS = 64
 
 
@@ -21,15 +19,14 @@ def lookup(
     row_id: list[str],
     how: str = "left",
     probe_every: int = PROBE_EVERY,
-    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one or few rows per key.
 
     Hot keys of ``left`` are found from a hash-chosen share of its rows. That
-    choice only decides the salting: every row is joined. The hot list is at
-    most ``MAX_HOT`` eight-byte hashes, so it can always be broadcast; the rows
-    of ``right`` are repeated for those keys only.
+    choice only decides the salting: every row is joined. The hot list has at
+    most as many eight-byte hashes as there are shuffle partitions, so it can
+    always be broadcast; the rows of ``right`` are repeated for those keys only.
 
     ``row_id`` spreads the left rows of one key. Columns that exist before a row
     is unfolded serve best: the probe's filter then moves below the unfolding.
@@ -38,15 +35,10 @@ def lookup(
     hashed = left.withColumn("_key", F.xxhash64(*keys)).withColumn(
         "_row", F.xxhash64(F.lit("row"), *row_id)
     )
-    hot = (
-        hashed.filter(F.pmod("_row", F.lit(probe_every)) == 0)
-        .groupBy("_key")
-        .count()
-        .filter(F.col("count") >= hot_rows)
-        .orderBy(F.desc("count"), "_key")
-        .limit(MAX_HOT)
-        .select("_key", F.lit(True).alias("_hot"))
-    )
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = hashed.filter(F.pmod("_row", F.lit(probe_every)) == 0).groupBy("_key").count()
+    average = counts.agg(F.sum("count") / partitions).scalar()
+    hot = counts.filter(F.col("count") > average).select("_key", F.lit(True).alias("_hot"))
     salted = (
         hashed.join(F.broadcast(hot), "_key", "left")
         .withColumn(

@@ -42,13 +42,24 @@ Be specific, technical, and helpful to a developer who is new to this codebase.
 Output language: {language}
 """
 
-# Longest prompt that is assembled into one row, in characters.
-MAX_PROMPT = 4_000_000
-
-
-def prompt_pieces(nodes: DataFrame, edges: DataFrame, language: str = "en") -> DataFrame:
-    """The prompt of each project as pieces of text ordered by ``section, file,
-    seq``; joined without a separator they are the prompt. Any project size."""
+# The texts between the parts of the prompt.
+OPENING = ('You are analyzing a software project called "', '".\nBelow is the structural analysis of the codebase:\n\n')
+FACTS = ("Files analyzed: %d\n", "Languages: %s\n")
+ENTRIES = ("Entry points: ", "\n")
+GRAPH = (
+    "\nFile structure and relationships:\nGraph summary:\n",
+    "  Modules: %d\n", "  Types: %d\n", "  API routes: %d\n", "  Dependencies: %d\n\n",
+    "Key relationships:\n",
+)
+FUNCTIONS = "\n\nKey functions and modules:\n"
+
+
+def build_prompts(nodes: DataFrame, edges: DataFrame, language: str = "en") -> DataFrame:
+    """``project, section, file, seq, text``: the prompt of each project in pieces.
+
+    Ordered by ``section, file, seq`` and joined without a separator they are the
+    prompt, whole for a project of any size; none is ever put together in one row.
+    """
     totals = report.project_totals(nodes, edges)
     counts = graph_summary(nodes, edges).withColumnRenamed("types", "exported")
     per_language = report.language_counts(nodes)
@@ -69,28 +80,27 @@ def prompt_pieces(nodes: DataFrame, edges: DataFrame, language: str = "en") -> D
         report.block(
             0,
             F.concat(
-                F.lit('You are analyzing a software project called "'), name, F.lit('".\n'),
-                F.lit("Below is the structural analysis of the codebase:\n\n"),
-                F.format_string("Files analyzed: %d\n", "files"),
-                F.format_string("Languages: %s\n", "langs"),
+                F.lit(OPENING[0]), name, F.lit(OPENING[1]),
+                F.format_string(FACTS[0], "files"),
+                F.format_string(FACTS[1], "langs"),
             ),
         ),
-        F.when(has_entry, report.block(1, "Entry points: ")).otherwise(
+        F.when(has_entry, report.block(1, ENTRIES[0])).otherwise(
             F.slice(report.block(1, ""), 1, 0)
         ),
-        F.when(has_entry, report.block(3, "\n")).otherwise(F.slice(report.block(3, ""), 1, 0)),
+        F.when(has_entry, report.block(3, ENTRIES[1])).otherwise(F.slice(report.block(3, ""), 1, 0)),
         report.block(
             4,
             F.concat(
-                F.lit("\nFile structure and relationships:\nGraph summary:\n"),
-                F.format_string("  Modules: %d\n", "modules"),
-                F.format_string("  Types: %d\n", "exported"),
-                F.format_string("  API routes: %d\n", "api_routes"),
-                F.format_string("  Dependencies: %d\n\n", "dependencies"),
-                F.lit("Key relationships:\n"),
+                F.lit(GRAPH[0]),
+                F.format_string(GRAPH[1], "modules"),
+                F.format_string(GRAPH[2], "exported"),
+                F.format_string(GRAPH[3], "api_routes"),
+                F.format_string(GRAPH[4], "dependencies"),
+                F.lit(GRAPH[5]),
             ),
         ),
-        report.block(6, "\n\nKey functions and modules:\n"),
+        report.block(6, FUNCTIONS),
         report.block(8, "\n" + INSTRUCTIONS.format(language=language)),
     )
     heads = (
@@ -118,59 +128,51 @@ def prompt_pieces(nodes: DataFrame, edges: DataFrame, language: str = "en") -> D
     return heads.select(*report.LINE).unionByName(body)
 
 
-def build_prompts(
-    nodes: DataFrame, edges: DataFrame, language: str = "en", max_chars: int = MAX_PROMPT
-) -> DataFrame:
-    """``project, chars, oversized, prompt``: one prompt per project.
+# What stands before and behind the prompt in each provider's request.
+def _frame(provider: str, model: str) -> tuple[str, str]:
+    if provider == "gemini":
+        return '{"contents":[{"parts":[{"text":"', f'"}}]}}],"generationConfig":{{"maxOutputTokens":{MAX_TOKENS}}}}}'
+    if provider == "ollama":
+        return f'{{"model":"{model}","prompt":"', '","stream":false}'
+    return f'{{"max_tokens":{MAX_TOKENS},"messages":[{{"content":"', f'","role":"user"}}],"model":"{model}"}}'
 
-    A prompt longer than ``max_chars`` is never cut: it is flagged, and stays
-    available whole as :func:`prompt_pieces`.
-    """
-    pieces = prompt_pieces(nodes, edges, language)
-    sizes = pieces.groupBy("project").agg(F.sum(F.length("text")).cast("long").alias("chars"))
-    sizes = sizes.withColumn("oversized", F.col("chars") > max_chars)
-    fitting = sizes.filter(~F.col("oversized")).select("project")
-    ordered = F.array_sort(F.collect_list(F.struct("section", "file", "seq", "text")))
-    joined = (
-        skew.lookup(pieces, fitting, ["project"], report.PLACE, how="left_semi")
-        .groupBy("project")
-        .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("prompt"))
-    )
-    return sizes.join(joined, "project", "left")
+
+def escaped(text: Column) -> Column:
+    """``text`` as it stands between the quotes of a JSON string; escaping goes
+    character by character, so pieces may be escaped on their own."""
+    quoted = F.to_json(F.struct(text.alias("t")))
+    return F.substr(quoted, F.lit(7), F.length(quoted) - 8)
 
 
 def request_payloads(prompts: DataFrame, providers: tuple[str, ...] = tuple(MODELS)) -> DataFrame:
-    """``project, provider, model, payload``: a JSON request body per provider.
+    """``project, provider, model, section, file, seq, text``: request bodies in pieces.
 
-    The providers are a fixed short list, unfolded per row."""
+    Ordered by ``section, file, seq`` and joined without a separator, the pieces of a
+    project and provider are one JSON body. The providers are a fixed short list,
+    unfolded per piece.
+    """
+    frames = {p: _frame(p, MODELS[p]) for p in providers}
     wanted = F.array(
+        *[F.struct(F.lit(p).alias("provider"), F.lit(MODELS[p]).alias("model")) for p in providers]
+    )
+    ends = F.array(
         *[
-            F.struct(F.lit(p).alias("provider"), F.lit(MODELS[p]).alias("model"))
-            for p in providers
+            F.struct(
+                F.lit(p).alias("provider"), F.lit(MODELS[p]).alias("model"),
+                F.lit(section).alias("section"), F.lit("").alias("file"), F.lit(0).alias("seq"),
+                F.lit(text).alias("text"),
+            )
+            for p, frame in frames.items()
+            for section, text in zip((-1, 9), frame)
         ]
     )
-    asked = prompts.filter(F.col("prompt").isNotNull()).select(
-        "project", "prompt", F.inline(wanted)
-    )
-    provider, limit = F.col("provider"), F.lit(MAX_TOKENS)
-    prompt = F.col("prompt")
-    contents = F.array(F.struct(F.array(F.struct(prompt.alias("text"))).alias("parts")))
-    parts = F.struct(
-        contents.alias("contents"),
-        F.struct(limit.alias("maxOutputTokens")).alias("generationConfig"),
-    )
-    plain = F.struct("model", "prompt", F.lit(False).alias("stream"))
-    chat = F.struct(
-        limit.alias("max_tokens"),
-        F.array(F.struct(prompt.alias("content"), F.lit("user").alias("role"))).alias("messages"),
-        "model",
-    )
-    payload = (
-        F.when(provider == "gemini", F.to_json(parts))
-        .when(provider == "ollama", F.to_json(plain))
-        .otherwise(F.to_json(chat))
+    columns = ("project", "provider", "model", "section", "file", "seq", "text")
+    middle = prompts.select(
+        "project", "section", "file", "seq", escaped(F.col("text")).alias("text"), F.inline(wanted)
     )
-    return asked.select("project", "provider", "model", payload.alias("payload"))
+    # every prompt has exactly one opening piece
+    outer = prompts.filter((F.col("section") == 0) & (F.col("seq") == 0)).select("project", F.inline(ends))
+    return middle.select(*columns).unionByName(outer.select(*columns))
 
 
 _RESPONSE = {
@@ -191,8 +193,9 @@ def normalize_usage(responses: DataFrame) -> DataFrame:
     """Raw responses as ``text``, token counts and ``error``.
 
     ``responses`` has ``project, provider, model, response, error``. A call that
-    failed, text that is not the provider's JSON and an empty answer all give an
-    ``error``, with no text and no tokens.
+    failed, text that is not the provider's JSON (one object, nothing behind it, whole
+    numbers of tokens) and an empty answer all give an ``error``, with no text and no
+    tokens.
     """
     provider, raw = F.col("provider"), F.col("response")
     shape = F.when(provider.isin("claude", "gemini", "ollama"), provider).when(
@@ -203,7 +206,11 @@ def normalize_usage(responses: DataFrame) -> DataFrame:
         read = read.withColumn(
             name,
             F.when(
-                F.col("shape") == name, F.from_json(raw, schema, {"mode": "PERMISSIVE"})
+                F.col("shape") == name,
+                F.from_json(
+                    raw, f"{schema}, _unread string",
+                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"},
+                ),
             ),
         )
 
@@ -240,7 +247,11 @@ def normalize_usage(responses: DataFrame) -> DataFrame:
         "size(claude.content)", "size(openai.choices)",
         "size(get(gemini.candidates, 0).content.parts)", "length(ollama.response)", "0",
     )
-    parsed = F.get_json_object(raw, "$").isNotNull() & raw.rlike(r"^\s*\{")
+    # as the only member of an array, a text that goes on behind its object is no JSON
+    alone = F.concat(F.lit("["), raw, F.lit("]"))
+    whole = F.try_parse_json(alone).isNotNull() & F.get_json_object(alone, "$[1]").isNull()
+    typed = F.coalesce(*[F.col(f"{name}._unread") for name in _RESPONSE]).isNull()
+    parsed = whole & typed & raw.rlike(r"^\s*\{")
     problem = (
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(F.col("shape").isNull(), "unknown provider")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators import extract, graph, incremental, report, scan, summaries
@@ -66,21 +66,52 @@ def _snapshot_io(w: Workspace) -> DataFrame:
     return _counts(store.load("nodes"))
 
 
+def _counted_file(text: Column) -> Column:
+    """A file's object in the JSON context as its path, language and numbers of members;
+    any other line as it is."""
+    names = ("functions", "imports", "exports", "api_routes", "types")
+    parsed = F.from_json(
+        F.ltrim(text, F.lit(",")),
+        "path string, language string, "
+        + ", ".join(f"{n} array<{'string' if n in ('imports', 'exports') else 'struct<line int>'}>" for n in names),
+    )
+    sizes = [F.coalesce(F.size(parsed[n]), F.lit(0)) for n in names]
+    comma = F.when(text.startswith(","), ",").otherwise("")
+    counted = F.concat(comma, F.concat_ws("|", parsed["path"], parsed["language"], *sizes))
+    return F.when(text.rlike(r'^,?\{"path":'), counted).otherwise(text)
+
+
 def _write_outputs(w: Workspace) -> DataFrame:
-    """The Markdown and Mermaid files of all projects, read back as lines."""
+    """The files of all projects in all three formats, read back as numbered lines.
+
+    A line's number counts the lines of the earlier parts of its project and those
+    before it in its own part, so lines are numbered per part and never per project.
+    """
     out = new_stage_path(w.spark, "outputs")
     reports = {
-        "md": report.markdown_report(w.nodes, w.edges, GENERATED_AT),
-        "mermaid": graph.mermaid_lines(w.graph_nodes, w.edges),
+        "md": stage(report.markdown_report(w.nodes, w.edges, GENERATED_AT), "md-lines"),
+        "mermaid": stage(graph.mermaid_lines(w.graph_nodes, w.edges), "mermaid-lines"),
+        "json": stage(report.context_json(w.nodes, w.edges, GENERATED_AT), "json-lines"),
     }
-    paths = write_outputs(reports, ("markdown", "mmd"), out)
-    read = [
-        w.spark.read.schema("value string, project string").text(path).select(
-            "project", F.lit(path.rsplit("/", 1)[1]).alias("format"), F.col("value").alias("text")
+    paths = write_outputs(reports, ("markdown", "mmd", "json"), out)
+    lines = None
+    for path in paths:
+        read = w.spark.read.schema("value string, project string").text(path).select(
+            "project", F.lit(path.rsplit("/", 1)[1]).alias("format"), F.col("value").alias("text"),
+            F.concat_ws("/", "_metadata.file_name", F.format_string("%012d", "_metadata.file_block_start")).alias("part"),
+            F.monotonically_increasing_id().alias("place"),
         )
-        for path in paths
-    ]
-    return read[0].unionByName(read[1])
+        lines = read if lines is None else lines.unionByName(read)
+    key = ["project", "format"]
+    parts = lines.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = parts.select(
+        *key, "part",
+        (F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")).alias("before"),
+    )
+    inside = F.row_number().over(Window.partitionBy(*key, "part").orderBy("place"))
+    numbered = lines.withColumn("inside", inside).join(before, [*key, "part"])
+    text = F.when(F.col("format") == "json", _counted_file(F.col("text"))).otherwise(F.col("text"))
+    return numbered.select(*key, (F.col("before") + F.col("inside")).alias("line"), text.alias("text"))
 
 
 def _watch_sources(w: Workspace) -> DataFrame:
@@ -126,42 +157,14 @@ def _summary_fallback(w: Workspace) -> DataFrame:
     return summaries.summary_fallback(structural.select("project"), last, structural, "claude")
 
 
-def _payload_fields(w: Workspace) -> DataFrame:
-    payload = F.col("payload")
-    field = lambda path: F.get_json_object(payload, path)
-    text = F.coalesce(
-        field("$.messages[0].content"), field("$.contents[0].parts[0].text"), field("$.prompt")
-    )
-    return summaries.request_payloads(summaries.build_prompts(w.nodes, w.edges)).select(
-        "project",
-        "provider",
-        F.coalesce(field("$.model"), F.lit("")).alias("model"),
-        F.coalesce(field("$.max_tokens"), field("$.generationConfig.maxOutputTokens"))
-        .cast("long")
-        .alias("max_tokens"),
-        F.md5(text).alias("prompt_digest"),
-    )
+def _payload_pieces(w: Workspace) -> DataFrame:
+    pieces = summaries.request_payloads(summaries.build_prompts(w.nodes, w.edges))
+    return pieces.withColumn("text", F.md5("text"))
 
 
-def _context_fields(w: Workspace) -> DataFrame:
-    document = report.context_json(w.nodes, w.edges, GENERATED_AT)
-    parsed = F.from_json(
-        "document",
-        "project string, generated_at string, summary string, "
-        "files array<struct<path string, imports array<string>>>, "
-        "graph struct<nodes array<struct<id string>>, edges array<struct<`from` string>>>, "
-        "entry_points array<string>",
-    )
-    return document.select("oversized", parsed.alias("d")).select(
-        F.col("d.project"),
-        "oversized",
-        F.col("d.generated_at"),
-        F.col("d.summary"),
-        F.size("d.files").cast("long").alias("files"),
-        F.size("d.graph.nodes").cast("long").alias("nodes"),
-        F.size("d.graph.edges").cast("long").alias("edges"),
-        F.array_join("d.entry_points", ",").alias("entry_points"),
-    )
+def _context_lines(w: Workspace) -> DataFrame:
+    lines = report.context_json(w.nodes, w.edges, GENERATED_AT)
+    return _lines(lines.withColumn("text", _counted_file(F.col("text"))))
 
 
 def _lines(lines: DataFrame) -> DataFrame:
@@ -252,17 +255,13 @@ QUERIES: dict[str, Query] = {
     "markdown_report": _on(
         lambda w: _lines(report.markdown_report(w.nodes, w.edges, GENERATED_AT))
     ),
-    "context_json": _on(_context_fields),
+    "context_json": _on(_context_lines),
     "write_outputs": _on(_write_outputs),
     "structural_summary": _on(lambda w: report.structural_summary(w.nodes, w.edges)),
     "run_stats": _on(lambda w: report.run_stats(w.nodes, w.edges)),
     # model-written summaries
-    "build_prompts": _on(
-        lambda w: summaries.build_prompts(w.nodes, w.edges).select(
-            "project", "chars", F.md5("prompt").alias("prompt_digest")
-        )
-    ),
-    "request_payloads": _on(_payload_fields),
+    "build_prompts": _on(lambda w: _lines(summaries.build_prompts(w.nodes, w.edges))),
+    "request_payloads": _on(_payload_pieces),
     "normalize_usage": _on(_usage),
     "usage_cost": _on(
         lambda w: _costs(w).select(

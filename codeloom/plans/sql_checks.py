@@ -17,7 +17,17 @@ from codeloom.functions.patterns import (
     RE2,
     REPORT_ENTRY_ENDINGS,
 )
-from codeloom.operators.summaries import INSTRUCTIONS, MAX_TOKENS, MODELS, PRICES
+from codeloom.operators.summaries import (
+    ENTRIES,
+    FACTS,
+    FUNCTIONS,
+    GRAPH,
+    INSTRUCTIONS,
+    MAX_TOKENS,
+    MODELS,
+    OPENING,
+    PRICES,
+)
 from codeloom.sources import derived
 
 
@@ -383,6 +393,16 @@ def _usage() -> str:
         number("$.usage.total_tokens"), number("$.usageMetadata.totalTokenCount"),
         number("$.prompt_eval_count") + " + " + number("$.eval_count"),
     )
+    def counted(*paths: str) -> str:
+        kinds = ", ".join(f"coalesce(json_type(response, '{path}'), 'NULL')" for path in paths)
+        return f"len(list_filter([{kinds}], lambda t: t NOT IN ('UBIGINT', 'BIGINT', 'NULL'))) > 0"
+
+    untyped = pick(
+        counted("$.usage.input_tokens", "$.usage.output_tokens"),
+        counted("$.usage.prompt_tokens", "$.usage.completion_tokens", "$.usage.total_tokens"),
+        counted(*("$.usageMetadata." + n for n in ("promptTokenCount", "candidatesTokenCount", "totalTokenCount"))),
+        counted("$.prompt_eval_count", "$.eval_count"),
+    )
     answers = pick(
         "json_array_length(response, '$.content')", "json_array_length(response, '$.choices')",
         "json_array_length(response, '$.candidates[0].content.parts')", "length(" + text("$.response") + ")",
@@ -394,7 +414,7 @@ def _usage() -> str:
             for e, n in ((body, "text"), (spent, "input_tokens"), (made, "output_tokens"), (total, "total_tokens"))
         )
         + " FROM (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN shape IS NULL THEN 'unknown provider' "
-        f"WHEN response IS NULL OR NOT json_valid(response) THEN 'unreadable response' WHEN coalesce({answers}, 0) = 0 THEN 'empty response' END AS problem "
+        f"WHEN response IS NULL OR NOT json_valid(response) THEN 'unreadable response' WHEN {untyped} THEN 'unreadable response' WHEN coalesce({answers}, 0) = 0 THEN 'empty response' END AS problem "
         "FROM (SELECT *, CASE WHEN provider IN ('claude', 'gemini', 'ollama') THEN provider "
         "WHEN provider IN ('openai', 'mistral', 'deepseek') THEN 'openai' END AS shape FROM responses))"
     )
@@ -488,24 +508,85 @@ def _markdown(generated_at: str) -> str:
 
 
 def _prompts() -> str:
-    def listed(expr: str, source: str, sep: str, order: str) -> str:
-        return f"( SELECT project, string_agg({expr}, {sep} ORDER BY {order}) AS x FROM {source} GROUP BY project )"
+    langs = "( SELECT project, string_agg(language || ' (' || files || ' files)', ', ' ORDER BY language) AS langs FROM language_counts GROUP BY project )"
+    whole = f"( SELECT * FROM summary_counts JOIN {langs} l USING (project) )"
+    entry = f"( SELECT project, path, min(path) OVER (PARTITION BY project) AS first FROM files WHERE {_IS_PROMPT_ENTRY} )"
+    with_entry = f"( SELECT DISTINCT project FROM files WHERE {_IS_PROMPT_ENTRY} )"
+
+    def filled(template: str, column: str) -> str:
+        before, after = template.split("%s" if "%s" in template else "%d")
+        return f"{_q(before)} || {column} || {_q(after)}"
+
+    opening = f"{_q(OPENING[0])} || project || {_q(OPENING[1])} || {filled(FACTS[0], 'modules')} || {filled(FACTS[1], 'langs')}"
+    counts = " || ".join(filled(t, c) for t, c in zip(GRAPH[1:5], ("modules", "types", "api_routes", "dependencies")))
+    parts = _block(0, [opening], whole)
+    parts += _block(1, [_q(ENTRIES[0])], with_entry) + _block(3, [_q(ENTRIES[1])], with_entry)
+    parts.append(_section(2, "path", "0", "CASE WHEN path = first THEN '' ELSE ', ' END || path", entry))
+    parts += _block(4, [f"{_q(GRAPH[0])} || {counts} || {_q(GRAPH[5])}"], "summary_counts")
+    parts.append(_section(5, "from_path", "ord", "'  ' || from_id || ' --imports--> ' || to_id || chr(10)", "edges"))
+    parts += _block(6, [_q(FUNCTIONS)], "summary_counts")
+    parts.append(_section(7, "path", "ord", "'- ' || path || ': ' || name || '()' || chr(10)", "all_functions WHERE exported"))
+    parts += _block(8, ["chr(10) || " + _q(INSTRUCTIONS.format(language="en"))], "summary_counts")
+    return " UNION ALL ".join(parts)
 
+
+def _payloads() -> str:
+    ends, models = [], []
+    for provider, model in MODELS.items():
+        head = {
+            "gemini": '{"contents":[{"parts":[{"text":"',
+            "ollama": f'{{"model":"{model}","prompt":"',
+        }.get(provider, f'{{"max_tokens":{MAX_TOKENS},"messages":[{{"content":"')
+        tail = {
+            "gemini": f'"}}]}}],"generationConfig":{{"maxOutputTokens":{MAX_TOKENS}}}}}',
+            "ollama": '","stream":false}',
+        }.get(provider, f'","role":"user"}}],"model":"{model}"}}')
+        models.append(f"({_q(provider)}, {_q(model)})")
+        ends += [f"({_q(provider)}, {_q(model)}, -1, {_q(head)})", f"({_q(provider)}, {_q(model)}, 9, {_q(tail)})"]
+    escaped = "to_json(text)::VARCHAR"
     return (
-        "SELECT project, CAST(length(prompt) AS BIGINT) AS chars, md5(prompt) AS prompt_digest, prompt FROM ("
-        "SELECT s.project, 'You are analyzing a software project called \"' || s.project || '\".' || chr(10) || "
-        "'Below is the structural analysis of the codebase:' || chr(10) || chr(10) || "
-        "'Files analyzed: ' || modules || chr(10) || 'Languages: ' || langs.x || chr(10) || "
-        "coalesce('Entry points: ' || entries.x || chr(10), '') || chr(10) || 'File structure and relationships:' || chr(10) || "
-        "'Graph summary:' || chr(10) || '  Modules: ' || modules || chr(10) || '  Types: ' || types || chr(10) || "
-        "'  API routes: ' || api_routes || chr(10) || '  Dependencies: ' || dependencies || chr(10) || chr(10) || 'Key relationships:' || chr(10) || "
-        "coalesce(rel.x, '') || chr(10) || chr(10) || 'Key functions and modules:' || chr(10) || coalesce(fns.x, '') || chr(10) || "
-        f"{_q(INSTRUCTIONS.format(language='en'))} AS prompt FROM summary_counts s "
-        + "JOIN " + listed("language || ' (' || files || ' files)'", "language_counts", "', '", "language") + " langs ON langs.project = s.project "
-        + "LEFT JOIN " + listed("path", f"files WHERE {_IS_PROMPT_ENTRY}", "', '", "path") + " entries ON entries.project = s.project "
-        + "LEFT JOIN " + listed("'  ' || from_id || ' --imports--> ' || to_id || chr(10)", "edges", "''", "from_path, ord") + " rel ON rel.project = s.project "
-        + "LEFT JOIN " + listed("'- ' || path || ': ' || name || '()' || chr(10)", "all_functions WHERE exported", "''", "path, ord") + " fns ON fns.project = s.project )"
-    )
+        f"SELECT project, provider, model, section, file, seq, md5(substr({escaped}, 2, length({escaped}) - 2)) AS text "
+        f"FROM ({_prompts()}) CROSS JOIN (VALUES {', '.join(models)}) m(provider, model) UNION ALL "
+        "SELECT project, provider, model, section, '' AS file, CAST(0 AS INTEGER) AS seq, md5(text) AS text "
+        f"FROM summary_counts CROSS JOIN (VALUES {', '.join(ends)}) e(provider, model, section, text)"
+    )
+
+
+def _context(generated_at: str) -> str:
+    """The lines of the JSON context, those of files as numbers of members."""
+    entry = f"( SELECT project, path, min(path) OVER (PARTITION BY project) AS first FROM files WHERE {_IS_ENTRY} )"
+    edge = "( SELECT *, row_number() OVER (PARTITION BY project ORDER BY from_path, ord) AS place FROM edges )"
+    node = "( SELECT *, min(file) OVER (PARTITION BY project) AS first FROM graph_nodes )"
+    own = "( SELECT *, min(path) OVER (PARTITION BY project) AS first FROM node_counts )"
+
+    def comma(first: str) -> str:
+        return f"CASE WHEN {first} THEN '' ELSE ',' END"
+
+    def quoted(column: str) -> str:
+        return f"to_json({column})::VARCHAR"
+
+    object_ = f"'{{\"id\":' || {quoted('id')} || ',\"label\":' || {quoted('label')} || ',\"type\":' || {quoted('type')} || ',\"file\":' || {quoted('file')} || '}}'"
+    link = f"'{{\"from\":' || {quoted('from_id')} || ',\"to\":' || {quoted('to_id')} || ',\"type\":' || {quoted('type')} || '}}'"
+    head = f"'{{\"project\":' || {quoted('project')} || ',\"generated_at\":\"{generated_at}\",\"summary\":' || {quoted('summary')} || ',\"files\":['"
+    parts = _block(0, [head], "structural")
+    counts = " || '|' || ".join(("language", "functions", "imports", "exports", "api_routes", "types"))
+    parts.append(_section(1, "path", "0", f"{comma('path = first')} || path || '|' || {counts}", own))
+    for number, text in ((2, '],"graph":{"nodes":['), (5, '],"edges":['), (7, ']},"entry_points":['), (9, "]}")):
+        parts += _block(number, [_q(text)], "structural")
+    parts.append(_section(3, "file", "ord", f"{comma('file = first')} || {object_}", f"{node} WHERE type = 'module'"))
+    parts.append(_section(4, "file", "ord", f"',' || {object_}", f"{node} WHERE type <> 'module'"))
+    parts.append(_section(6, "from_path", "ord", f"{comma('place = 1')} || {link}", edge))
+    parts.append(_section(8, "path", "0", f"{comma('path = first')} || {quoted('path')}", entry))
+    return " UNION ALL ".join(parts)
+
+
+def _outputs(generated_at: str) -> str:
+    def numbered(name: str, lines: str) -> str:
+        return (
+            f"SELECT project, {_q(name)} AS format, row_number() OVER (PARTITION BY project ORDER BY section, file, seq) AS line, text FROM ({lines})"
+        )
+
+    return numbered("md", _markdown(generated_at)) + " UNION ALL " + numbered("mermaid", _mermaid()) + " UNION ALL " + numbered("json", _context(generated_at))
 
 
 _COUNTS = "project, path, language, functions, imports, exports, api_routes, types"
@@ -520,11 +601,6 @@ def all_checks() -> dict[str, str]:
         n: f"SELECT project, path, ord, method, route, handler, line FROM {n}_routes"
         for n in ("js", "py", "dart", "go")
     }
-    models = " UNION ALL ".join(
-        f"SELECT {_q(p)} AS provider, {_q('' if p == 'gemini' else m)} AS model, "
-        f"{'CAST(NULL AS BIGINT)' if p == 'ollama' else f'CAST({MAX_TOKENS} AS BIGINT)'} AS max_tokens"
-        for p, m in MODELS.items()
-    )
     selects = {
         "scan_sources": "SELECT project, path, length(content) AS n_chars, md5(content) AS digest FROM corpus",
         "ignore_filter": f"SELECT project, path FROM corpus WHERE {_KEEP}",
@@ -564,7 +640,7 @@ def all_checks() -> dict[str, str]:
         "relationship_lines": "SELECT project, from_path, ord, '  ' || from_id || ' --' || type || '--> ' || to_id AS text FROM edges",
         "changed_files": (
             "SELECT coalesce(a.project, b.project) AS project, coalesce(a.path, b.path) AS path, "
-            "CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.content <> b.content THEN 'modified' ELSE 'unchanged' END AS status "
+            "CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.content IS DISTINCT FROM b.content THEN 'modified' ELSE 'unchanged' END AS status "
             f"FROM corpus a FULL JOIN ({derived.next_corpus_sql()}) b ON a.project = b.project AND a.path = b.path"
         ),
         "language_counts": "SELECT project, language, files FROM language_counts",
@@ -575,20 +651,12 @@ def all_checks() -> dict[str, str]:
         "key_types": "SELECT project, path, ord, name, kind FROM all_types WHERE exported",
         "snapshot_io": f"SELECT {_COUNTS} FROM node_counts",
         "markdown_report": _markdown(GENERATED_AT),
-        "write_outputs": (
-            f"SELECT project, 'md' AS format, text FROM ({_markdown(GENERATED_AT)}) UNION ALL "
-            f"SELECT project, 'mermaid' AS format, text FROM ({_mermaid()})"
-        ),
-        "context_json": (
-            f"SELECT s.project, false AS oversized, {_q(GENERATED_AT)} AS generated_at, s.summary, t.files, "
-            "c.modules + c.types + c.api_routes AS nodes, c.dependencies AS edges, coalesce(e.x, '') AS entry_points "
-            "FROM structural s JOIN totals t USING (project) JOIN summary_counts c USING (project) "
-            f"LEFT JOIN (SELECT project, string_agg(path, ',' ORDER BY path) AS x FROM files WHERE {_IS_ENTRY} GROUP BY project) e USING (project)"
-        ),
+        "write_outputs": _outputs(GENERATED_AT),
+        "context_json": _context(GENERATED_AT),
         "structural_summary": "SELECT project, summary FROM structural",
         "run_stats": "SELECT project, modules AS files, modules + types + api_routes AS nodes, dependencies AS edges FROM summary_counts",
-        "build_prompts": f"SELECT project, chars, prompt_digest FROM ({_prompts()})",
-        "request_payloads": f"SELECT project, provider, model, max_tokens, prompt_digest FROM ({_prompts()}) CROSS JOIN ({models})",
+        "build_prompts": _prompts(),
+        "request_payloads": _payloads(),
         "normalize_usage": "SELECT conv_id, turn, project, provider, model, error, text, input_tokens, output_tokens, total_tokens FROM usage",
         "usage_cost": "SELECT conv_id, turn, provider, round(cost, 9) AS cost FROM costs",
         "cost_string": (

@@ -225,10 +225,6 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(NULL AS STRING) AS body").unionAll(
         documents.selectExpr("doc_id AS k", "doc_id AS c", "coalesce(text, '') AS body")
     )
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        # tables with fewer input splits than cores: use every core, evenly
-        rows = rows.repartition(2 * cores)
 
     def either(small: str, large: str) -> str:
         return f"CASE WHEN body IS NULL THEN {small} ELSE {large} END"
@@ -290,7 +286,12 @@ _QUOTED = (
     "concat(chr(34), replace(replace(replace(CASE WHEN m = 3 THEN '  ' ELSE text END, "
     "chr(92), repeat(chr(92), 2)), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(34))"
 )
-_IN, _OUT = _S("length(text)"), _S("turn * 10 + 25")
+# m = 6 quotes the number, m = 7 makes it a fraction; neither is a count
+_IN = (
+    f"CASE WHEN m = 6 THEN concat(chr(34), {_S('length(text)')}, chr(34)) "
+    f"WHEN m = 7 THEN concat({_S('length(text)')}, '.5') ELSE {_S('length(text)')} END"
+)
+_OUT = _S("turn * 10 + 25")
 _SHAPES = [
     (
         "n IN (1, 3, 4)",
@@ -322,7 +323,7 @@ def _response() -> str:
         body = (
             f"concat('{head}', CASE WHEN m = 1 THEN concat({nothing}) "
             f"ELSE concat('{before}', {_QUOTED}, '{after}') END, '{tail}', "
-            f"CASE WHEN m = 4 THEN '' ELSE {usage} END, CASE WHEN m = 2 THEN '' ELSE '}}' END)"
+            f"CASE WHEN m = 4 THEN '' ELSE {usage} END, CASE WHEN m = 2 THEN '' WHEN m = 5 THEN '}} trailing' ELSE '}}' END)"
         )
         cases.append(f"ELSE {body}" if cond is None else f"WHEN {cond} THEN {body}")
     return f"CASE {' '.join(cases)} END"

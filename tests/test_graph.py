@@ -89,7 +89,7 @@ def brute_force_package(files, imports):
     return found
 
 
-@pytest.mark.parametrize("probe", [{}, {"probe_every": 1, "hot_rows": 2, "salts": 5}])
+@pytest.mark.parametrize("probe", [{}, {"probe_every": 1, "salts": 5}])
 def test_package_rule_against_brute_force(spark, probe):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
@@ -107,14 +107,14 @@ def test_salting_changes_no_edge(nodes_of):
     texts += [("p", "a/hub.ts", ""), ("q", "a/hub.ts", "import h from './hub';")]
     nodes = nodes_of(texts)
     plain = edges_of(nodes)
-    assert plain == edges_of(nodes, probe_every=1, hot_rows=3, salts=4)
+    assert plain == edges_of(nodes, probe_every=1, salts=4)
     assert len(plain) == 81
 
 
 def test_lookup_splits_hot_keys(spark):
     left = spark.range(1000).selectExpr("if(id < 900, 0, id) AS k", "id AS row")
     right = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
-    joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1, hot_rows=100, salts=8)
+    joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1, salts=8)
     assert joined.count() == 1000 and joined.filter("v <> k * 2 OR v IS NULL").count() == 0
 
 

@@ -120,3 +120,14 @@ def test_only_digests_are_shuffled(files):
     plan = incremental.changed_files(files(BEFORE), files(AFTER))._jdf.queryExecution().optimizedPlan().toString()
     join = plan[plan.index("Join"):]
     assert "sha2" in join and "content" not in join[: join.index("sha2")]
+
+
+def test_null_contents_are_there(files):
+    texts = {"both": (None, None), "gone": ("a", None), "new": (None, "b"), "same": ("c", "c")}
+    before = files([("p", k, a) for k, (a, _) in texts.items()] + [("p", "old", None)])
+    after = files([("p", k, b) for k, (_, b) in texts.items()] + [("p", "fresh", None)])
+    got = {r.path: r.status for r in incremental.changed_files(before, after).collect()}
+    assert got == {
+        "both": "unchanged", "gone": "modified", "new": "modified", "same": "unchanged",
+        "old": "deleted", "fresh": "added",
+    }

@@ -129,8 +129,8 @@ def test_entry_points(files):
 
 
 def test_json_document(tables):
-    rows = {r.project: r for r in report.context_json(*tables, AT).collect()}
-    shop = json.loads(rows["shop"].document)
+    lines = report.context_json(*tables, AT)
+    shop = json.loads(text_of(lines, "shop"))
     assert list(shop) == ["project", "generated_at", "summary", "files", "graph", "entry_points"]
     assert shop["files"][0] == {
         "path": "main.py",
@@ -145,21 +145,18 @@ def test_json_document(tables):
     }
     assert shop["graph"]["edges"] == [{"from": "web_app_ts", "to": "web_util_ts", "type": "imports"}]
     assert [n["id"] for n in shop["graph"]["nodes"]] == [
-        "main_py", "main_py_Cart", "main_py_GET__a", "web_app_ts", "web_app_ts_View", "web_util_ts",
+        "main_py", "web_app_ts", "web_util_ts", "main_py_Cart", "main_py_GET__a", "web_app_ts_View",
     ]
     assert shop["entry_points"] == ["main.py", "web/app.ts"]
-    tiny = json.loads(rows["tiny"].document)
+    tiny = json.loads(text_of(lines, "tiny"))
     assert tiny["graph"]["edges"] == [] and tiny["entry_points"] == []
 
 
-def test_large_projects_stay_in_pieces(tables):
-    rows = {r.project: r for r in report.context_json(*tables, AT, max_chars=400).collect()}
-    assert rows["shop"].oversized and rows["shop"].document is None
-    assert not rows["tiny"].oversized and json.loads(rows["tiny"].document)["project"] == "tiny"
-    pieces = report.context_lines(*tables, AT)
-    shop = [json.loads(r.text) for r in pieces.filter("project = 'shop'").orderBy("section", "file", "seq").collect()]
-    assert shop[0]["summary"].startswith("Project with") and len(shop) == 1 + 3 + 6 + 1 + 2
-    assert shop[-2:] == ["main.py", "web/app.ts"]
+def test_no_project_is_gathered(tables):
+    for df in (report.context_json(*tables, AT), report.markdown_report(*tables, AT)):
+        # a project has few languages; nothing else of it is collected
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_list(") == plan.count("collect_list(struct(language")
 
 
 def read_text(folder):
@@ -172,7 +169,7 @@ def test_outputs(tables, tmp_path):
     reports = {
         "md": report.markdown_report(nodes, edges, AT),
         "mermaid": graph.mermaid_lines(graph.graph_nodes(nodes), edges),
-        "json": report.context_lines(nodes, edges, AT),
+        "json": report.context_json(nodes, edges, AT),
     }
     with pytest.warns(UserWarning, match="unknown output format"):
         written = write_outputs(reports, ("markdown", "MMD", "json", "pdf"), str(tmp_path))
@@ -180,7 +177,10 @@ def test_outputs(tables, tmp_path):
     assert read_text(tmp_path / "md/project=shop") == SHOP
     mermaid = read_text(tmp_path / "mermaid/project=shop")
     assert mermaid.startswith("graph TD\n") and "    web_app_ts --> web_util_ts\n" in mermaid
-    assert json.loads(read_text(tmp_path / "json/project=tiny").splitlines()[0])["project"] == "tiny"
+    for project in ("tiny", "shop"):
+        assert json.loads(read_text(tmp_path / f"json/project={project}"))["project"] == project
+    with pytest.warns(UserWarning, match="no json report"):
+        assert write_outputs({"md": reports["md"]}, ("json",), str(tmp_path / "none")) == []
 
 
 def test_lines_of_one_project_span_files_in_order(spark, tmp_path):

@@ -44,29 +44,25 @@ def tables(nodes_of):
     return nodes, stage(graph.import_edges(nodes), "test-edges")
 
 
-def test_prompt(tables):
-    row = summaries.build_prompts(*tables, language="de").first()
-    assert row.prompt == PROMPT and row.chars == len(PROMPT) and not row.oversized
+def joined(pieces):
+    return "".join(r.text for r in pieces.orderBy("section", "file", "seq").collect())
 
 
-def test_long_prompts_stay_in_pieces(tables):
-    row = summaries.build_prompts(*tables, language="de", max_chars=100).first()
-    assert row.oversized and row.prompt is None
-    pieces = summaries.prompt_pieces(*tables, language="de").orderBy("section", "file", "seq")
-    assert "".join(r.text for r in pieces.collect()) == PROMPT
+def test_prompt(tables):
+    assert joined(summaries.build_prompts(*tables, language="de")) == PROMPT
 
 
 def test_project_names_are_quoted(nodes_of, files):
     nodes = nodes_of([('a"b\\c', "x/a.py", "")])
-    row = summaries.build_prompts(nodes, graph.import_edges(nodes)).first()
-    assert row.prompt.startswith('You are analyzing a software project called "a\\"b\\\\c".\n')
-    assert "Entry points" not in row.prompt
+    prompt = joined(summaries.build_prompts(nodes, graph.import_edges(nodes)))
+    assert prompt.startswith('You are analyzing a software project called "a\\"b\\\\c".\n')
+    assert "Entry points" not in prompt
 
 
 def test_payloads(tables):
     prompts = summaries.build_prompts(*tables)
-    text = prompts.first().prompt
-    rows = {r.provider: json.loads(r.payload) for r in summaries.request_payloads(prompts).collect()}
+    text, pieces = joined(prompts), summaries.request_payloads(prompts)
+    rows = {p: json.loads(joined(pieces.filter(F.col("provider") == p))) for p in summaries.MODELS}
     chat = {"max_tokens": 4096, "messages": [{"content": text, "role": "user"}]}
     assert rows == {
         "claude": {**chat, "model": "claude-sonnet-4-5-20250514"},
@@ -86,6 +82,10 @@ def test_responses(spark):
         ("openai", '{"choices":[{"message":{"content":"a"}}],"usage":{"prompt_tokens":1,"completion_tokens":2,"total_tokens":9}}', None): ("a", 1, 2, 9, None),
         ("mistral", '{"choices":[{"message":{}}]}', None): ("", 0, 0, 0, None),
         ("deepseek", '{"choices":', None): (None, None, None, None, "unreadable response"),
+        ("ollama", '{"response":"x","prompt_eval_count":1} trailing', None): (None, None, None, None, "unreadable response"),
+        ("ollama", '{"response":"x"},{"response":"y"}', None): (None, None, None, None, "unreadable response"),
+        ("claude", '{"content":[{"text":"hi"}],"usage":{"input_tokens":"12"}}', None): (None, None, None, None, "unreadable response"),
+        ("openai", '{"choices":[{"message":{}}],"usage":{"prompt_tokens":1.5}}', None): (None, None, None, None, "unreadable response"),
         ("gemini", '{"candidates":[{"content":{"parts":[{"text":"g"}]}}],"usageMetadata":{"promptTokenCount":5,"candidatesTokenCount":6,"totalTokenCount":12}}', None): ("g", 5, 6, 12, None),
         ("gemini", '{"candidates":[{"content":{}}]}', None): (None, None, None, None, "empty response"),
         ("gemini", '{"candidates":[]}', None): (None, None, None, None, "empty response"),
@@ -139,4 +139,3 @@ def test_fallback(spark):
         "ok": ("primary", "good"), "blank": ("fallback", "local"), "failed": ("fallback", "local"),
         "fallback blank": ("fallback", ""), "both failed": ("structural", "plain"), "silent": ("structural", "plain"),
     }
-    assert report.MAX_DOCUMENT > 0

@@ -52,9 +52,10 @@ def _merge_nodes(w: Workspace) -> DataFrame:
 
 
 def _incremental_refresh(w: Workspace) -> DataFrame:
-    refreshed = incremental.incremental_refresh(
-        w.nodes, w.corpus, w.next_corpus
-    )
+    """Refreshes from a snapshot with digests, so the old contents are not read again."""
+    store = SnapshotStore(w.spark, new_stage_path(w.spark, "refresh"))
+    store.save(nodes=w.nodes, digests=incremental.digests(w.corpus))
+    refreshed = incremental.incremental_refresh(store.load("nodes"), store.load("digests"), w.next_corpus)
     return _counts(refreshed)
 
 

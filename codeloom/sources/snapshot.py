@@ -2,42 +2,51 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 class SnapshotStore:
-    """Each save writes a version of its own and then appends a commit record.
+    """Each save writes folders of its own and then appends a commit record.
 
     Readers follow the commit records, so a save that dies half-way is never
-    read, and no path is overwritten while it is being read.
+    read, and no path is overwritten while it is being read. Of two savers that
+    commit the same version, one is read, as a whole.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def latest(self) -> int | None:
+    def _commit(self, version: int | None = None) -> Row | None:
+        """The newest commit record, or that of a version."""
         try:
-            commits = self.spark.read.schema("version long").json(f"{self.root}/commits")
+            commits = self.spark.read.schema("version long, folder string").json(f"{self.root}/commits")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return commits.agg({"version": "max"}).first()[0]
+        if version is not None:
+            commits = commits.filter(commits["version"] == version)
+        return commits.orderBy("version", "folder", ascending=False).first()
+
+    def latest(self) -> int | None:
+        commit = self._commit()
+        return None if commit is None else commit["version"]
 
     def save(self, **tables: DataFrame) -> int:
         """Write the tables, by name, as the next version."""
-        version = (self.latest() or 0) + 1
+        version, folder = (self.latest() or 0) + 1, uuid.uuid4().hex
         for name, df in tables.items():
-            # a version without a commit record is a leftover of a failed save
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        commit = self.spark.range(version, version + 1).toDF("version").coalesce(1)
-        commit.write.mode("append").json(f"{self.root}/commits")
+            df.write.parquet(f"{self.root}/{name}/{folder}")
+        commit = self.spark.createDataFrame([(version, folder)], "version long, folder string")
+        commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return version
 
     def load(self, name: str, version: int | None = None) -> DataFrame:
-        chosen = self.latest() if version is None else version
-        if chosen is None:
-            raise ValueError(f"no snapshot has been saved in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/v={chosen}")
+        commit = self._commit(version)
+        if commit is None:
+            raise ValueError(f"no such snapshot has been saved in {self.root}")
+        return self.spark.read.parquet(f"{self.root}/{name}/{commit['folder']}")

@@ -12,6 +12,8 @@ from codeloom.sources.snapshot import SnapshotStore
 
 VERSION_SCHEMA = "project string, path string, seq long, content string"
 KEYS = ["project", "path"]
+# The log is folded into a state after so many batches.
+COMPACT_EVERY = 16
 
 
 class WatchStore:
@@ -31,34 +33,43 @@ class WatchStore:
         """Extract one micro-batch of file versions, without a shuffle.
 
         Null content marks a deletion, which is kept so that it outranks the
-        versions before it.
+        versions before it. Every COMPACT_EVERY batches the log is folded.
         """
-        accepted = scan.source_files(batch, self.config).withColumn(
-            "deleted", F.col("content").isNull()
+        accepted = (
+            scan.source_files(batch, self.config)
+            .withColumn("deleted", F.col("content").isNull())
+            .withColumn("digest", F.xxhash64("content"))
         )
-        extract.file_nodes(accepted, keep=("seq", "deleted")).write.mode("overwrite").parquet(
+        rows = extract.file_nodes(accepted, keep=("seq", "deleted", "digest"))
+        rows.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(
             f"{self.root}/batches/batch={batch_id}"
         )
+        if batch_id - self._covered() >= COMPACT_EVERY:
+            self.compact()
+
+    def _covered(self) -> int:
+        """The last batch that the folded state holds; -1 without one."""
+        version = self.base.latest()
+        return -1 if version is None else self.base.load("covered", version).first()[0]
 
     def _newest(self) -> DataFrame:
         """The newest version of every file, deletions included.
 
-        Partial aggregation leaves one row per file and task to shuffle, however
-        often a single file changed.
+        The pick is by ``seq``, then batch, digest and place in the batch, so it is
+        one row whatever ties there are. It aggregates five narrow columns, one row
+        per file and task; the wide rows then meet the picks once.
         """
-        log = self.spark.read.parquet(f"{self.root}/batches")
+        log = self.spark.read.parquet(f"{self.root}/batches").filter(F.col("batch") > self._covered())
+        log = log.withColumn("batch", F.col("batch").cast("long"))
         version = self.base.latest()
         if version is not None:
-            covered = self.base.load("covered", version).first()[0]
-            log = log.filter(F.col("batch") > covered).drop("batch")
             log = log.unionByName(self.base.load("state", version))
-        else:
-            log = log.drop("batch")
-        newest = log.groupBy(*KEYS).agg(F.max_by(F.struct(*log.columns), "seq").alias("v"))
-        return newest.select("v.*")
+        order = F.max(F.struct("seq", "batch", "digest", "row")).alias("pick")
+        picks = log.groupBy(*KEYS).agg(order).select("pick.batch", "pick.row")
+        return log.join(picks, ["batch", "row"], "left_semi")
 
     def current(self) -> DataFrame:
-        return self._newest().filter(~F.col("deleted")).drop("deleted")
+        return self._newest().filter(~F.col("deleted")).drop("deleted", "digest", "batch", "row")
 
     def compact(self) -> None:
         """Fold the batches so far into one state, so that readers scan that and

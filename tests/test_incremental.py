@@ -45,8 +45,8 @@ def test_snapshots(spark, files, nodes_of, tmp_path):
     with pytest.raises(ValueError):
         store.load("nodes")
     assert store.save(nodes=nodes_of(BEFORE), digests=incremental.digests(files(BEFORE))) == 1
-    # a version without a commit record is not read, and is written over
-    nodes_of({"x.py": ""}).write.parquet(str(tmp_path / "snap/nodes/v=2"))
+    # a folder without a commit record is not read
+    nodes_of({"x.py": ""}).write.parquet(str(tmp_path / "snap/nodes/left-over"))
     assert store.latest() == 1 and set(functions(store.load("nodes"))) == set(BEFORE)
     refreshed = incremental.incremental_refresh(store.load("nodes"), store.load("digests"), files(AFTER))
     assert store.save(nodes=refreshed, digests=incremental.digests(files(AFTER))) == 2
@@ -131,3 +131,37 @@ def test_null_contents_are_there(files):
         "both": "unchanged", "gone": "modified", "new": "modified", "same": "unchanged",
         "old": "deleted", "fresh": "added",
     }
+
+
+def test_savers_of_one_version_do_not_mix(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "snap"))
+    one, two = spark.range(3), spark.range(10, 12)
+    monkeypatch.setattr(store, "latest", lambda: None)  # both see no version yet
+    assert store.save(a=one, b=one) == store.save(a=two, b=two) == 1
+    monkeypatch.undo()
+    assert store.latest() == 1
+    assert sorted(store.load("a").collect()) == sorted(store.load("b").collect())
+
+
+def test_equal_versions_leave_one_row(watched):
+    store, feed = watched
+    feed(("p", "a.py", 1, "def x(): pass"), ("p", "a.py", 1, "def y(): pass"), ("p", "a.py", 1, "def y(): pass"))
+    feed(("p", "a.py", 1, "def z(): pass"))
+    assert [f.name for r in store.current().collect() for f in r.functions] == ["z"]
+
+
+def test_the_log_is_folded_by_itself(watched, monkeypatch):
+    from codeloom.streaming import watch
+
+    monkeypatch.setattr(watch, "COMPACT_EVERY", 2)
+    store, feed = watched
+    for seq in range(5):
+        assert feed(("p", "a.py", seq, f"def f{seq}(): pass")) == {"a.py": (seq, [f"f{seq}"])}
+    assert store.base.latest() == 2
+
+
+def test_wide_rows_are_not_aggregated(watched):
+    store, feed = watched
+    feed(("p", "a.py", 1, "def a(): pass"))
+    plan = store.current()._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate" in x and "functions" in x]

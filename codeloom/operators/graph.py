@@ -137,6 +137,35 @@ def _slashes(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
 
 
+def _fitting(wanted: DataFrame, index: DataFrame, rule: int, **probe: int) -> DataFrame:
+    """``project, import, best``: the keys of one rule that fit each import.
+
+    Only parts of the shapes (length, number of slashes) that the import's own project
+    has are looked up. Under rule 0 a part is the end of the import, under rule 1 it may
+    stand anywhere.
+    """
+    own = index.filter(F.col("rule") == rule)
+    shape = F.struct(F.length("key").alias("size"), _slashes(F.col("key")).alias("slashes"))
+    # a project has fewer shapes than its longest path squared, whatever its size
+    shapes = own.groupBy("project").agg(F.collect_set(shape).alias("shapes"))
+    text, size = F.col("import"), F.col("size")
+    last = F.length(text) - size + 1
+    starts = F.array(last) if rule == 0 else F.sequence(F.lit(1), last)
+    parts = (
+        skew.lookup(wanted, shapes, ["project"], ["import"], how="inner", **probe)
+        .select("project", "import", F.inline("shapes"))
+        .filter((size <= F.length(text)) & (F.col("slashes") <= _slashes(text)))
+        .withColumn("key", F.explode(F.transform(starts, lambda start: F.substr(text, start, size))))
+        .filter(_slashes(F.col("key")) == F.col("slashes"))
+        .select("project", "import", "key")
+        .distinct()
+    )
+    found = skew.lookup(
+        parts, own.drop("rule"), ["project", "key"], ["project", "import"], how="inner", **probe
+    )
+    return found.groupBy("project", "import").agg(F.min("best").alias("best"))
+
+
 def resolve_package(
     imports: DataFrame, nodes: DataFrame, include_root_dir: bool = False, **probe: int
 ) -> DataFrame:
@@ -146,40 +175,15 @@ def resolve_package(
     in it. Comparing imports with directories would pair everything within a
     project; instead the parts of an import that have the shape of some key are
     looked up by equality. Where several fit: by last name first, then the
-    longest directory, then the smallest path.
+    longest directory, then the smallest path. So only imports that no last name
+    ends are unfolded at every place.
     """
     index = stage(package_index(nodes, include_root_dir), "package-index")
-    # shapes are bounded by the longest path, whatever the number of rows
-    shape = F.struct("rule", F.length("key").alias("size"), _slashes(F.col("key")).alias("slashes"))
-    shapes = index.select(F.collect_set(shape).alias("shapes"))
-    text, size = F.col("import"), F.col("size")
-    last = F.length(text) - size + 1
-    parts = (
-        imports.select("project", "import")
-        .distinct()
-        .withColumn("shapes", shapes.scalar())
-        .select("project", "import", F.inline("shapes"))
-        .filter((size <= F.length(text)) & (F.col("slashes") <= _slashes(text)))
-        .withColumn(
-            "start",
-            F.explode(
-                F.when(F.col("rule") == 0, F.array(last)).otherwise(F.sequence(F.lit(1), last))
-            ),
-        )
-        .select(
-            "project", "import", "rule", "slashes", "start",
-            F.substr(text, F.col("start"), size).alias("key"),
-        )
-        .filter(_slashes(F.col("key")) == F.col("slashes"))
-        .drop("slashes")
-    )
-    keys = ["project", "key", "rule"]
-    found = skew.lookup(parts, index, keys, ["project", "import"], how="inner", **probe)
-    return (
-        found.groupBy("project", "import")
-        .agg(F.min(F.struct("rule", "best")).alias("pick"))
-        .select("project", "import", F.col("pick.best.path").alias("to_path"))
-    )
+    wanted = imports.select("project", "import").distinct()
+    by_end = stage(_fitting(wanted, index, 0, **probe), "imports-by-end")
+    rest = wanted.join(by_end.select("project", "import"), ["project", "import"], "left_anti")
+    found = by_end.unionByName(_fitting(rest, index, 1, **probe))
+    return found.select("project", "import", F.col("best.path").alias("to_path"))
 
 
 def import_edges(nodes: DataFrame, include_root_dir: bool = False, **probe: int) -> DataFrame:

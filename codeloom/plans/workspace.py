@@ -31,6 +31,11 @@ class Workspace:
         cls._open[key].spark = spark
         return cls._open[key]
 
+    @classmethod
+    def forget(cls, spark: SparkSession, sf_dir: str) -> None:
+        """Call when the input under a path has changed: its tables are staged anew."""
+        cls._open.pop((spark.sparkContext.applicationId, sf_dir), None)
+
     def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = stage(build(), name)

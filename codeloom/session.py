@@ -32,7 +32,8 @@ def stage_root(spark: SparkSession) -> str:
     """The folder every executor can read, named by ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own: on a
-    cluster a machine-local folder would not survive the loss of its machine.
+    cluster a machine-local folder would not survive the loss of its machine. A
+    ``file:`` folder there must be a mount that all machines share.
     """
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,8 +46,20 @@ def stage_root(spark: SparkSession) -> str:
     return _local_dir
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its staged tables."""
+    return f"{stage_root(spark)}/codeloom/{spark.sparkContext.applicationId}"
+
+
 def new_stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_root(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has staged. Results that still read from it
+    must have been written elsewhere; nothing else in the shared folder is touched."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

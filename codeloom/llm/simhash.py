@@ -29,7 +29,7 @@ SEED = 42
 CHUNK_ROWS = 16_384
 # One fingerprint in PROBE_EVERY, chosen by hash, is counted to find such shards.
 PROBE_EVERY = 64
-# A list of large shards of up to so many rows (16 bytes each) is broadcast.
+# A list of large shards, or of copies, of up to so many rows (16 bytes each) is broadcast.
 BROADCAST_ROWS = 100_000
 # Steps of a tree search that are held at once.
 FRONTIER = 2_000_000
@@ -327,13 +327,18 @@ def keep_one_each(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_co
     """The rows of ``docs`` that have the smallest id of their group, columns as they are.
 
     Of rows that share an id one stays, that with the smallest text. Rows with a null
-    id are in no group and stay. Only ids travel unless ids repeat: the list of what
-    goes is joined to ``docs``, and broadcast by Spark where it is small.
+    id are in no group and stay. The list of what goes is joined to ``docs``: broadcast
+    up to ``BROADCAST_ROWS`` ids, so that no text is shuffled, and beyond that by a
+    hash join on the id.
     """
     found = stage(near_duplicates(docs, how, id_col, text_col), "near-duplicates")
-    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col))
+    gone = stage(
+        found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct(),
+        "copies",
+    )
+    few = gone.count() <= BROADCAST_ROWS
     names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(gone.distinct(), id_col, "left_anti").select(names)
+    kept = docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), id_col, "left_anti").select(names)
     repeated = stage(
         found.filter("id = component_id").groupBy("id").count().filter("count > 1")
         .select(F.col("id").alias(id_col)),

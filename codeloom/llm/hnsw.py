@@ -10,6 +10,7 @@ in double precision, and linked vectors form components.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,18 +170,18 @@ def build(unit: np.ndarray, seed: int = 5) -> Graph:
     return upper
 
 
-def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of ``asks``, node) of a similarity of ``least`` or more.
+def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool = False) -> Iterator[tuple]:
+    """Pairs (rows of ``asks``, nodes) of a similarity of ``least`` or more, in blocks.
 
-    A row whose whole beam is that near is asked again with a beam four times as wide,
-    up to the size of the shard. ``own``: the rows are the nodes of the graph, which
-    are entries for themselves.
+    A row whose whole beam is that near is asked again with a beam four times as wide.
+    A beam of a quarter of the shard or more would look at about every node, and at the
+    size of the shard at all of them, so there the row is compared with all. ``own``: the
+    rows are the nodes of the graph, which are entries for themselves.
     """
     size = len(graph.unit)
-    pending, asking, nodes = np.arange(len(asks)), [], []
-    width = min(width, size)
+    pending = np.arange(len(asks))
     upper = Graph(graph.unit, graph.layers[1:])
-    while len(pending):
+    while len(pending) and 4 * width < size:
         again = []
         rows = max(16, min(BATCH, (8 << 20) // (size + 64 * width)))
         for i in range(0, len(pending), rows):
@@ -192,29 +193,30 @@ def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool =
                 entry = np.concatenate([part[:, None], entry], axis=1)
             node, close = _beam(graph.unit, graph.layers[0][1], asks[part], entry, width)
             near = close >= least
-            full = near.all(axis=1) & (width < size)
+            full = near.all(axis=1)
             again.append(part[full])
             q, m = np.nonzero(near & ~full[:, None])
-            asking.append(part[q])
-            nodes.append(node[q, m])
+            yield part[q], node[q, m]
         pending = np.concatenate(again)
-        width = min(4 * width, size)
-    return np.concatenate(asking or [np.zeros(0, np.int64)]), np.concatenate(nodes or [np.zeros(0, np.int64)])
+        width *= 4
+    for i in range(0, len(pending), BATCH):
+        part = pending[i : i + BATCH]
+        q, node = np.nonzero(asks[part] @ graph.unit.T >= least)
+        yield part[q], node
 
 
-def audited(graph: Graph, asks: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """``search`` with a beam that finds ``AUDIT_RECALL`` of what brute force finds for
-    up to AUDIT_ROWS rows. At the size of the shard a beam sees every node."""
+def audited(graph: Graph, asks: np.ndarray, least: float, own: bool = False) -> np.ndarray:
+    """``search`` as a matrix (row of ``asks``, node), with a beam that finds
+    ``AUDIT_RECALL`` of what brute force finds for up to AUDIT_ROWS rows."""
     sample = np.linspace(0, len(asks) - 1, min(AUDIT_ROWS, len(asks))).astype(np.int64)
-    # pairs of the sample that lie above the threshold, from all rows
-    truth = np.argwhere(asks[sample] @ graph.unit.T >= least)
+    truth = asks[sample] @ graph.unit.T >= least
     width = BEAM if len(graph.unit) > SMALL else SMALL
     while True:
-        row, node = search(graph, asks, least, width, own)
-        got = set(zip(row.tolist(), node.tolist()))
-        hits = sum((int(sample[a]), int(b)) in got for a, b in truth)
-        if width >= len(graph.unit) or hits >= AUDIT_RECALL * len(truth):
-            return row, node
+        found = np.zeros((len(asks), len(graph.unit)), bool)
+        for row, node in search(graph, asks, least, width, own):
+            found[row, node] = True
+        if 4 * width >= len(graph.unit) or (found[sample] & truth).sum() >= AUDIT_RECALL * truth.sum():
+            return found
         width *= 2
 
 
@@ -241,35 +243,36 @@ def _pack(rows: pa.Table) -> pa.Table:
 
 def _match(rows: pa.Table, threshold: float) -> pa.Table:
     """Links between two shards, or within one: per vector the number of vectors it
-    links to and a root of its local component."""
+    links to and a root of its local component. Pairs are bits of a matrix of the two
+    shards, and are gone through in blocks of its rows."""
     sides = [pickle.loads(x) for x in rows.sort_by("shard").column("graph").to_pylist()]
     graphs = [
         Graph(unit.astype(np.float32), [(m.astype(np.int64), n.astype(np.int64)) for m, n in layers])
         for _, _, unit, layers in sides
     ]
-    rep = np.concatenate([s[0] for s in sides])
-    copies = np.concatenate([s[1] for s in sides])
-    unit = np.concatenate([s[2] for s in sides])
-    least = threshold - _SLACK
-    if len(sides) == 1:
-        a, b = audited(graphs[0], graphs[0].unit, least, own=True)
-    else:
-        shift = len(sides[0][0])
-        a, b = audited(graphs[1], graphs[0].unit, least)
-        c, d = audited(graphs[0], graphs[1].unit, least)
-        a, b = np.concatenate([a, d]), np.concatenate([b + shift, c + shift])
-    pairs = np.unique(np.minimum(a, b) * len(rep) + np.maximum(a, b))
-    a, b = pairs // len(rep), pairs % len(rep)
-    exact = np.empty(len(pairs), bool)
-    for i in range(0, len(pairs), 1 << 16):
-        part = slice(i, i + (1 << 16))
-        exact[part] = np.einsum("nd,nd->n", unit[a[part]], unit[b[part]]) >= threshold
-    exact &= a != b
-    a, b = a[exact], b[exact]
-    n = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
-    label = unite(np.arange(len(rep)), a, b)
+    (rep, copies, unit, _), (other, other_copies, other_unit, _) = sides[0], sides[-1]
+    least, one = threshold - _SLACK, len(sides) == 1
+    found = audited(graphs[0], graphs[-1].unit, least, own=one).T.copy()
+    found |= audited(graphs[-1], graphs[0].unit, least, own=one) if not one else found.T.copy()
+    shift = 0 if one else len(rep)
+    label = np.arange(shift + len(other))
+    n = np.zeros(len(label), np.int64)
+    for i in range(0, len(rep), BATCH):
+        a, b = np.nonzero(found[i : i + BATCH])
+        a += i
+        if one:
+            a, b = a[a < b], b[a < b]
+        if len(a) > 16 * BATCH:  # dense: all of the block at once
+            exact = (unit[i : i + BATCH] @ other_unit.T)[a - i, b] >= threshold
+        else:
+            exact = np.einsum("nd,nd->n", unit[a], other_unit[b]) >= threshold
+        a, b = a[exact], b[exact]
+        n += np.bincount(a, other_copies[b], len(n)).astype(np.int64)
+        n += np.bincount(b + shift, copies[a], len(n)).astype(np.int64)
+        label = unite(label, a, b + shift)
+    names = rep if one else np.concatenate([rep, other])
     linked = np.flatnonzero(n)
-    return pa.table({"rep": rep[linked], "n": n[linked].astype(np.int64), "root": rep[label[linked]]})
+    return pa.table({"rep": names[linked], "n": n[linked], "root": names[label[linked]]})
 
 
 def _valid(vector, label):

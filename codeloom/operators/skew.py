@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import stage
+
 # One row in PROBE_EVERY is looked at to find hot keys; a key that holds more of those
 # than a shuffle partition does on average is split over SALTS tasks. So there are at
 # most as many hot keys as shuffle partitions, whatever the size of the data.
@@ -36,8 +38,11 @@ def lookup(
         "_row", F.xxhash64(F.lit("row"), *row_id)
     )
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = hashed.filter(F.pmod("_row", F.lit(probe_every)) == 0).groupBy("_key").count()
-    average = counts.agg(F.sum("count") / partitions).scalar()
+    # staged, as both sides read the list
+    counts = stage(
+        hashed.filter(F.pmod("_row", F.lit(probe_every)) == 0).groupBy("_key").count(), "probe"
+    )
+    average = (counts.agg(F.sum("count")).first()[0] or 0) / partitions
     hot = counts.filter(F.col("count") > average).select("_key", F.lit(True).alias("_hot"))
     salted = (
         hashed.join(F.broadcast(hot), "_key", "left")

@@ -5,7 +5,8 @@ linked, and linked texts form groups. Fingerprints are sharded by some of their
 bits, a Burkhard-Keller tree is built per shard (children keyed by their integer
 Hamming distance to the parent), and look-ups follow only the edges within the
 radius. A tree meets its queries by a shuffle on the shard: all trees together
-grow with the corpus, so they are not broadcast.
+grow with the corpus, so they are not broadcast. Where a similarity is given, links
+of fingerprints are candidates only, and the texts' shingle sets decide.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ class SimHash:
     within the radius agree in a whole block. For a radius too wide for that, it
     is the number of tables, each of ``table_bits`` bits drawn once; a pair that
     differs in a share d of its bits meets with probability
-    1 - (1 - (1 - d) ** table_bits) ** tables.
+    1 - (1 - (1 - d) ** table_bits) ** tables. ``similarity``: the least Jaccard of the
+    sets of shingles of linked texts; 0 leaves the decision to the fingerprints.
     """
 
     words: int = 4
@@ -55,6 +57,7 @@ class SimHash:
     radius: int = 4
     tables: int = 0
     table_bits: int = 16
+    similarity: float = 0.0
 
     def keys(self) -> list[np.ndarray]:
         """The bit positions that make up the shard key of each table."""
@@ -71,7 +74,7 @@ class SimHash:
 # hash sets have a cosine of 0.89 or more, so about 15 in 100 bits or fewer differ:
 # 39 of 256, with a spread of 6. Unrelated texts differ in about 128. A pair at 39
 # bits meets in some table with probability 0.985, and groups have many pairs.
-NEAR_COPIES = SimHash(words=5, bits=256, radius=48, tables=40, table_bits=14)
+NEAR_COPIES = SimHash(words=5, bits=256, radius=48, tables=40, table_bits=14, similarity=0.8)
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -126,8 +129,33 @@ def fingerprint(text: bytes | None, words: int, bits: int) -> bytes:
     return np.packbits(2 * counts > total).tobytes()
 
 
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; of a text without words none."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def _set_name(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(hashes.tobytes(), SEED)
+
+
 def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp`` per row; a text without words (null, empty) has fingerprint zero."""
+    """``id, fp`` per row; a text without words (null, empty) has fingerprint zero.
+
+    With a similarity also ``same``, a digest of the set of shingles, and ``size``, how
+    many they are.
+    """
+    if how.similarity:
+
+        def one(text: bytes | None) -> tuple:
+            own = shingle_set(text, how.words)
+            return fingerprint(text, how.words, how.bits), _set_name(own), len(own)
+
+        return map_texts(
+            id_and_text(docs, id_col, text_col),
+            one,
+            {"fp": "binary", "same": "binary", "size": "long"},
+            pa.schema([("fp", pa.binary()), ("same", pa.binary()), ("size", pa.int64())]),
+        )
     return map_texts(
         id_and_text(docs, id_col, text_col),
         lambda text: (fingerprint(text, how.words, how.bits),),
@@ -136,9 +164,14 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col
     )
 
 
+def _more_columns(groups: DataFrame) -> list[str]:
+    """What ``across`` needs beside the fingerprint."""
+    return [c for c in ("comp", "size") if "comp" in groups.columns]
+
+
 def _shard_rows(groups: DataFrame, how: SimHash) -> DataFrame:
     """One row per fingerprint and table: the shard is the table and its key bits."""
-    keys = how.keys()
+    keys, more = how.keys(), _more_columns(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,16 +183,17 @@ def _shard_rows(groups: DataFrame, how: SimHash) -> DataFrame:
                 weights = np.left_shift(np.int64(1), np.arange(len(key), dtype=np.int64))
                 shard = bits[:, key].astype(np.int64) @ weights + (np.int64(table) << 40)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), batch.column("rep"), fps], names=["shard", "rep", "fp"]
+                    [pa.array(shard), batch.column("rep"), fps, *(batch.column(c) for c in more)],
+                    names=["shard", "rep", "fp", *more],
                 )
 
-    return groups.mapInArrow(run, "shard long, rep long, fp binary")
+    return groups.mapInArrow(run, ", ".join(["shard long, rep long, fp binary", *(f"{c} long" for c in more)]))
 
 
 def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
     """Rows by cell. A large shard is cut into chunks, and each pair of its chunks
     is a cell; any other shard is one cell."""
-    rows = _shard_rows(groups, how)
+    rows, more = _shard_rows(groups, how), _more_columns(groups)
     probe = groups.filter(F.pmod(F.xxhash64("rep"), F.lit(PROBE_EVERY)) == 0)
     large = stage(
         _shard_rows(probe, how)
@@ -173,7 +207,7 @@ def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
     if not found:
         whole = F.lit(True)
         return rows.select(
-            F.col("shard").alias("cell"), whole.alias("in_tree"), whole.alias("asks"), "rep", "fp"
+            F.col("shard").alias("cell"), whole.alias("in_tree"), whole.alias("asks"), "rep", "fp", *more
         )
     chunk, other = F.col("c"), F.col("o")
     return (
@@ -189,6 +223,7 @@ def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
             (chunk <= other).alias("asks"),
             "rep",
             "fp",
+            *more,
         )
     )
 
@@ -255,7 +290,8 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _links_of(rows: pa.Table, how: SimHash) -> pa.Table:
+def _found(rows: pa.Table, how: SimHash) -> Iterator[tuple]:
+    """Pairs of row numbers of one cell that lie within the radius, in blocks."""
     cell = rows.column("cell").to_numpy()
     rep = rows.column("rep").to_numpy()
     octets = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint8)
@@ -271,11 +307,16 @@ def _links_of(rows: pa.Table, how: SimHash) -> pa.Table:
     size = np.array([size_of[c] for c in cell[asks].tolist()], np.int64)
     root = np.array([forest.roots[c] for c in cell[asks].tolist()], np.int64)
     part = np.cumsum(size) // FRONTIER
-    label = np.arange(len(cell))
     for p in np.unique(part):
         own = part == p
-        for a, b in forest.search(asks[own], root[own], how.radius):
-            label = unite(label, a, b)
+        yield from forest.search(asks[own], root[own], how.radius)
+
+
+def _links_of(rows: pa.Table, how: SimHash) -> pa.Table:
+    rep = rows.column("rep").to_numpy()
+    label = np.arange(len(rep))
+    for a, b in _found(rows, how):
+        label = unite(label, a, b)
     moved = np.flatnonzero(rep[label] != rep)
     return pa.table({"a": rep[moved], "b": rep[label[moved]]})
 
@@ -287,14 +328,100 @@ def links(groups: DataFrame, how: SimHash) -> DataFrame:
     spanning forest of the links it finds, so a group of n near copies gives n - 1
     pairs per shard and not all n * n.
     """
+    return _tasks(groups, how).applyInArrow(lambda rows: _links_of(rows, how), "a long, b long")
+
+
+def _tasks(groups: DataFrame, how: SimHash):
     rows = groups.count() * len(how.keys())
     tasks = max(1, -(-rows // GROUP_ROWS))
     dealt = _cells(groups, how).withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)))
+    return dealt.select("task", "cell", "in_tree", "asks", "rep", "fp", *_more_columns(groups)).groupBy("task")
+
+
+def across(groups: DataFrame, how: SimHash) -> DataFrame:
+    """``a, b``: every pair within the radius whose ``comp`` differs, once.
+
+    ``groups(rep, fp, comp, size)``. Pairs whose sets are of too different sizes to be
+    similar are left out, which is exact.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        rep, comp, size = (rows.column(c).to_numpy() for c in ("rep", "comp", "size"))
+        for a, b in _found(rows, how):
+            apart = (comp[a] != comp[b]) & (
+                np.minimum(size[a], size[b]) >= how.similarity * np.maximum(size[a], size[b]) - 1e-6
+            )
+            x, y = rep[a[apart]], rep[b[apart]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    # the annotations tell Spark that ``run`` takes and gives batches
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return _tasks(groups, how).applyInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets have a Jaccard of ``least`` or more.
+
+    ``sets(rep, shingles)``; an identifier with several sets links by any of them, and
+    two empty sets are equal.
+    """
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    total = F.size("x") + F.size("y") - F.col("common")
     return (
-        dealt.select("task", "cell", "in_tree", "asks", "rep", "fp")
-        .groupBy("task")
-        .applyInArrow(lambda rows: _links_of(rows, how), "a long, b long")
+        pairs.join(left, "a")
+        .join(right, "b")
+        .select("a", "b", "x", "y", common.alias("common"))
+        .filter((total == 0) | (F.col("common") / total >= least))
+        .select("a", "b")
+    )
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
+    """``rep, shingles`` of the documents in ``wanted(rep, same)``, staged."""
+    few = wanted.count() <= BROADCAST_ROWS
+    names = wanted.select(F.col("rep").alias("id")).distinct()
+    texts = id_and_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
+    texts = texts.join(F.broadcast(names) if few else names.hint("shuffle_hash"), "id", "left_semi")
+
+    def one(text: bytes | None) -> tuple:
+        own = shingle_set(text, how.words)
+        return _set_name(own), own.view(np.int64)
+
+    schema = pa.schema([("same", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    sets = map_texts(texts, one, {"same": "binary", "shingles": "array<long>"}, schema)
+    # rows of one id may repeat a text, or have texts that are represented by others
+    sets = sets.withColumnRenamed("id", "rep").join(wanted, ["rep", "same"], "left_semi")
+    return stage(sets.groupBy("rep", "same").agg(F.any_value("shingles").alias("shingles")), "shingle-sets")
+
+
+def verified(docs: DataFrame, groups: DataFrame, found: DataFrame, how: SimHash, id_col: str, text_col: str) -> DataFrame:
+    """``a, b`` pairs that connect what is connected by candidates of the given similarity.
+
+    ``found`` connects all candidates. Each member of a connected group is compared
+    with its smallest first, one pair a member. Where that leaves a group in parts, all
+    its candidate pairs between the parts are looked up and compared: as many as there
+    are, since one that fails must not hide one that passes.
+    """
+    near = components(found, "candidate-components").withColumnRenamed("node", "rep")
+    near = stage(near, "candidates")
+    sets = _sets(docs, groups.join(near, "rep", "left_semi").select("rep", "same"), how, id_col, text_col)
+    first = near.filter("rep != label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+    first = stage(similar(first, sets.select("rep", "shingles"), how.similarity).distinct(), "similar-to-first")
+    # its links all lead to the smallest of a group, so they are the components
+    comp = near.join(first.select(F.col("a").alias("rep"), F.col("b").alias("first")), "rep", "left").select(
+        "rep", "label", F.coalesce("first", "rep").alias("comp")
     )
+    parted = comp.groupBy("label").agg(F.count("*").alias("n"), F.min("comp").alias("f"), F.max("comp").alias("g"))
+    open_ = comp.join(parted.filter("f != g and n > 2").select("label"), "label", "left_semi")
+    left = stage(groups.join(open_.select("rep", "comp"), "rep").select("rep", "fp", "comp", "size"), "parted-groups")
+    if left.isEmpty():
+        return first
+    pairs = stage(across(left, how), "candidates-across")
+    return first.unionByName(similar(pairs, sets.select("rep", "shingles"), how.similarity))
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,23 +431,28 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
     one id count as one document if their texts agree, and link its texts if not.
     A row with a null id joins the group of its fingerprint, but names none: its
     ``component_id`` is null where no other id is in reach. Exact copies share a
-    fingerprint and are searched once.
+    fingerprint and are searched once. With a similarity, texts of one set of shingles
+    are searched once, and only links of that similarity count.
     """
     own = stage(fingerprints(docs, how, id_col, text_col), "fingerprints")
+    key = "same" if how.similarity else "fp"
+    more = [F.any_value(c).alias(c) for c in ("fp", "size") if how.similarity]
     groups = stage(
-        own.groupBy("fp").agg(F.min("id").cast("long").alias("rep")).filter("rep is not null"),
+        own.groupBy(key).agg(F.min("id").cast("long").alias("rep"), *more).filter("rep is not null"),
         "fingerprint-groups",
     )
     found = stage(links(groups, how), "fingerprint-links")
+    if how.similarity:
+        found = stage(verified(docs, groups, found, how, id_col, text_col), "similar-pairs")
     # texts that share an id are one document
-    shared = own.groupBy("id").agg(F.min("fp").alias("f"), F.max("fp").alias("g")).filter("f != g")
-    several = own.join(shared.select("id"), "id").select("id", "fp").join(groups, "fp")
+    shared = own.groupBy("id").agg(F.min(key).alias("f"), F.max(key).alias("g")).filter("f != g")
+    several = own.join(shared.select("id"), "id").select("id", key).join(groups, key)
     found = found.unionByName(several.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     label = components(found, "fingerprint-components").withColumnRenamed("node", "rep")
     named = groups.join(label, "rep", "left").select(
-        "fp", F.coalesce("label", "rep").alias("component_id")
+        key, F.coalesce("label", "rep").alias("component_id")
     )
-    return own.join(named, "fp", "left").select("id", "fp", "component_id")
+    return own.join(named, key, "left").select("id", "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,3 +147,58 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert {label[i] for i in range(1000, 1100)} == {1000}
     assert {label[i] for i in range(2000, 2007)} == {2000}
     assert 3000 not in label
+
+
+def shingles_of(text, words=5):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def jaccard(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def slow_similar(texts, least=0.8):
+    label = {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                if label[a] < label[b] and jaccard(texts[a], texts[b]) >= least:
+                    label[b] = label[a]
+    return label
+
+
+def test_a_repeated_line_makes_no_copies(spark):
+    """Distinct texts below one repeated menu stay; the fingerprints alone link them."""
+    rng = random.Random(11)
+    menu = "home news shop about us contact terms and privacy here\n" * 20
+    rows = [(i, menu + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200)), "", 0, "") for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    fps = [int.from_bytes(simhash.fingerprint(r[1].encode(), 5, 256), "big") for r in rows]
+    assert sum((a ^ b).bit_count() <= 48 for a in fps for b in fps) > len(fps)
+    kept = simhash.keep_one_each(docs, simhash.NEAR_COPIES).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(12))
+
+
+def test_a_failing_link_hides_no_passing_one(spark):
+    """Chains of edits: neighbours are similar, the ends are not, and the first of a group
+    is similar to few; also texts that are near but not similar enough."""
+    rng = random.Random(4)
+    texts, i = {}, 0
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+        steps = []
+        for _ in range(7):
+            steps.append(" ".join(words))
+            for k in rng.sample(range(240), rng.choice([2, 3, 9])):
+                words[k] = f"x{rng.randrange(10**6)}"
+        rng.shuffle(steps)
+        for text in steps:
+            texts[i], i = text, i + 1
+    texts |= {90: None, 91: "", 92: "too short", 93: "Too  short"}
+    docs = spark.createDataFrame([(k, t, "", 0, "") for k, t in texts.items()], DOCS)
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.NEAR_COPIES).collect()}
+    wanted = slow_similar(texts)
+    assert 8 < len(set(wanted.values())) < len(texts) - 8
+    assert got == wanted

@@ -11,7 +11,7 @@ of fingerprints are candidates only, and the texts' shingle sets decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,10 +71,10 @@ class SimHash:
 
 
 # Copies with a similarity (Jaccard) of 0.8 or more on shingles of five words. Their
-# hash sets have a cosine of 0.89 or more, so about 15 in 100 bits or fewer differ:
-# 39 of 256, with a spread of 6. Unrelated texts differ in about 128. A pair at 39
-# bits meets in some table with probability 0.985, and groups have many pairs.
-NEAR_COPIES = SimHash(words=5, bits=256, radius=48, tables=40, table_bits=14, similarity=0.8)
+# sets have a cosine of 0.89 or more, so about 15 in 100 bits or fewer differ: 39 of
+# 256, with a spread of 6. Unrelated texts differ in about 128. With that spread a pair
+# at 0.8 lies within the radius and meets in some table with probability 0.998.
+NEAR_COPIES = SimHash(words=5, bits=256, radius=64, tables=96, table_bits=14, similarity=0.8)
 
 
 def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
@@ -121,8 +121,12 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes | None, words: int, bits: int) -> bytes:
     """A bit is 1 if more than half of the shingles' hashes have it set."""
+    return majority(shingle_hashes(text, words), bits)
+
+
+def majority(blocks: Iterable[np.ndarray], bits: int) -> bytes:
     total, counts = 0, np.zeros(bits, np.int64)
-    for hashes in shingle_hashes(text, words):
+    for hashes in blocks:
         total += len(hashes)
         for step in range(bits // 64):
             counts[64 * step : 64 * step + 64] += _bit_counts(_more(hashes, step))
@@ -141,14 +145,14 @@ def _set_name(hashes: np.ndarray) -> bytes:
 def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp`` per row; a text without words (null, empty) has fingerprint zero.
 
-    With a similarity also ``same``, a digest of the set of shingles, and ``size``, how
-    many they are.
+    With a similarity a shingle counts once, however often it occurs, and there are
+    also ``same``, a digest of the set of shingles, and ``size``, how many they are.
     """
     if how.similarity:
 
         def one(text: bytes | None) -> tuple:
             own = shingle_set(text, how.words)
-            return fingerprint(text, how.words, how.bits), _set_name(own), len(own)
+            return majority([own], how.bits), _set_name(own), len(own)
 
         return map_texts(
             id_and_text(docs, id_col, text_col),

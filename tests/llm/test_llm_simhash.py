@@ -202,3 +202,30 @@ def test_a_failing_link_hides_no_passing_one(spark):
     wanted = slow_similar(texts)
     assert 8 < len(set(wanted.values())) < len(texts) - 8
     assert got == wanted
+
+
+def recall(how, pairs, n, jaccard_, seed):
+    """The share of isolated pairs of random sets that become candidates."""
+    rng = np.random.default_rng(seed)
+    common = round(2 * n * jaccard_ / (1 + jaccard_))
+    sides = [[], []]
+    for _ in range(pairs):
+        hashes = rng.integers(0, 1 << 64, 2 * n - common, np.uint64)
+        for side, own in zip(sides, (hashes[:n], hashes[n - common :])):
+            side.append(simhash.majority([own], how.bits))
+    a, b = (np.unpackbits(np.frombuffer(b"".join(s), np.uint8).reshape(pairs, -1), axis=1) for s in sides)
+    differ = a != b
+    meets = np.any([~differ[:, key].any(axis=1) for key in how.keys()], axis=0)
+    return (meets & (differ.sum(axis=1) <= how.radius)).mean()
+
+
+def test_isolated_pairs_at_the_similarity_are_candidates():
+    for n in (45, 180, 900):
+        assert recall(simhash.NEAR_COPIES, 1500, n, 0.8, n) >= 0.995
+
+
+def test_how_often_a_shingle_occurs_does_not_count(spark):
+    line, words = "one menu line that is repeated in both of these texts", " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{line} " * n + words, "", 0, "") for i, n in enumerate((2, 40))]
+    out = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.NEAR_COPIES).collect()
+    assert {r["component_id"] for r in out} == {0} and len({r["fp"] for r in out}) == 1

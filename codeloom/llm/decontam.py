@@ -43,6 +43,7 @@ def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col:
     """``item_id, words``: each distinct window of an item, the words space-joined.
 
     An item of fewer words than ``size`` is one window; a null or wordless one has none.
+    Windows of items without an id have a null ``item_id``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,7 @@ class Block:
     pairs: np.ndarray  # pair codes of the windows, sorted
     length: np.ndarray  # words per window
     words: np.ndarray  # window x size, 0 behind the end
-    items: list[list[str]]  # item ids per window
+    items: list[list[str | None]]  # item ids per window
     prefix: np.ndarray | None = None  # sorted pair codes that are some window's prefix
     first: np.ndarray | None = None  # where a code's windows begin in ``window``
     window: np.ndarray | None = None
@@ -99,7 +100,7 @@ class Block:
 
 
 def _block(rows: list, size: int) -> Block:
-    by_words: dict[bytes, list[str]] = {}
+    by_words: dict[bytes, list[str | None]] = {}
     for row in rows:
         by_words.setdefault(bytes(row["words"]), []).append(row["item_id"])
     windows = [w.split(b" ") for w in by_words]
@@ -171,7 +172,7 @@ def _index(block: Block, counts: dict[int, int]) -> None:
     block.window, block.place = table[:, 1], table[:, 2]
 
 
-def hits(block: Block, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+def hits(block: Block, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
     """Which words lie in an occurrence of a window, and the items of those windows."""
     total = len(words)
     edge, items = np.zeros(total + 1, np.int64), set()
@@ -225,7 +226,7 @@ class Decontamination:
     ):
         self.spark: SparkSession = docs.sparkSession
         self.text_col = text_col
-        windows = item_windows(items, size, item_id, item_text).filter("item_id is not null")
+        windows = item_windows(items, size, item_id, item_text)
         n_blocks = -(-windows.count() // block_windows)
         windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(max(1, n_blocks))))
         if n_blocks > 1:
@@ -242,19 +243,24 @@ class Decontamination:
     def _finder(self):
         blocks = self.blocks
 
-        def find(text: bytes | None) -> tuple[int, int, list[str]]:
+        def find(text: bytes | None) -> tuple[int, int, list[str], int]:
             words = words_of(text)
             hit, items = np.zeros(len(words), bool), set()
             for block in blocks:
                 own, found = hits(block.value, words)
                 hit |= own
                 items |= found
-            return len(words), int(hit.sum()), sorted(items)
+            return len(words), int(hit.sum()), sorted(items - {None}), len(items)
 
         return find
 
     def report(self, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-        """``id, n_words, n_hit, item_ids`` per row; a null text has no words."""
+        """``id, n_words, n_hit, item_ids, items_sha256, n_items`` per row; a null text has
+        no words.
+
+        Words in a window of an item with a null id are hit like any other; the null id
+        is not in ``item_ids`` or the digest, but counts as one item in ``n_items``.
+        """
         find = self._finder()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,18 +273,21 @@ class Decontamination:
                         pa.array([f[1] for f in found], pa.int64()),
                         pa.array([f[2] for f in found], pa.list_(pa.string())),
                         pa.array([hashlib.sha256(",".join(f[2]).encode()).hexdigest() for f in found], pa.string()),
+                        pa.array([f[3] for f in found], pa.int64()),
                     ],
-                    names=["id", "n_words", "n_hit", "item_ids", "items_sha256"],
+                    names=["id", "n_words", "n_hit", "item_ids", "items_sha256", "n_items"],
                 )
 
         texts = id_and_text(docs, id_col, self.text_col)
         kind = texts.schema["id"].dataType.simpleString()
         return texts.mapInArrow(
-            run, f"id {kind}, n_words long, n_hit long, item_ids array<string>, items_sha256 string"
+            run, f"id {kind}, n_words long, n_hit long, item_ids array<string>, items_sha256 string, "
+            "n_items long",
         )
 
     def clean(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` without any occurrence of a window, columns as they are."""
+        """The rows of ``docs`` without any occurrence of a window, be its item's id null
+        or not, columns as they are."""
         find, at = self._finder(), docs.columns.index(self.text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

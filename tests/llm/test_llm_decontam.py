@@ -80,3 +80,13 @@ def test_clean_keeps_the_other_rows_whole(spark):
     clean = decontam.Decontamination(docs, bench).clean(docs)
     assert clean.schema == docs.schema
     assert clean.count() == 2 and {r["doc_id"] for r in clean.collect()} == {3}
+
+
+def test_windows_of_items_without_an_id_are_hit(spark):
+    items = [(None, "one two three"), (None, "six seven"), (4, "six seven"), (5, "nothing here")]
+    docs = [(1, "zero one two three four"), (2, "six seven"), (3, "one two four")]
+    got = {r[0]: r[2:4] for r in report(spark, docs, items)}
+    assert got == {1: (3, []), 2: (2, ["4"]), 3: (0, [])}
+    table = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [r["doc_id"] for r in decontam.Decontamination(table, bench).clean(table).collect()] == [3]

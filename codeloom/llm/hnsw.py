@@ -206,16 +206,26 @@ def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool =
 
 
 def audited(graph: Graph, asks: np.ndarray, least: float, own: bool = False) -> np.ndarray:
-    """``search`` as a matrix (row of ``asks``, node), with a beam that finds
-    ``AUDIT_RECALL`` of what brute force finds for up to AUDIT_ROWS rows."""
+    """``search`` as a matrix (row of ``asks``, node), with a beam wide enough that, of up
+    to AUDIT_ROWS rows that link to anything, AUDIT_RECALL find all that brute force finds.
+
+    Rows count, not links, so that a large group does not hide small ones. Rows of so
+    many links that their beams overflow are compared with all and say nothing about a
+    beam, so they count only where they miss something. A link to itself is none.
+    """
     sample = np.linspace(0, len(asks) - 1, min(AUDIT_ROWS, len(asks))).astype(np.int64)
     truth = asks[sample] @ graph.unit.T >= least
+    if own:
+        truth[np.arange(len(sample)), sample] = False
+    links = truth.sum(axis=1)
     width = BEAM if len(graph.unit) > SMALL else SMALL
     while True:
         found = np.zeros((len(asks), len(graph.unit)), bool)
         for row, node in search(graph, asks, least, width, own):
             found[row, node] = True
-        if 4 * width >= len(graph.unit) or (found[sample] & truth).sum() >= AUDIT_RECALL * truth.sum():
+        whole = ~(truth & ~found[sample]).any(axis=1)
+        counts = (links > 0) & ~(whole & (links >= width))
+        if 4 * width >= len(graph.unit) or (whole & counts).sum() >= AUDIT_RECALL * counts.sum():
             return found
         width *= 2
 

@@ -77,3 +77,22 @@ def test_beams_wider_than_a_group_find_all_of_it():
     group = rng.normal(size=16) + 0.05 * rng.normal(size=(700, 16))
     unit = (group / np.linalg.norm(group, axis=1, keepdims=True)).astype(np.float32)
     assert (hnsw.audited(hnsw.build(unit), unit, 0.93, own=True) == (unit @ unit.T >= 0.93)).all()
+
+
+def test_a_large_group_does_not_hide_missed_pairs(monkeypatch):
+    """A search that finds the large group only, unless its beam is wider, fails the audit."""
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=(800, 64))
+    unit[:600] = unit[0] + 0.01 * rng.normal(size=(600, 64))
+    unit[601::2] = unit[600::2] + 0.01 * rng.normal(size=(100, 64))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    near = unit @ unit.T >= 0.93
+
+    def search(graph, asks, least, width, own=False):
+        row, node = np.nonzero(near)
+        some = (row < 600) | (width > hnsw.BEAM)
+        yield row[some], node[some]
+
+    monkeypatch.setattr(hnsw, "search", search)
+    for own in (True, False):
+        assert (hnsw.audited(hnsw.Graph(unit, []), unit, 0.93, own=own) == near).all()

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, hnsw, licenses, packing, quality, simhash, slots, toolcalls, urls, warc
+from codeloom.llm import (
+    bpe,
+    decontam,
+    hnsw,
+    licenses,
+    packing,
+    phrases,
+    quality,
+    simhash,
+    slots,
+    toolcalls,
+    urls,
+    warc,
+    whitening,
+)
 from codeloom.llm.common import table
 from codeloom.llm.sql_checks import CHECKS as CHECKS
 
@@ -138,6 +152,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.train(urls.seed_labels(pages))).withColumnRenamed("id", "page_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+    # the operator gives exact digits; here they are a long, and an error beyond it
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc_bundles": op2_warc_bundles,
@@ -149,4 +180,7 @@ QUERIES = {
     "op8_virtual_slots": op8_virtual_slots,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_byte_bpe": op13_byte_bpe,
 }

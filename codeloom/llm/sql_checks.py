@@ -214,9 +214,50 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_PHRASES = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM d),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest(range(1, 5)) AS m) sizes WHERE i + m - 1 <= len(w)
+),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE m >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+    ((2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(p[1 : k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(p[k + 1 : c.m], ' ')
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(p[i : i + s - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m)) AS i FROM c WHERE m > 2), (SELECT unnest(range(2, 4)) AS s) sizes
+  WHERE s < m AND i + s - 1 <= m
+),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY lang, phrase),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN most USING (lang, phrase)
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM kept
+) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 CHECKS = {
     "op2_warc_bundles": _WARC,
     "op3_license_scan": _LICENSES,
     "op7_tool_calls": _CALLS,
     "op9_benchmark_decontamination": _DECONTAMINATION,
+    "op12_phrase_mining": _PHRASES,
 }

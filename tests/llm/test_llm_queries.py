@@ -17,7 +17,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert CHECKS == SQL and set(CHECKS) <= set(QUERIES)
 

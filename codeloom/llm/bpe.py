@@ -10,9 +10,8 @@ so each costs a walk of logarithmic length, also in a word of many megabytes.
 from __future__ import annotations
 
 import base64
-import operator
+import struct
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,10 @@ from codeloom.llm.common import id_and_text, map_texts
 # Words whose ids a Python worker remembers, and the longest such word in characters:
 # together they bound its memory. What is forgotten is encoded anew.
 MEMORY_WORDS, MEMORY_CHARS = 200_000, 64
-# Words of a text that are joined at once.
-BATCH_WORDS = 100_000
+# Long texts are cut into words in parts of so many characters, at places where the
+# pattern cuts them anyway.
+PART_CHARS = 1_000_000
+CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 _decoders: dict[str, list[bytes | None]] = {}
@@ -47,54 +48,49 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     Positions that a merge has swallowed, and pairs that are no token, hold ``none``.
     ``longest`` is the longest token's length, which bounds what is looked up.
     """
-    n = len(word)
+    n, get = len(word), ranks.get
     if n == 1:
         return [ranks[word]]
     bits = n.bit_length()
     size = 1 << (n - 2).bit_length()  # leaves: the n - 1 pairs, rounded up
-    none = 1 << (bits + 40)
-    mask = (1 << bits) - 1
+    none, mask = 1 << (bits + 40), (1 << bits) - 1
     tree = [none] * (2 * size)
     for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
+        rank = get(word[i : i + 2])
         if rank is not None:
             tree[size + i] = rank << bits | i
-    for i in range(size - 1, 0, -1):
-        left, right = tree[2 * i], tree[2 * i + 1]
-        tree[i] = left if left < right else right
+    for i in range(2 * size - 2, 0, -2):
+        left, right = tree[i], tree[i + 1]
+        tree[i >> 1] = left if left < right else right
     after = list(range(1, n + 1))  # start of the next live part; n behind the last one
     before = list(range(-1, n))
-
-    def put(position: int, value: int) -> None:
-        i = size + position
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < value:
-                value = other
-            i >>= 1
-            if tree[i] == value:
-                return
-            tree[i] = value
-
-    def pair(i: int) -> int:
-        """The leaf of the pair of parts that starts at ``i``."""
-        middle = after[i]
-        if middle >= n or after[middle] - i > longest:
-            return none
-        rank = ranks.get(word[i : after[middle]])
-        return none if rank is None else rank << bits | i
-
     while (least := tree[1]) != none:
         i = least & mask
         gone = after[i]
-        after[i] = after[gone]
-        before[after[gone]] = i
-        if gone < n - 1:
-            put(gone, none)
-        put(i, pair(i))
-        if before[i] >= 0:
-            put(before[i], pair(before[i]))
+        end = after[i] = after[gone]
+        before[end] = i
+        # the swallowed byte starts no pair any more, the merged part and its neighbour
+        # before start others; the highest position first
+        for start in (gone, i, before[i]):
+            value = none
+            if start < 0 or start == n - 1:
+                continue  # nothing before the word, and no pair starts at its last byte
+            if start != gone:
+                middle = after[start]
+                if middle < n and after[middle] - start <= longest:
+                    rank = get(word[start : after[middle]])
+                    if rank is not None:
+                        value = rank << bits | start
+            at = size + start
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : after[i]]])
@@ -102,14 +98,15 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
-class Encoder:
-    """Texts to ids, by the ranks of a file. Holds at most ``MEMORY_WORDS`` words."""
+class Encoder(dict):
+    """Texts to ids, by the ranks of a file. As a dictionary it maps words to their ids
+    and remembers at most ``MEMORY_WORDS`` of them."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Encoder:
@@ -117,24 +114,27 @@ class Encoder:
             _encoders[path, pattern] = cls(path, pattern)
         return _encoders[path, pattern]
 
-    def word(self, text: str) -> bytes:
+    def __missing__(self, text: str) -> bytes:
         raw = text.encode("utf-8")
         whole = self.ranks.get(raw)
         ids = [whole] if whole is not None else merge(raw, self.ranks, self.longest)
-        out = np.array(ids, "<u4").tobytes()
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= MEMORY_CHARS:
-            if len(self.known) >= MEMORY_WORDS:
-                self.known.clear()
-            self.known[text] = out
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[text] = out
         return out
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian 32-bit ids of a whole text; none for null."""
-        known, word = self.known, self.word
-        found = map(operator.methodcaller("group"), self.pattern.finditer((text or b"").decode("utf-8", "replace")))
-        parts = []
-        while words := list(islice(found, BATCH_WORDS)):
-            parts.append(b"".join([known.get(w) or word(w) for w in words]))
+        whole = (text or b"").decode("utf-8", "replace")
+        parts, at = [], 0
+        while at < len(whole):
+            # a space between two other characters always starts a word
+            cut = CUT.search(whole, at + PART_CHARS)
+            end = cut.start() if cut else len(whole)
+            parts.append(b"".join(map(self.__getitem__, self.pattern.findall(whole, at, end))))
+            at = end
         return b"".join(parts)
 
 
@@ -146,7 +146,8 @@ def encode(
     ``ids`` are little-endian unsigned 32-bit token ids of the whole text, without
     special tokens. A null text is an empty one and has no ids; repeated rows and null
     ids stay rows of their own; bytes that are not UTF-8 are read as U+FFFD. ``path``
-    must be a file that all executors can open.
+    must be a file that all executors can open; ``pattern`` must start a word at every
+    single space between two other characters, as these patterns do.
     """
 
     def one(text: bytes | None) -> tuple:

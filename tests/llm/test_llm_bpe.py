@@ -73,11 +73,16 @@ def test_merges_follow_the_definition():
 
 def test_forgotten_words_are_encoded_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY_WORDS", 3)
-    monkeypatch.setattr(bpe, "BATCH_WORDS", 2)
     encoder = bpe.Encoder(PATH, PATTERN)
     text = "some xyzzy words qwertz again some xyzzy words plugh"
     assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == library.encode_ordinary(text)
-    assert len(encoder.known) <= 3
+    assert len(encoder) <= 3
+
+
+def test_long_texts_are_cut_where_words_start(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHARS", 1)
+    for text in [*texts()[:1500], " a  b c\n d \x85 e f", "it 's 5 's", "a" * 50 + " " * 50]:
+        assert ids_of(text) == library.encode_ordinary(text), text
 
 
 def test_round_trip_and_odd_rows(spark):

@@ -5,11 +5,13 @@ columns that lead it, padded with nulls at the end of a piece. Windows are count
 once; Spark's ROLLUP over their columns then sums the counts of the successively
 shorter prefixes, which are the counts of all shorter phrases.
 
-No phrase that is looked for, and no part of one, is rarer than the least count. So a
-first pass counts pairs of neighbouring words in hashed slots, and the second one also
-cuts pieces where a slot has fewer: no window then reaches over a pair that is too rare.
-The slots only save work. Different pairs may share a slot, which leaves a pair uncut;
-every count that matters is exact, whatever the number of slots.
+No phrase that is looked for, and no part of one, is rarer than the least count. So
+passes before count words, pairs and triples in hashed slots, and windows are padded
+also from where a slot has fewer: most of them then have a word or two. The slots only
+save work. Different phrases may share a slot, which leaves a window longer than need
+be; every count that matters is exact, whatever the number of slots. They save little
+where a slot holds more than the least count on average; a larger corpus should have
+a larger least count.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,81 +33,134 @@ from codeloom.session import stage
 WORDS, LEAST, COVERED = 4, 30, 80
 SCALE = 2_000_000
 TOP = 2_000
-# Slots of the pair counts: their bitmap, which tasks read, has an eighth as many bytes.
-SLOTS = 1 << 24
-# Words that a task holds at once (but whole pieces), and word hashes that it remembers.
-HELD_WORDS, MEMORY_WORDS = 1_000_000, 500_000
+# Slots of a count: one for so many bytes of text, within bounds. Tasks read a bitmap
+# of an eighth as many bytes, so at most 32 MB.
+SLOT_BYTES, MIN_SLOTS, MAX_SLOTS = 16, 1 << 24, 1 << 28
+# Bytes of text that a task works on at once, and those of a row of words; a piece
+# that is longer stays whole. Word hashes that a worker remembers.
+HELD_BYTES, ROW_BYTES, MEMORY_WORDS = 4_000_000, 1_000_000, 500_000
 UNKNOWN = "und"
 # Letters that are lowered, marks that end a piece, blanks between words.
-_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-_hashes: dict[bytes, int] = {}
+_TABLE = bytes.maketrans(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t",
+    b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ",
+)
 
 
-def _hash(word: bytes) -> int:
-    if len(_hashes) >= MEMORY_WORDS:
-        _hashes.clear()
-    value = _hashes[word] = xxhash.xxh64_intdigest(word)
-    return value
+class _Hashes(dict):
+    """64-bit hashes of words; 0 is for what lies between two blanks, 1 for the end of a
+    piece, 2 for the end of a text."""
+
+    def __missing__(self, word: bytes) -> int:
+        if word == b"":
+            return 0
+        if word in (b"\n", b"\r"):
+            return 1 if word == b"\n" else 2
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word) | 4
+        return value
+
+
+_hashes = _Hashes()
 
 
 class Words:
-    """Words of many texts in one list, with the ends of their pieces."""
-
-    def __init__(self):
-        self.words: list[bytes] = []
-        self.ends: list[int] = []
-        self.langs: list[str] = []  # of each piece
-
-    def slots(self, slots: int) -> np.ndarray:
-        """The slot of each word and the next one; -1 where the piece ends."""
-        known = _hashes
-        own = np.fromiter((known.get(w) or _hash(w) for w in self.words), np.uint64, len(self.words))
-        of_lang = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(self.langs)}
-        lang = np.repeat(
-            np.array([of_lang[x] for x in self.langs], np.uint64), np.diff(self.ends, prepend=0)
-        )
-        out = np.full(len(own), -1, np.int64)
-        if len(own):
-            mixed = (own[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ own[1:]) + lang[:-1]
-            mixed ^= mixed >> np.uint64(29)
-            out[:-1] = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)).astype(np.int64) % slots
-            out[np.array(self.ends) - 1] = -1
+    """The words of some texts in one sequence, with marks where pieces and texts end."""
+
+    def __init__(self, langs: list[str], texts: list[bytes]):
+        self.langs = langs
+        raw = b" \r ".join(t.replace(b"\n", b" \n ") for t in texts).split(b" ")
+        own = np.fromiter(map(_hashes.__getitem__, raw), np.uint64, len(raw))
+        filled = own != 0
+        self.raw, self.filled = raw, filled
+        self.hash = own[filled]
+        self.word = self.hash > 2
+        self.text = np.cumsum(self.hash == 2)
+        of_lang = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
+        self.lang = np.array([of_lang[x] for x in langs], np.uint64)[self.text]
+        self.mixed: np.ndarray | None = None  # of the phrases of the length looked at last
+
+    def start(self) -> np.ndarray:
+        """Where the phrases of one word start."""
+        self.mixed = self.hash + self.lang
+        return self.word
+
+    def longer(self, found: np.ndarray) -> np.ndarray:
+        """Where those of one word more can start: at phrases that follow each other."""
+        mixed = self.mixed * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed[:-1] ^= self.mixed[1:]
+        self.mixed = mixed
+        out = found.copy()
+        out[:-1] &= found[1:]
+        out[-1:] = False
         return out
 
+    def slots(self, found: np.ndarray, slots: int) -> np.ndarray:
+        own = self.mixed[found] * np.uint64(0xBF58476D1CE4E5B9)
+        return ((own ^ own >> np.uint64(31)) % np.uint64(slots)).astype(np.int64)
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    held = Words()
+    def frequent(self, found: np.ndarray, bitmap: bytes, slots: int) -> np.ndarray:
+        """Those of the phrases whose slot is frequent."""
+        own = self.slots(found, slots)
+        out = found.copy()
+        out[found] = np.frombuffer(bitmap, np.uint8)[own >> 3] >> (own & 7).astype(np.uint8) & 1
+        return out
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    langs, texts, size = [], [], 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             # bytes that are not UTF-8 become U+FFFD, so that words are strings again later
-            text = text.decode("utf-8", "replace").encode()
-            for piece in text.translate(_FOLD).translate(_ENDS).split(b"\n"):
-                words = piece.split()  # blanks are all that is left of white space
-                if not words:
-                    continue
-                held.words += words
-                held.ends.append(len(held.words))
-                held.langs.append(lang)
-                if len(held.words) >= HELD_WORDS:
-                    yield held
-                    held = Words()
-    if held.words:
-        yield held
-
-
-def frequent_slots(texts: DataFrame, least: int, slots: int = SLOTS) -> bytes:
-    """A bitmap of the slots that hold ``least`` pairs of neighbours or more.
+            text, at = text.decode("utf-8", "replace").encode().translate(_TABLE), 0
+            while at < len(text):
+                end = len(text)
+                if end - at > ROW_BYTES:  # between two pieces
+                    end = text.rfind(b"\n", at, at + ROW_BYTES) + 1 or text.find(b"\n", at) + 1 or end
+                langs.append(lang)
+                texts.append(text[at:end])
+                size, at = size + end - at, end
+                if size >= HELD_BYTES:
+                    yield Words(langs, texts)
+                    langs, texts, size = [], [], 0
+    if texts:
+        yield Words(langs, texts)
+
+
+def _phrases(words: Words, bitmaps: list[bytes], slots: int) -> Iterator[np.ndarray]:
+    """Where phrases of 1, 2, .. words start that all bitmaps so far leave: the first
+    bitmap is for one and two words, each further one for a word more."""
+    found = words.start()
+    for bitmap in [bitmaps[0], *bitmaps]:
+        found = words.frequent(found, bitmap, slots)
+        yield found
+        found = words.longer(found)
+    yield found
+
+
+def frequent_slots(
+    texts: DataFrame, least: int, slots: int, bitmaps: list[bytes]
+) -> bytes:
+    """A bitmap of the slots that hold ``least`` phrases or more, of one and two words
+    where there is no bitmap yet, else of one word more than those for which there is.
 
     Tasks count what they hold, Spark adds up; only the bitmap's pieces of 4 KB come
     to the driver, ``slots / 8`` bytes in all, whatever the size of the data.
     """
-
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in _pieces(batches):
-            own = words.slots(slots)
-            slot, count = np.unique(own[own >= 0], return_counts=True)
+        for words in _held(batches):
+            if shared.value:
+                *_, found = _phrases(words, shared.value, slots)
+                own = words.slots(found, slots)
+            else:
+                singles = words.start()
+                own = words.slots(singles, slots)
+                own = np.concatenate([own, words.slots(words.longer(singles), slots)])
+            slot, count = np.unique(own, return_counts=True)
             # Spark's bitmaps number their bits from one
             yield pa.RecordBatch.from_arrays([pa.array(slot + 1), pa.array(count)], names=["slot", "n"])
 
@@ -121,33 +177,43 @@ def frequent_slots(texts: DataFrame, least: int, slots: int = SLOTS) -> bytes:
     return bytes(out)
 
 
-def runs(texts: DataFrame, frequent: bytes, slots: int = SLOTS) -> DataFrame:
-    """``lang, words``: the pieces' words, cut also between two words whose slot is rare."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+def word_rows(texts: DataFrame, bitmaps: list[bytes], slots: int, size: int = WORDS) -> DataFrame:
+    """``lang, words, lengths``: the words of a text, or of some pieces of it, and how long
+    the window at each is: it ends with the piece, and before a phrase that is too rare.
+    A word of length zero is too rare itself, and null."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for words in _pieces(batches):
-            own = words.slots(slots)
-            # a piece's last word has slot -1 and ends its run, whatever bit that reads
-            kept = (bits[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool) & (own >= 0)
-            ends = np.flatnonzero(~kept) + 1
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(words.words, pa.binary()).cast(pa.string()))
-            piece = np.searchsorted(words.ends, ends)
-            lang = pa.array(words.langs, pa.string()).take(pa.array(piece))
-            yield pa.RecordBatch.from_arrays([lang, lists], names=["lang", "words"])
-
-    return texts.mapInArrow(run, "lang string, words array<string>")
-
-
-def windows(pieces: DataFrame, size: int = WORDS) -> DataFrame:
-    """``lang, w1 .. w<size>``: a row per word, with the words that follow it in its
-    piece as lead columns, padded with nulls."""
-    lead = [
-        F.slice("words", F.lit(k), F.size("words")).alias(f"w{k}") for k in range(1, size + 1)
-    ]
-    return pieces.select("lang", F.inline(F.arrays_zip(*lead)))
+        for words in _held(batches):
+            length = np.zeros(len(words.hash), np.int8)
+            for m, found in enumerate(_phrases(words, shared.value, slots), 1):
+                if m <= size:
+                    length[found] = m
+            own = length[words.word]
+            values = pa.array(words.raw, pa.binary()).filter(pa.array(words.filled)).filter(pa.array(words.word))
+            values = pa.compute.if_else(pa.array(own > 0), values, pa.scalar(None, pa.binary())).cast(pa.string())
+            ends = np.searchsorted(words.text[words.word], np.arange(len(words.langs)), side="right")
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(words.langs, pa.string()),
+                    pa.ListArray.from_arrays(offsets, values),
+                    pa.ListArray.from_arrays(offsets, pa.array(own)),
+                ],
+                names=["lang", "words", "lengths"],
+            )
+
+    return texts.mapInArrow(run, "lang string, words array<string>, lengths array<tinyint>")
+
+
+def windows(rows: DataFrame, size: int = WORDS) -> DataFrame:
+    """``lang, w1 .. w<size>``: a row per word, with the words that follow it as lead
+    columns, padded with nulls beyond the length of its window."""
+    lead = [F.slice("words", F.lit(k), F.size("words")).alias(f"w{k}") for k in range(1, size + 1)]
+    zipped = rows.select("lang", F.inline(F.arrays_zip(F.col("lengths").alias("length"), *lead)))
+    return zipped.select(
+        "lang", *[F.when(F.col("length") >= k, F.col(f"w{k}")).alias(f"w{k}") for k in range(1, size + 1)]
+    )
 
 
 def prefix_counts(counted: DataFrame, least: int, size: int = WORDS) -> DataFrame:
@@ -218,7 +284,7 @@ def _covered(found: DataFrame, covered: int, size: int) -> DataFrame:
 
 def mine(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST,
-    covered: int = COVERED, top: int = TOP, size: int = WORDS, slots: int = SLOTS,
+    covered: int = COVERED, top: int = TOP, size: int = WORDS, slots: int | None = None,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases.
 
@@ -237,9 +303,15 @@ def mine(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
-    frequent = frequent_slots(texts, least, slots)
+    if slots is None:
+        size_of_texts = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (size_of_texts // SLOT_BYTES).bit_length()))
+    bitmaps: list[bytes] = []
+    for _ in range(max(1, size - 2)):
+        bitmaps.append(frequent_slots(texts, least, slots, bitmaps))
     columns = [f"w{k}" for k in range(1, size + 1)]
-    counted = windows(runs(texts, frequent, slots), size).groupBy("lang", *columns).agg(F.count("*").alias("c"))
+    rows = word_rows(texts, bitmaps, slots, size)
+    counted = windows(rows, size).groupBy("lang", *columns).agg(F.count("*").alias("c"))
     found = stage(prefix_counts(stage(counted, "phrases-windows"), least, size), "phrases-found")
     kept = (
         _scores(found, size)

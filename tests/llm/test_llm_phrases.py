@@ -60,29 +60,39 @@ def corpus(seed, n=300):
     return rows
 
 
-@pytest.mark.parametrize("slots", [phrases.SLOTS, 64])
+@pytest.mark.parametrize("slots", [None, 64])
 @pytest.mark.parametrize("size", [2, 4])
 def test_equals_counting_by_hand(spark, slots, size):
-    rows = corpus(slots + size)
+    rows = corpus((slots or 1) + size)
     docs = spark.createDataFrame([(i, t, lang, "x", 1) for i, (lang, t) in enumerate(rows)], DOCS).repartition(4)
     for least, covered, top in ((3, 80, 2000), (2, 100, 5)):
         got = phrases.mine(docs, least=least, covered=covered, top=top, size=size, slots=slots)
         assert {tuple(r) for r in got.collect()} == mined(rows, least, covered, top, size)
 
 
-def test_rare_pairs_are_cut_and_frequent_ones_never(spark):
-    texts = spark.createDataFrame([("en", bytearray(b"a b c d, a b"))] * 5, "lang string, text binary")
-    bits = phrases.frequent_slots(texts, 10)
-    got = [tuple(r["words"]) for r in phrases.runs(texts, bits).collect()]
-    assert sorted(set(got)) == [("a", "b"), ("c",), ("d",)] and got.count(("a", "b")) == 10
-    assert len(bits) == phrases.SLOTS // 8
+def test_rare_phrases_shorten_windows_and_frequent_ones_never(spark):
+    texts = spark.createDataFrame([("en", bytearray(b"a b c d, a b c. x"))] * 5, "lang string, text binary")
+    slots = phrases.MIN_SLOTS
+    pairs = phrases.frequent_slots(texts, 10, slots, [])
+    assert len(pairs) == slots // 8
+    triples = phrases.frequent_slots(texts, 10, slots, [pairs])
+    got = phrases.word_rows(texts, [pairs, triples], slots).first()
+    assert got["words"] == ["a", "b", "c", None, "a", "b", "c", None]
+    assert got["lengths"] == [3, 2, 1, 0, 3, 2, 1, 0]
+    rows = phrases.windows(phrases.word_rows(texts.limit(1), [pairs, triples], slots))
+    assert tuple(rows.first()) == ("en", "a", "b", "c", None)
 
 
-def test_long_texts_held_in_parts(spark, monkeypatch):
-    rows = [("en", "one two three. " * 20_000), ("en", "x" * 100_000)]
+def test_long_texts_held_in_parts(spark):
+    rows = [("en", "one two three. " * 200_000), ("en", "x" * 3_000_000), ("en", "y z " * 400_000)]
     docs = spark.createDataFrame([(i, t, lang, "x", 1) for i, (lang, t) in enumerate(rows)], DOCS)
-    got = {tuple(r) for r in phrases.mine(docs).collect()}
-    assert got == {("en", 1, "one two three", 20_000, 20_000, 20_000, 60_001, 1_000_000)}
+    got = {(r["phrase"], r["a"], r["l"], r["r"], r["n"]) for r in phrases.mine(docs).collect()}
+    n = 600_000 + 1 + 800_000
+    assert got == {
+        ("one two three", 200_000, 200_000, 200_000, n),
+        ("y z y z", 399_999, 400_000, 400_000, n),
+        ("z y z y", 399_998, 400_000, 399_999, n),
+    }
 
 
 def test_no_phrases(spark):

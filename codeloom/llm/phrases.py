@@ -37,63 +37,64 @@ TOP = 2_000
 # of an eighth as many bytes, so at most 32 MB.
 SLOT_BYTES, MIN_SLOTS, MAX_SLOTS = 16, 1 << 24, 1 << 28
 # Bytes of text that a task works on at once, and those of a row of words; a piece
-# that is longer stays whole. Word hashes that a worker remembers.
-HELD_BYTES, ROW_BYTES, MEMORY_WORDS = 4_000_000, 1_000_000, 500_000
+# that is longer stays whole.
+HELD_BYTES, ROW_BYTES = 2_000_000, 1_000_000
+# Slots of a block, the unit in which counts are added up.
+BLOCK = 1 << 16
+# Parts of a language that are ranked by themselves first.
+RANK_PARTS = 64
 UNKNOWN = "und"
 # Letters that are lowered, marks that end a piece, blanks between words.
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + b".,;:!?\x0b\x0c\r" + b"\t",
     b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ",
 )
-
-
-class _Hashes(dict):
-    """64-bit hashes of words; 0 is for what lies between two blanks, 1 for the end of a
-    piece, 2 for the end of a text."""
-
-    def __missing__(self, word: bytes) -> int:
-        if word == b"":
-            return 0
-        if word in (b"\n", b"\r"):
-            return 1 if word == b"\n" else 2
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) | 4
-        return value
-
-
-_hashes = _Hashes()
+# What a byte is after that: 1 a blank, 2 the end of a piece, 3 that of a text; else of a word.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[32, 10, 13]] = 1, 2, 3
+# Weights of a byte and of its place in a word, for hashes of words.
+_draw = np.random.default_rng(12)
+_BYTE = _draw.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_PLACE = _draw.integers(1, 1 << 63, 1 << 12, np.uint64) | np.uint64(1)
 
 
 class Words:
-    """The words of some texts in one sequence, with marks where pieces and texts end."""
+    """The words of some texts: their bytes in a row, and for each word its hash, text
+    and piece."""
 
     def __init__(self, langs: list[str], texts: list[bytes]):
         self.langs = langs
-        raw = b" \r ".join(t.replace(b"\n", b" \n ") for t in texts).split(b" ")
-        own = np.fromiter(map(_hashes.__getitem__, raw), np.uint64, len(raw))
-        filled = own != 0
-        self.raw, self.filled = raw, filled
-        self.hash = own[filled]
-        self.word = self.hash > 2
-        self.text = np.cumsum(self.hash == 2)
+        raw = np.frombuffer(b"\r".join(texts), np.uint8)
+        kind = _KIND[raw]
+        inside = kind == 0
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        first = np.flatnonzero(edge == 1)
+        lengths = np.flatnonzero(edge == -1) - first
+        self.bytes = raw[inside]
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        self.piece = np.cumsum(kind >= 2)[first]
+        self.text = np.cumsum(kind == 3)[first]
         of_lang = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
-        self.lang = np.array([of_lang[x] for x in langs], np.uint64)[self.text]
-        self.mixed: np.ndarray | None = None  # of the phrases of the length looked at last
+        lang = np.array([of_lang[x] for x in langs], np.uint64)[self.text]
+        place = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(self.offsets[:-1], lengths)
+        weighted = _BYTE[self.bytes] * _PLACE[place & (len(_PLACE) - 1)]
+        self.hash = (np.add.reduceat(weighted, self.offsets[:-1]) if len(first) else weighted) + lang
+        self.mixed = self.hash  # of the phrases of the length looked at last
 
     def start(self) -> np.ndarray:
-        """Where the phrases of one word start."""
-        self.mixed = self.hash + self.lang
-        return self.word
+        """Where phrases of one word start."""
+        self.mixed = self.hash
+        return np.ones(len(self.hash), bool)
 
     def longer(self, found: np.ndarray) -> np.ndarray:
-        """Where those of one word more can start: at phrases that follow each other."""
+        """Where those of one word more can start: at phrases of a piece that follow
+        each other."""
         mixed = self.mixed * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         mixed[:-1] ^= self.mixed[1:]
         self.mixed = mixed
         out = found.copy()
-        out[:-1] &= found[1:]
+        out[:-1] &= found[1:] & (self.piece[:-1] == self.piece[1:])
         out[-1:] = False
         return out
 
@@ -146,12 +147,14 @@ def frequent_slots(
     """A bitmap of the slots that hold ``least`` phrases or more, of one and two words
     where there is no bitmap yet, else of one word more than those for which there is.
 
-    Tasks count what they hold, Spark adds up; only the bitmap's pieces of 4 KB come
-    to the driver, ``slots / 8`` bytes in all, whatever the size of the data.
+    Tasks count what they hold and file the counts by block of slots; a block's counts
+    are added up as they stream in. Only the bitmap comes to the driver, ``slots / 8``
+    bytes, whatever the size of the data.
     """
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
+    number = np.min_scalar_type(least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _held(batches):
             if shared.value:
                 *_, found = _phrases(words, shared.value, slots)
@@ -160,20 +163,34 @@ def frequent_slots(
                 singles = words.start()
                 own = words.slots(singles, slots)
                 own = np.concatenate([own, words.slots(words.longer(singles), slots)])
-            slot, count = np.unique(own, return_counts=True)
-            # Spark's bitmaps number their bits from one
-            yield pa.RecordBatch.from_arrays([pa.array(slot + 1), pa.array(count)], names=["slot", "n"])
-
-    counts = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    parts = (
-        counts.filter(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    )
-    out = bytearray(-(-slots // 32768) * 4096)
-    for part in parts.collect():
-        at = (part["bucket"] - 1) * 4096
-        out[at : at + 4096] = part["bits"]
+            slot, n = np.unique(own, return_counts=True)
+            n = np.minimum(n, least).astype(number)
+            cuts = np.flatnonzero(np.diff(slot // BLOCK, prepend=-1))
+            ends = [*cuts[1:].tolist(), len(slot)]
+            low = (slot % BLOCK).astype(np.uint16)
+            parts = list(zip(cuts.tolist(), ends, strict=True)) if len(slot) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(slot[i]) // BLOCK for i, _ in parts], pa.int32()),
+                    pa.array([low[i:j].tobytes() for i, j in parts], pa.binary()),
+                    pa.array([n[i:j].tobytes() for i, j in parts], pa.binary()),
+                ],
+                names=["block", "slot", "n"],
+            )
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BLOCK, np.int64)
+        for batch in batches:
+            for slot, n in zip(batch.column("slot").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                total[np.frombuffer(slot, np.uint16)] += np.frombuffer(n, number)
+        bits = np.packbits(total >= least, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits])], names=["block", "bits"])
+
+    counts = texts.mapInArrow(count, "block int, slot binary, n binary")
+    out = bytearray(-(-slots // BLOCK) * (BLOCK // 8))
+    for part in counts.groupBy("block").applyInArrow(add, "block int, bits binary").collect():
+        at = part["block"] * (BLOCK // 8)
+        out[at : at + BLOCK // 8] = part["bits"]
     return bytes(out)
 
 
@@ -189,16 +206,17 @@ def word_rows(texts: DataFrame, bitmaps: list[bytes], slots: int, size: int = WO
             for m, found in enumerate(_phrases(words, shared.value, slots), 1):
                 if m <= size:
                     length[found] = m
-            own = length[words.word]
-            values = pa.array(words.raw, pa.binary()).filter(pa.array(words.filled)).filter(pa.array(words.word))
-            values = pa.compute.if_else(pa.array(own > 0), values, pa.scalar(None, pa.binary())).cast(pa.string())
-            ends = np.searchsorted(words.text[words.word], np.arange(len(words.langs)), side="right")
+            values = pa.BinaryArray.from_buffers(
+                pa.binary(), len(length), [None, pa.py_buffer(words.offsets), pa.py_buffer(words.bytes)]
+            )
+            values = pa.compute.if_else(pa.array(length > 0), values, pa.scalar(None, pa.binary())).cast(pa.string())
+            ends = np.searchsorted(words.text, np.arange(len(words.langs)), side="right")
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(words.langs, pa.string()),
                     pa.ListArray.from_arrays(offsets, values),
-                    pa.ListArray.from_arrays(offsets, pa.array(own)),
+                    pa.ListArray.from_arrays(offsets, pa.array(length)),
                 ],
                 names=["lang", "words", "lengths"],
             )
@@ -320,8 +338,13 @@ def mine(
             F.col("most").isNull() | (_wide(F.col("most")) * 100 < _wide(F.col("a")) * covered)
         )
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # the best of each part first, so that no language comes to one task as a whole
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    for keys in (["lang", part], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        kept = kept.withColumn("rank", rank).filter(F.col("rank") <= top)
+    ranked = kept
     words = found.filter("m = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"

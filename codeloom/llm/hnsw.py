@@ -3,8 +3,9 @@
 Vectors of one label are cut into shards of bounded size, and each shard gets a
 graph. Every shard is queried with the vectors of every shard of its label; a pair of
 shards is one task, which looks both ways. A beam that misses pairs which brute force
-finds for an audit sample is widened until the audit passes; found pairs are verified
-in double precision, and linked vectors form components.
+finds for an audit sample is widened until the audit passes, or until it would cost as
+much as comparing all; found pairs are verified in double precision, and linked vectors
+form components.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ BUILD_BEAM = 64
 BEAM = 48
 AUDIT_ROWS = 1024
 AUDIT_RECALL = 0.995
-# Shards of up to so many vectors are looked at in full.
-SMALL = 192
 BATCH = 512
 # Single precision orders the search; only double precision decides.
 _SLACK = 1e-4
@@ -170,27 +169,44 @@ def build(unit: np.ndarray, seed: int = 5) -> Graph:
     return upper
 
 
-def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool = False) -> Iterator[tuple]:
+def dear(width: int, size: int) -> bool:
+    """Whether a beam costs a row as many comparisons as all vectors of the shard do.
+
+    A beam takes about ``width`` steps, each to a node of 2 * LINKS neighbours; the
+    other way is ``size`` comparisons, in one product.
+    """
+    return width * 2 * LINKS >= size
+
+
+def _exactly(graph: Graph, asks: np.ndarray, least: float) -> Iterator[tuple]:
+    for i in range(0, len(asks), BATCH):
+        row, node = np.nonzero(asks[i : i + BATCH] @ graph.unit.T >= least)
+        yield row + i, node
+
+
+def search(
+    graph: Graph, asks: np.ndarray, least: float, width: int, own: np.ndarray | bool = False
+) -> Iterator[tuple]:
     """Pairs (rows of ``asks``, nodes) of a similarity of ``least`` or more, in blocks.
 
-    A row whose whole beam is that near is asked again with a beam four times as wide.
-    A beam of a quarter of the shard or more would look at about every node, and at the
-    size of the shard at all of them, so there the row is compared with all. ``own``: the
-    rows are the nodes of the graph, which are entries for themselves.
+    A row whose whole beam is that near is asked again with a beam four times as wide,
+    or compared with all vectors where that is no dearer. ``own``: the node that each row
+    is, as an entry for itself; True where row and node numbers are the same.
     """
     size = len(graph.unit)
     pending = np.arange(len(asks))
+    nodes = pending if own is True else own
     upper = Graph(graph.unit, graph.layers[1:])
-    while len(pending) and 4 * width < size:
+    while len(pending) and not dear(width, size):
         again = []
         rows = max(16, min(BATCH, (8 << 20) // (size + 64 * width)))
         for i in range(0, len(pending), rows):
             part = pending[i : i + rows]
             entry = _entries(upper, asks[part]) if upper.layers else np.full((len(part), 1), graph.layers[0][0][0])
-            if own:
+            if own is not False:
                 # a node that is found as its own entry must not be in the beam twice
-                entry = np.where(entry == part[:, None], -1, entry)
-                entry = np.concatenate([part[:, None], entry], axis=1)
+                self_ = nodes[part][:, None]
+                entry = np.concatenate([self_, np.where(entry == self_, -1, entry)], axis=1)
             node, close = _beam(graph.unit, graph.layers[0][1], asks[part], entry, width)
             near = close >= least
             full = near.all(axis=1)
@@ -199,35 +215,41 @@ def search(graph: Graph, asks: np.ndarray, least: float, width: int, own: bool =
             yield part[q], node[q, m]
         pending = np.concatenate(again)
         width *= 4
-    for i in range(0, len(pending), BATCH):
-        part = pending[i : i + BATCH]
-        q, node = np.nonzero(asks[part] @ graph.unit.T >= least)
-        yield part[q], node
+    for row, node in _exactly(graph, asks[pending], least):
+        yield pending[row], node
 
 
 def audited(graph: Graph, asks: np.ndarray, least: float, own: bool = False) -> np.ndarray:
     """``search`` as a matrix (row of ``asks``, node), with a beam wide enough that, of up
     to AUDIT_ROWS rows that link to anything, AUDIT_RECALL find all that brute force finds.
 
+    Only the audited rows are searched until a beam passes; then all rows are, once. Where
+    beams get too dear before one passes, all rows are compared with all vectors instead.
     Rows count, not links, so that a large group does not hide small ones. Rows of so
     many links that their beams overflow are compared with all and say nothing about a
     beam, so they count only where they miss something. A link to itself is none.
     """
+    size = len(graph.unit)
     sample = np.linspace(0, len(asks) - 1, min(AUDIT_ROWS, len(asks))).astype(np.int64)
-    truth = asks[sample] @ graph.unit.T >= least
-    if own:
-        truth[np.arange(len(sample)), sample] = False
-    links = truth.sum(axis=1)
-    width = BEAM if len(graph.unit) > SMALL else SMALL
-    while True:
-        found = np.zeros((len(asks), len(graph.unit)), bool)
-        for row, node in search(graph, asks, least, width, own):
-            found[row, node] = True
-        whole = ~(truth & ~found[sample]).any(axis=1)
+    width, passed = BEAM, False
+    found = np.zeros((len(asks), size), bool)
+    if not dear(width, size):
+        truth = asks[sample] @ graph.unit.T >= least
+        if own:
+            truth[np.arange(len(sample)), sample] = False
+        links = truth.sum(axis=1)
+    while not passed and not dear(width, size):
+        tried = np.zeros((len(sample), size), bool)
+        for row, node in search(graph, asks[sample], least, width, sample if own else False):
+            tried[row, node] = True
+        whole = ~(truth & ~tried).any(axis=1)
         counts = (links > 0) & ~(whole & (links >= width))
-        if 4 * width >= len(graph.unit) or (whole & counts).sum() >= AUDIT_RECALL * counts.sum():
-            return found
-        width *= 2
+        passed = (whole & counts).sum() >= AUDIT_RECALL * counts.sum()
+        if not passed:
+            width *= 2
+    for row, node in search(graph, asks, least, width, own) if passed else _exactly(graph, asks, least):
+        found[row, node] = True
+    return found
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

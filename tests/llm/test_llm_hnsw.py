@@ -96,3 +96,68 @@ def test_a_large_group_does_not_hide_missed_pairs(monkeypatch):
     monkeypatch.setattr(hnsw, "search", search)
     for own in (True, False):
         assert (hnsw.audited(hnsw.Graph(unit, []), unit, 0.93, own=own) == near).all()
+
+
+def test_only_audited_rows_are_searched_until_a_beam_passes(monkeypatch):
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(4000, 32))
+    unit[1::2] = unit[::2] + 0.02 * rng.normal(size=(2000, 32))
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    near = unit @ unit.T >= 0.93
+    asked = []
+
+    def search(graph, asks, least, width, own=False):
+        asked.append((len(asks), width))
+        rows = np.arange(len(asks)) if own is True else own
+        row, node = np.nonzero(near[rows])
+        keep = (rows[row] == node) | (width > 2 * hnsw.BEAM - 1)
+        yield row[keep], node[keep]
+
+    monkeypatch.setattr(hnsw, "search", search)
+    assert (hnsw.audited(hnsw.Graph(unit, []), unit, 0.93, own=True) == near).all()
+    assert asked == [(hnsw.AUDIT_ROWS, hnsw.BEAM), (hnsw.AUDIT_ROWS, 2 * hnsw.BEAM), (4000, 2 * hnsw.BEAM)]
+    # a search that never finds anything ends in comparing all, after few rows
+    asked.clear()
+    monkeypatch.setattr(hnsw, "search", lambda g, asks, least, width, own=False: asked.append(len(asks)) or iter(()))
+    assert (hnsw.audited(hnsw.Graph(unit, []), unit, 0.93, own=True) == near).all()
+    assert set(asked) == {hnsw.AUDIT_ROWS}
+
+
+def test_graphs_end_to_end(spark, monkeypatch):
+    """Thousands of vectors per label in several shards, pairs and small groups beside a
+    large one, through beams: recall of vectors and of groups against brute force."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for label in (0, 1):
+        base = rng.normal(size=(3200, 64))
+        big = rng.normal(size=64) + 0.12 * rng.normal(size=(900, 64))
+        few = [base[k] + 0.18 * rng.normal(size=(int(rng.integers(1, 6)), 64)) for k in range(500)]
+        vectors = np.concatenate([base, big, *few]).astype(np.float32)
+        rows += [(100_000 * label + i, v.tolist(), label) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], VECTORS)
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(frame, shard_rows=2400).collect()}
+    linked = right = groups = whole = 0
+    for label in (0, 1):
+        own = [r for r in rows if r[2] == label]
+        x = np.array([r[1] for r in own], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.93
+        np.fill_diagonal(near, False)
+        assert not hnsw.dear(hnsw.BEAM, len(own) // -(-len(own) // 2400) - 200)  # the beams are used
+        component = np.arange(len(own))
+        while True:
+            least = np.where(near, component[None, :], len(own)).min(axis=1)
+            new = np.minimum(component, least)
+            if (new == component).all():
+                break
+            component = new
+        n = near.sum(axis=1)
+        for i in np.flatnonzero(n):
+            linked += 1
+            right += got[own[i][0]] == (n[i], own[component[i]][0])
+        for c in set(component[n > 0].tolist()):
+            groups += 1
+            whole += all(got[own[i][0]] == (n[i], own[c][0]) for i in np.flatnonzero(component == c))
+        assert all(got[own[i][0]] == (0, own[i][0]) for i in np.flatnonzero(n == 0))
+    print(f"vectors {right}/{linked}, groups {whole}/{groups}")
+    assert right >= 0.99 * linked and whole >= 0.98 * groups

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Whole rows that an Arrow batch may hold: Spark bounds batches by rows only, and rows
+# that carry their texts there and back take four copies of a batch.
+BATCH_ROWS = 1_000
 # Rows whose work a single Python task may hold at once.
 GROUP_ROWS = 100_000
 
@@ -16,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering the session's rows per Arrow batch to BATCH_ROWS where they
+    are more. The setting stays, as plans read it when they run."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads; the text as UTF-8 bytes, which spares
     Python the decoding."""
@@ -72,4 +84,4 @@ def add_columns(
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     fields += [f"`{n}` {t}" for n, t in columns.items()]
-    return docs.mapInArrow(run, ", ".join(fields))
+    return small_batches(docs).mapInArrow(run, ", ".join(fields))

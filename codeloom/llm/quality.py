@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import id_and_text, map_texts
+from codeloom.llm.common import id_and_text, map_texts, small_batches
 
 THRESHOLD = 0.7
 # The classifier is fitted on at most so many labelled documents of each class,
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_
             good = [model.score(features(t)) >= threshold for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import GROUP_ROWS, id_and_text, map_texts
 from codeloom.llm.components import components
+from codeloom.llm.setlinks import links_between
+from codeloom.operators.skew import lookup
 from codeloom.session import stage
 
 SEED = 42
@@ -146,19 +148,19 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col
     """``id, fp`` per row; a text without words (null, empty) has fingerprint zero.
 
     With a similarity a shingle counts once, however often it occurs, and there are
-    also ``same``, a digest of the set of shingles, and ``size``, how many they are.
+    also ``same``, a digest of the set of shingles.
     """
     if how.similarity:
 
         def one(text: bytes | None) -> tuple:
             own = shingle_set(text, how.words)
-            return majority([own], how.bits), _set_name(own), len(own)
+            return majority([own], how.bits), _set_name(own)
 
         return map_texts(
             id_and_text(docs, id_col, text_col),
             one,
-            {"fp": "binary", "same": "binary", "size": "long"},
-            pa.schema([("fp", pa.binary()), ("same", pa.binary()), ("size", pa.int64())]),
+            {"fp": "binary", "same": "binary"},
+            pa.schema([("fp", pa.binary()), ("same", pa.binary())]),
         )
     return map_texts(
         id_and_text(docs, id_col, text_col),
@@ -168,14 +170,9 @@ def fingerprints(docs: DataFrame, how: SimHash, id_col: str = "doc_id", text_col
     )
 
 
-def _more_columns(groups: DataFrame) -> list[str]:
-    """What ``across`` needs beside the fingerprint."""
-    return [c for c in ("comp", "size") if "comp" in groups.columns]
-
-
 def _shard_rows(groups: DataFrame, how: SimHash) -> DataFrame:
     """One row per fingerprint and table: the shard is the table and its key bits."""
-    keys, more = how.keys(), _more_columns(groups)
+    keys = how.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,17 +184,16 @@ def _shard_rows(groups: DataFrame, how: SimHash) -> DataFrame:
                 weights = np.left_shift(np.int64(1), np.arange(len(key), dtype=np.int64))
                 shard = bits[:, key].astype(np.int64) @ weights + (np.int64(table) << 40)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), batch.column("rep"), fps, *(batch.column(c) for c in more)],
-                    names=["shard", "rep", "fp", *more],
+                    [pa.array(shard), batch.column("rep"), fps], names=["shard", "rep", "fp"]
                 )
 
-    return groups.mapInArrow(run, ", ".join(["shard long, rep long, fp binary", *(f"{c} long" for c in more)]))
+    return groups.mapInArrow(run, "shard long, rep long, fp binary")
 
 
 def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
     """Rows by cell. A large shard is cut into chunks, and each pair of its chunks
     is a cell; any other shard is one cell."""
-    rows, more = _shard_rows(groups, how), _more_columns(groups)
+    rows = _shard_rows(groups, how)
     probe = groups.filter(F.pmod(F.xxhash64("rep"), F.lit(PROBE_EVERY)) == 0)
     large = stage(
         _shard_rows(probe, how)
@@ -211,7 +207,7 @@ def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
     if not found:
         whole = F.lit(True)
         return rows.select(
-            F.col("shard").alias("cell"), whole.alias("in_tree"), whole.alias("asks"), "rep", "fp", *more
+            F.col("shard").alias("cell"), whole.alias("in_tree"), whole.alias("asks"), "rep", "fp"
         )
     chunk, other = F.col("c"), F.col("o")
     return (
@@ -227,7 +223,6 @@ def _cells(groups: DataFrame, how: SimHash) -> DataFrame:
             (chunk <= other).alias("asks"),
             "rep",
             "fp",
-            *more,
         )
     )
 
@@ -339,30 +334,7 @@ def _tasks(groups: DataFrame, how: SimHash):
     rows = groups.count() * len(how.keys())
     tasks = max(1, -(-rows // GROUP_ROWS))
     dealt = _cells(groups, how).withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)))
-    return dealt.select("task", "cell", "in_tree", "asks", "rep", "fp", *_more_columns(groups)).groupBy("task")
-
-
-def across(groups: DataFrame, how: SimHash) -> DataFrame:
-    """``a, b``: every pair within the radius whose ``comp`` differs, once.
-
-    ``groups(rep, fp, comp, size)``. Pairs whose sets are of too different sizes to be
-    similar are left out, which is exact.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        rep, comp, size = (rows.column(c).to_numpy() for c in ("rep", "comp", "size"))
-        for a, b in _found(rows, how):
-            apart = (comp[a] != comp[b]) & (
-                np.minimum(size[a], size[b]) >= how.similarity * np.maximum(size[a], size[b]) - 1e-6
-            )
-            x, y = rep[a[apart]], rep[b[apart]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    # the annotations tell Spark that ``run`` takes and gives batches
-    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return _tasks(groups, how).applyInArrow(run, "a long, b long").distinct()
+    return dealt.select("task", "cell", "in_tree", "asks", "rep", "fp").groupBy("task")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -375,10 +347,10 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     total = F.size("x") + F.size("y") - F.col("common")
+    # one set may be the second of very many pairs, so its rows are spread
+    both = lookup(pairs.join(left, "a"), right, ["b"], ["a"], how="inner")
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "x", "y", common.alias("common"))
+        both.select("a", "b", "x", "y", common.alias("common"))
         .filter((total == 0) | (F.col("common") / total >= least))
         .select("a", "b")
     )
@@ -406,9 +378,9 @@ def verified(docs: DataFrame, groups: DataFrame, found: DataFrame, how: SimHash,
     """``a, b`` pairs that connect what is connected by candidates of the given similarity.
 
     ``found`` connects all candidates. Each member of a connected group is compared
-    with its smallest first, one pair a member. Where that leaves a group in parts, all
-    its candidate pairs between the parts are looked up and compared: as many as there
-    are, since one that fails must not hide one that passes.
+    with its smallest first, one pair a member. Where that leaves a group in parts, the
+    sets of different parts are compared in tasks that return a forest of the links they
+    find: a link that fails hides none that passes, and no row is made per pair.
     """
     near = components(found, "candidate-components").withColumnRenamed("node", "rep")
     near = stage(near, "candidates")
@@ -421,11 +393,11 @@ def verified(docs: DataFrame, groups: DataFrame, found: DataFrame, how: SimHash,
     )
     parted = comp.groupBy("label").agg(F.count("*").alias("n"), F.min("comp").alias("f"), F.max("comp").alias("g"))
     open_ = comp.join(parted.filter("f != g and n > 2").select("label"), "label", "left_semi")
-    left = stage(groups.join(open_.select("rep", "comp"), "rep").select("rep", "fp", "comp", "size"), "parted-groups")
+    left = stage(open_.select("rep", "label", "comp"), "parted-groups")
     if left.isEmpty():
         return first
-    pairs = stage(across(left, how), "candidates-across")
-    return first.unionByName(similar(pairs, sets.select("rep", "shingles"), how.similarity))
+    members = stage(left.join(sets, "rep"), "parted-sets")
+    return first.unionByName(links_between(members, how.similarity))
 
 
 def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,7 +412,7 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash(), id_col: str = "do
     """
     own = stage(fingerprints(docs, how, id_col, text_col), "fingerprints")
     key = "same" if how.similarity else "fp"
-    more = [F.any_value(c).alias(c) for c in ("fp", "size") if how.similarity]
+    more = [F.any_value("fp").alias("fp")] if how.similarity else []
     groups = stage(
         own.groupBy(key).agg(F.min("id").cast("long").alias("rep"), *more).filter("rep is not null"),
         "fingerprint-groups",

@@ -229,3 +229,91 @@ def test_how_often_a_shingle_occurs_does_not_count(spark):
     rows = [(i, f"{line} " * n + words, "", 0, "") for i, n in enumerate((2, 40))]
     out = simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.NEAR_COPIES).collect()
     assert {r["component_id"] for r in out} == {0} and len({r["fp"] for r in out}) == 1
+
+
+def test_a_large_group_of_near_but_dissimilar_texts(spark):
+    """5,000 texts of one fingerprint neighbourhood, few of which are similar: what passes is
+    found among what does not, and the links are at most as many as the texts."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    members, texts = [], []
+    for i in range(5000):
+        own = list(words)
+        for k in rng.sample(range(60), 14):
+            own[k] = f"x{rng.randrange(10**9)}"
+        if i % 10 == 9:  # one word away from an earlier text
+            own = list(rng.choice(texts[:i]))
+            own[rng.choice([0, 59])] = f"y{rng.randrange(10**9)}"
+        texts.append(own)
+    from codeloom.llm.setlinks import links_between
+
+    sets = [simhash.shingle_set(" ".join(t).encode(), 5) for t in texts]
+    for i, own in enumerate(sets):
+        members.append((0, i, i, simhash._set_name(own), own.view(np.int64).tolist()))
+    frame = spark.createDataFrame(members, "label long, comp long, rep long, same binary, shingles array<long>")
+    found = [(r["a"], r["b"]) for r in links_between(frame.repartition(8), 0.8).collect()]
+    index = {}
+    for i, own in enumerate(sets):
+        for token in own.tolist():
+            index.setdefault(token, []).append(i)
+    similar = {}
+    for i, own in enumerate(sets):
+        counts = {}
+        for token in own.tolist():
+            for j in index[token]:
+                if j < i:
+                    counts[j] = counts.get(j, 0) + 1
+        similar[i] = [j for j, n in counts.items() if n >= 0.8 * (len(own) + len(sets[j]) - n)]
+
+    def united(pairs):
+        label = list(range(len(sets)))
+
+        def find(i):
+            while label[i] != i:
+                label[i] = label[label[i]]
+                i = label[i]
+            return i
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+        return [find(i) for i in range(len(sets))]
+
+    assert united(found) == united((i, j) for i in similar for j in similar[i])
+    assert all(jaccard(" ".join(texts[a]), " ".join(texts[b])) >= 0.8 for a, b in found)
+    assert 400 < len(found) < 5 * len(sets)
+
+
+def test_links_between_cells_cut_into_chunks_and_tasks(spark, monkeypatch):
+    from codeloom.llm import setlinks
+
+    monkeypatch.setattr(setlinks, "TASK_BYTES", 4000)
+    monkeypatch.setattr(setlinks, "CELL_BYTES", 1000)
+    monkeypatch.setattr(setlinks, "BLOCK_TOKENS", 10)
+    rng = random.Random(2)
+    rows = []
+    for label in range(4):
+        base = rng.sample(range(10**6), 40)
+        for i in range(60):
+            own = sorted({t if rng.random() > 0.09 else rng.randrange(10**6) for t in base} | {label})
+            rep = 100 * label + i
+            rows.append((label, rep - rep % 2 if i < 20 else rep, rep, str(rep).encode(), own))
+    rows.append((0, 5000, 5000, b"none", []))
+    frame = spark.createDataFrame(rows, "label long, comp long, rep long, same binary, shingles array<long>")
+    found = {(r["a"], r["b"]) for r in setlinks.links_between(frame, 0.8).collect()}
+    sets = {rep: set(own) for _, _, rep, _, own in rows}
+    links = {(a, b) for a in sets for b in sets if b < a and a // 100 == b // 100 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(max(p), min(p)) for p in found} <= links
+    label = {r: c for _, c, r, *_ in rows}
+
+    def united(pairs):
+        own = dict(label)
+        while True:
+            before = dict(own)
+            for a, b in pairs:
+                x, y = own[a], own[b]
+                own = {r: min(x, y) if c in (x, y) else c for r, c in own.items()}
+            if own == before:
+                return own
+
+    assert united(found) == united(links) and len(set(united(links).values())) > 4

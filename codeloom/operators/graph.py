@@ -133,37 +133,34 @@ def package_index(nodes: DataFrame, include_root_dir: bool = False) -> DataFrame
     )
 
 
-def _slashes(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("/"), F.lit("")))
+# Characters of the grams under which directories are filed.
+GRAM = 4
 
 
-def _fitting(wanted: DataFrame, index: DataFrame, rule: int, **probe: int) -> DataFrame:
-    """``project, import, best``: the keys of one rule that fit each import.
+def _grams(text: Column, size: int) -> Column:
+    """The parts of ``size`` characters of a text, each once; the pass is linear."""
+    if size == 0:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
-    Only parts of the shapes (length, number of slashes) that the import's own project
-    has are looked up. Under rule 0 a part is the end of the import, under rule 1 it may
-    stand anywhere.
+
+def gram_index(index: DataFrame) -> DataFrame:
+    """``project, gram, key, rule, best``: each key under the rarest of its own grams in
+    its project, of equally rare ones the smallest.
+
+    A key of fewer than GRAM characters is its own gram. Whatever text holds a key holds
+    its grams, so a text that is unfolded to its grams meets each key it holds once.
     """
-    own = index.filter(F.col("rule") == rule)
-    shape = F.struct(F.length("key").alias("size"), _slashes(F.col("key")).alias("slashes"))
-    # a project has fewer shapes than its longest path squared, whatever its size
-    shapes = own.groupBy("project").agg(F.collect_set(shape).alias("shapes"))
-    text, size = F.col("import"), F.col("size")
-    last = F.length(text) - size + 1
-    starts = F.array(last) if rule == 0 else F.sequence(F.lit(1), last)
-    parts = (
-        skew.lookup(wanted, shapes, ["project"], ["import"], how="inner", **probe)
-        .select("project", "import", F.inline("shapes"))
-        .filter((size <= F.length(text)) & (F.col("slashes") <= _slashes(text)))
-        .withColumn("key", F.explode(F.transform(starts, lambda start: F.substr(text, start, size))))
-        .filter(_slashes(F.col("key")) == F.col("slashes"))
-        .select("project", "import", "key")
-        .distinct()
-    )
-    found = skew.lookup(
-        parts, own.drop("rule"), ["project", "key"], ["project", "import"], how="inner", **probe
+    key = F.col("key")
+    own = F.when(F.length(key) < GRAM, F.array(key)).otherwise(_grams(key, GRAM))
+    unfolded = index.select("project", "key", "rule", "best", F.explode(own).alias("gram"))
+    counts = unfolded.groupBy("project", "gram").agg(F.count("*").alias("n"))
+    rarest = (
+        unfolded.join(counts, ["project", "gram"])
+        .groupBy("project", "key", "rule")
+        .agg(F.min(F.struct("n", "gram")).alias("pick"), F.min("best").alias("best"))
     )
-    return found.groupBy("project", "import").agg(F.min("best").alias("best"))
+    return rarest.select("project", F.col("pick.gram").alias("gram"), "key", "rule", "best")
 
 
 def resolve_package(
@@ -173,17 +170,26 @@ def resolve_package(
 
     A directory fits when its last name ends the import or its whole path occurs
     in it. Comparing imports with directories would pair everything within a
-    project; instead the parts of an import that have the shape of some key are
-    looked up by equality. Where several fit: by last name first, then the
-    longest directory, then the smallest path. So only imports that no last name
-    ends are unfolded at every place.
+    project; instead directories are filed under their rarest gram, an import is
+    unfolded to its grams, at most one a character (and one more for each length below
+    GRAM that some directory has), and what meets is verified. Where several fit: by
+    last name first, then the longest directory, then the smallest path.
     """
-    index = stage(package_index(nodes, include_root_dir), "package-index")
-    wanted = imports.select("project", "import").distinct()
-    by_end = stage(_fitting(wanted, index, 0, **probe), "imports-by-end")
-    rest = wanted.join(by_end.select("project", "import"), ["project", "import"], "left_anti")
-    found = by_end.unionByName(_fitting(rest, index, 1, **probe))
-    return found.select("project", "import", F.col("best.path").alias("to_path"))
+    index = stage(gram_index(package_index(nodes, include_root_dir)), "gram-index")
+    sizes = sorted(r[0] for r in index.select(F.length("gram").alias("size")).distinct().collect())
+    text, key = F.col("import"), F.col("key")
+    unfolded = (
+        stage(imports.select("project", "import").distinct(), "distinct-imports")
+        .select("project", "import", F.explode(F.concat(F.array(), *[_grams(text, n) for n in sizes or [GRAM]])).alias("gram"))
+    )
+    met = skew.lookup(unfolded, index, ["project", "gram"], ["project", "import"], how="inner", **probe)
+    fits = F.when(F.col("rule") == 0, text.endswith(key)).otherwise(text.contains(key))
+    return (
+        met.filter(fits)
+        .groupBy("project", "import")
+        .agg(F.min(F.struct("rule", "best")).alias("pick"))
+        .select("project", "import", F.col("pick.best.path").alias("to_path"))
+    )
 
 
 def import_edges(nodes: DataFrame, include_root_dir: bool = False, **probe: int) -> DataFrame:

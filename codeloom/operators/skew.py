@@ -7,11 +7,26 @@ from pyspark.sql import functions as F
 
 from codeloom.session import stage
 
-# One row in PROBE_EVERY is looked at to find hot keys; a key that holds more of those
-# than a shuffle partition does on average is split over SALTS tasks. So there are at
-# most as many hot keys as shuffle partitions, whatever the size of the data.
+# One row in PROBE_EVERY is looked at to find hot keys. A key that holds more of those
+# than a shuffle partition does on average is split over its share of the partitions. So
+# there are at most as many hot keys as shuffle partitions, and at most twice as many
+# parts of them, whatever the size of the data.
 PROBE_EVERY = 100
-SALTS = 64
+
+
+def hot_keys(keyed: DataFrame, partitions: int, probe_every: int = PROBE_EVERY) -> DataFrame:
+    """``_key, _parts`` of the keys that hold more rows than a partition does on average:
+    a key with a third of the rows gets a third of the partitions.
+
+    ``keyed(_key, _row)``: a hash of the key and one of the row, which decides whether
+    a row is looked at. The counts are written, as several plans read them.
+    """
+    counts = stage(
+        keyed.filter(F.pmod("_row", F.lit(probe_every)) == 0).groupBy("_key").count(), "probe"
+    )
+    average = (counts.agg(F.sum("count")).first()[0] or 0) / partitions
+    parts = F.ceil(F.col("count") / F.lit(max(average, 1e-9))).cast("int")
+    return counts.filter(F.col("count") > average).select("_key", parts.alias("_parts"))
 
 
 def lookup(
@@ -21,49 +36,37 @@ def lookup(
     row_id: list[str],
     how: str = "left",
     probe_every: int = PROBE_EVERY,
-    salts: int = SALTS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one or few rows per key.
 
     Hot keys of ``left`` are found from a hash-chosen share of its rows. That
     choice only decides the salting: every row is joined. The hot list has at
-    most as many eight-byte hashes as there are shuffle partitions, so it can
+    most as many rows of twelve bytes as there are shuffle partitions, so it can
     always be broadcast; the rows of ``right`` are repeated for those keys only.
 
-    ``row_id`` spreads the left rows of one key. Columns that exist before a row
-    is unfolded serve best: the probe's filter then moves below the unfolding.
-    All inputs must be deterministic, since both sides compute the list.
+    The probe is a job of its own, which runs while the query is built, and reads
+    ``left``: stage an input that is dear to compute. ``row_id`` spreads the left rows
+    of one key. Columns that exist before a row is unfolded serve best: the probe's
+    filter then moves below the unfolding. All inputs must be deterministic.
+    ``partitions`` is taken from the session's shuffles unless given.
     """
     hashed = left.withColumn("_key", F.xxhash64(*keys)).withColumn(
         "_row", F.xxhash64(F.lit("row"), *row_id)
     )
-    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # staged, as both sides read the list
-    counts = stage(
-        hashed.filter(F.pmod("_row", F.lit(probe_every)) == 0).groupBy("_key").count(), "probe"
-    )
-    average = (counts.agg(F.sum("count")).first()[0] or 0) / partitions
-    hot = counts.filter(F.col("count") > average).select("_key", F.lit(True).alias("_hot"))
+    if partitions is None:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(hashed.select("_key", "_row"), partitions, probe_every))
+    parts, none = F.coalesce("_parts", F.lit(1)), F.lit(0)
     salted = (
-        hashed.join(F.broadcast(hot), "_key", "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.shiftright("_row", 7), F.lit(salts))).otherwise(
-                F.lit(0).cast("long")
-            ),
-        )
-        .drop("_key", "_row", "_hot")
+        hashed.join(hot, "_key", "left")
+        .withColumn("_salt", F.pmod(F.shiftright("_row", 7), parts).cast("int"))
+        .drop("_key", "_row", "_parts")
     )
     repeated = (
         right.withColumn("_key", F.xxhash64(*keys))
-        .join(F.broadcast(hot), "_key", "left")
-        .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-                .otherwise(F.array(F.lit(0).cast("long")))
-            ),
-        )
-        .drop("_key", "_hot")
+        .join(hot, "_key", "left")
+        .withColumn("_salt", F.explode(F.sequence(none, parts - 1)))
+        .drop("_key", "_parts")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -220,7 +220,11 @@ def _columns(path: str, content: str, string: str) -> list[str]:
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    # few narrow files of keys become many files of text: the keys are spread before the
+    # texts are made, by number, since so few bytes would be put together again
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    orders = orders.repartition(parts, "o_orderkey")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "CAST(NULL AS STRING) AS body").unionAll(
         documents.selectExpr("doc_id AS k", "doc_id AS c", "coalesce(text, '') AS body")

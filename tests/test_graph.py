@@ -89,7 +89,7 @@ def brute_force_package(files, imports):
     return found
 
 
-@pytest.mark.parametrize("probe", [{}, {"probe_every": 1, "salts": 5}])
+@pytest.mark.parametrize("probe", [{}, {"probe_every": 1, "partitions": 5}])
 def test_package_rule_against_brute_force(spark, probe):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
@@ -107,17 +107,59 @@ def test_salting_changes_no_edge(nodes_of):
     texts += [("p", "a/hub.ts", ""), ("q", "a/hub.ts", "import h from './hub';")]
     nodes = nodes_of(texts)
     plain = edges_of(nodes)
-    assert plain == edges_of(nodes, probe_every=1, salts=4)
+    assert plain == edges_of(nodes, probe_every=1, partitions=4)
     assert len(plain) == 81
 
 
 def test_lookup_splits_hot_keys(spark):
     left = spark.range(1000).selectExpr("if(id < 900, 0, id) AS k", "id AS row")
     right = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
-    joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1, salts=8)
+    joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1, partitions=8)
     assert joined.count() == 1000 and joined.filter("v <> k * 2 OR v IS NULL").count() == 0
 
 
+def test_a_hot_key_gets_its_share_of_the_partitions(spark):
+    rows = spark.range(90_000).selectExpr("if(id % 3 = 0, -1, id) AS _key", "xxhash64(id) AS _row")
+    hot = {r["_key"]: r["_parts"] for r in skew.hot_keys(rows, 30, probe_every=1).collect()}
+    assert hot == {-1: 10}
+    left = spark.range(90_000).selectExpr("if(id % 3 = 0, -1, id) AS k", "id AS row")
+    right = spark.range(-1, 1000).selectExpr("id AS k", "id AS v")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive, partitions = "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(adaptive, "false")
+    spark.conf.set(partitions, "30")
+    try:
+        joined = skew.lookup(left, right, ["k"], ["row"], probe_every=1)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set(adaptive, "true")
+        spark.conf.set(partitions, before)
+    assert sum(sizes) == 90_000
+    assert max(sizes) < 4 * 90_000 / 30  # the key alone has ten times the average
+
+
+def test_directories_are_filed_under_their_rarest_gram(spark):
+    keys = ["src/app", "src/lib", "src", "a", "srcsrc"]
+    rows = [("p", k, rule, (-len(k), k)) for k in keys for rule in (0, 1)] + [("q", "src/app", 1, (0, "x"))]
+    index = spark.createDataFrame(rows, "project string, key string, rule int, best struct<order:int,path:string>")
+    got = {(r["project"], r["key"], r["rule"]): r["gram"] for r in graph.gram_index(index).collect()}
+    assert len(got) == len(rows)
+    assert all(got["p", k, 0] == got["p", k, 1] and got["p", k, 0] in k for k in keys)
+    assert got["p", "src", 0] == "src" and got["p", "a", 1] == "a"
+    assert got["p", "src/app", 0] not in "src/lib" and got["q", "src/app", 1] == "/app"
+
+
+def test_imports_unfold_to_at_most_a_gram_a_character(spark):
+    texts = ["", "abc", "abcd", "aaaaaaaa", "x/y/z" * 2000, "é" * 7 + "\n\U0001f600ab"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["g"] for r in frame.select("t", graph._grams(F.col("t"), graph.GRAM).alias("g")).collect()}
+    for t in texts:
+        assert set(got[t]) == {t[i : i + 4] for i in range(len(t) - 3)} and len(got[t]) <= len(t)
+
+
 def test_joins_stay_equi_joins(spark, nodes_of):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     nodes = nodes_of(SAMPLE)

@@ -1,11 +1,12 @@
 import fnmatch
 
+import pyarrow as pa
 import pytest
 
 from codeloom.config import AnalysisConfig
 from codeloom.functions import paths
 from codeloom.operators import scan
-from codeloom.sources.tree import scan_table, scan_tree
+from codeloom.sources.tree import list_tree, scan_table, scan_tree, walk_tree
 
 
 def kept(files, names, config=AnalysisConfig()):
@@ -78,3 +79,74 @@ def test_tree(spark, tmp_path):
     assert sorted(r.path for r in single.collect()) == ["main.go", "sub dir/a+b%20.js"]
     scan_tree(spark, str(tmp_path)).write.parquet(str(tmp_path / "table"))
     assert scan_table(spark, str(tmp_path / "table")).count() == 4
+
+
+def grow(root, files):
+    for name, data in files.items():
+        file = root / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(data)
+
+
+def test_walk_equals_filtered_scan(spark, tmp_path):
+    grow(tmp_path, {
+        "one/main.go": b"package main\n", "one/node_modules/dep.js": b"x", "one/sub dir/a+b%20.js": b"y",
+        "one/x/build/y.py": b"", "one/x/deep/er/z.dart": b"enum A {}", "one/x/app.min.js": b"", "one/README.md": b"",
+        "two/bad.py": b"x = '\xff'\n", "two/vendor": b"a file", "build/in.ts": b"type A = 1;", "stray.go": b"",
+        "two/\u00e9/\u4e94.py": b"import os\n",
+    })
+    (tmp_path / "two" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "two" / "linked.py").symlink_to(tmp_path / "two" / "bad.py")
+    (tmp_path / "two" / "gone.py").symlink_to(tmp_path / "nowhere")
+    walked = {(r.project, r.path): r.content for r in walk_tree(spark, str(tmp_path)).collect()}
+    assert set(walked) == {
+        ("one", "main.go"), ("one", "sub dir/a+b%20.js"), ("one", "x/deep/er/z.dart"), ("two", "bad.py"),
+        ("two", "linked.py"), ("two", "\u00e9/\u4e94.py"), ("build", "in.ts"),
+    }
+    (tmp_path / "two" / "loop").unlink()
+    (tmp_path / "two" / "linked.py").unlink()
+    (tmp_path / "two" / "gone.py").unlink()
+    scanned = scan.source_files(scan_tree(spark, str(tmp_path))).collect()
+    assert {(r.project, r.path): r.content for r in scanned} == {k: v for k, v in walked.items() if k[1] != "linked.py"}
+    # a project whose own directory has an ignored name is still read
+    single = walk_tree(spark, f"file://{tmp_path}/build", project="p").collect()
+    assert [tuple(r) for r in single] == [("p", "in.ts", "type A = 1;")]
+
+
+def test_walk_lists_nothing_below_ignored_directories(spark, tmp_path):
+    grow(tmp_path, {"src/a.py": b"", "src/lib/b.py": b""})
+    for d in range(100):
+        folder = tmp_path / "src" / "node_modules" / f"dep{d}"
+        folder.mkdir(parents=True)
+        for i in range(100):
+            (folder / f"f{i}.js").touch()
+    listed = {r.path: (r.is_dir, r.kept) for r in list_tree(spark, str(tmp_path), project="p").collect()}
+    assert listed == {
+        "src": (True, True), "src/a.py": (False, True), "src/lib": (True, True), "src/lib/b.py": (False, True),
+        "src/node_modules": (True, False),
+    }
+    everything = AnalysisConfig(ignore=())
+    assert list_tree(spark, str(tmp_path), everything, "p").filter("not is_dir").count() == 10_002
+
+
+def test_walk_of_empty_trees(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert walk_tree(spark, str(tmp_path)).count() == 0
+    assert walk_tree(spark, str(tmp_path / "empty"), project="p").count() == 0
+    assert walk_tree(spark, str(tmp_path / "missing"), project="p").count() == 0
+
+
+def test_walk_through_a_file_system_with_a_scheme(spark, tmp_path, monkeypatch):
+    """The branch for other stores, by a local file system that is given for a scheme."""
+    from pyarrow import fs
+
+    from codeloom.sources import tree
+
+    grow(tmp_path, {"a.py": b"x", "d/b.go": b"package b"})
+    monkeypatch.setattr(tree, "_store", lambda location: (fs.LocalFileSystem(), location.removeprefix("store://host")))
+    root = f"store://host{tmp_path}"
+    found = {name: (at, is_dir) for name, at, is_dir, _ in tree._entries(root)}
+    assert found == {"a.py": (f"{root}/a.py", False), "d": (f"{root}/d", True)}
+    rows = pa.RecordBatch.from_pylist([{"project": "p", "path": n, "location": f"{root}/{n}".encode()} for n in ("a.py", "none.py", "d/b.go")])
+    got = [r for b in tree._contents(iter([rows])) for r in b.to_pylist()]
+    assert [(r["path"], r["content"]) for r in got] == [("a.py", b"x"), ("d/b.go", b"package b")]

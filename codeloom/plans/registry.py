@@ -59,6 +59,15 @@ def _incremental_refresh(w: Workspace) -> DataFrame:
     return _counts(refreshed)
 
 
+def _refresh_by_content(w: Workspace) -> DataFrame:
+    """The next revision from a bucketed snapshot: the first one's nodes and the new files."""
+    buckets = int(w.spark.conf.get("spark.sql.shuffle.partitions"))
+    store = SnapshotStore(w.spark, new_stage_path(w.spark, "by-content"), buckets)
+    store.save(nodes=incremental.nodes_with_digest(w.files), files=w.next_corpus)
+    refreshed = incremental.refresh_by_content(store.load("nodes"), store.load("files"))
+    return _counts(refreshed.nodes)
+
+
 def _snapshot_io(w: Workspace) -> DataFrame:
     """Two saved versions, of which the second is read back."""
     store = SnapshotStore(w.spark, new_stage_path(w.spark, "snapshots"))
@@ -240,6 +249,7 @@ QUERIES: dict[str, Query] = {
     ),
     "merge_nodes": _on(_merge_nodes),
     "incremental_refresh": _on(_incremental_refresh),
+    "refresh_by_content": _on(_refresh_by_content),
     "snapshot_io": _on(_snapshot_io),
     "watch_sources": _on(_watch_sources),
     # reports

@@ -685,7 +685,7 @@ def all_checks() -> dict[str, str]:
     )
     fresh = _check(f"SELECT {_COUNTS} FROM node_counts", following=True)
     before = _check(f"SELECT {_COUNTS} FROM node_counts")
-    checks["incremental_refresh"] = fresh
+    checks["incremental_refresh"] = checks["refresh_by_content"] = fresh
     checks["merge_nodes"] = (
         f"WITH fresh AS MATERIALIZED ({fresh}), before AS MATERIALIZED ({before}) "
         "SELECT * FROM fresh UNION ALL SELECT * FROM before ANTI JOIN fresh USING (project, path)"

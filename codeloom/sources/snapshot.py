@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 
+KEYS = ("project", "path")
+
+
+class Conflict(RuntimeError):
+    """Another save has come between reading a version and saving the next one."""
+
 
 class SnapshotStore:
-    """Each save writes folders of its own and then appends a commit record.
+    """Each save writes folders of its own and then a commit record.
 
     Readers follow the commit records, so a save that dies half-way is never
-    read, and no path is overwritten while it is being read. Of two savers that
-    commit the same version, one is read, as a whole.
+    read, and no path is overwritten while it is being read. A record is created under
+    the name of its version only if there is none: of two savers that started from one
+    version, the second takes the next number, or is told so if it named the version it
+    started from. Local and HDFS paths create files so; on a store that cannot, savers
+    must take turns.
+
+    With ``buckets``, tables of files are bucketed and sorted by project and path, so
+    that joins of such tables on these keys need no exchange. Take at least as many as
+    ``spark.sql.shuffle.partitions``; with fewer Spark may deal the rows out again. They
+    are read as external tables, which each session enters into its catalog.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
 
     def _commit(self, version: int | None = None) -> Row | None:
         """The newest commit record, or that of a version."""
         try:
-            commits = self.spark.read.schema("version long, folder string").json(f"{self.root}/commits")
+            commits = self.spark.read.schema("version long, folder string, buckets int").json(f"{self.root}/commits")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+        commits = commits.filter("folder is not null")
         if version is not None:
             commits = commits.filter(commits["version"] == version)
         return commits.orderBy("version", "folder", ascending=False).first()
@@ -36,17 +55,78 @@ class SnapshotStore:
         commit = self._commit()
         return None if commit is None else commit["version"]
 
-    def save(self, **tables: DataFrame) -> int:
-        """Write the tables, by name, as the next version."""
-        version, folder = (self.latest() or 0) + 1, uuid.uuid4().hex
+    def _create(self, name: str, text: str) -> bool:
+        """Writes a file unless there is one of that name; whether it did."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{self.root}/commits/{name}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system.mkdirs(path.getParent())
+        local = system.makeQualified(path).toUri()
+        if local.getScheme() == "file":
+            # linking a complete file is exclusive and never shows half of it
+            target = local.getPath()
+            part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8") as file:
+                file.write(text)
+            try:
+                os.link(part, target)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(part)
+            return True
+        try:
+            out = system.create(path, False)
+        except Py4JJavaError as error:
+            if system.exists(path):
+                return False
+            raise error
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        return True
+
+    def _bucketed(self, df: DataFrame) -> bool:
+        return bool(self.buckets) and set(KEYS) <= set(df.columns)
+
+    def save(self, expected: int | None = None, **tables: DataFrame) -> int:
+        """Write the tables, by name, as the next version, whose number is returned.
+
+        With ``expected`` the save is refused by ``Conflict`` unless the newest version
+        is that one (0: none) when it is committed.
+        """
+        folder = uuid.uuid4().hex
         for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{name}/{folder}")
-        commit = self.spark.createDataFrame([(version, folder)], "version long, folder string")
-        commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
-        return version
+            path = f"{self.root}/{name}/{folder}"
+            if self._bucketed(df):
+                # dealt out as the buckets are, so that a bucket is one file
+                table = f"snapshot_{name}_{folder}"
+                dealt = df.repartition(self.buckets, *KEYS)
+                dealt.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", path).saveAsTable(table)
+            else:
+                df.write.parquet(path)
+        version = (self.latest() or 0) + 1
+        while True:
+            if expected is not None and version != expected + 1:
+                raise Conflict(f"version {version - 1} has been saved after version {expected}")
+            record = {"version": version, "folder": folder, "buckets": self.buckets}
+            if self._create(f"v-{version:012d}.json", json.dumps(record)):
+                return version
+            version += 1
 
     def load(self, name: str, version: int | None = None) -> DataFrame:
         commit = self._commit(version)
         if commit is None:
             raise ValueError(f"no such snapshot has been saved in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{commit['folder']}")
+        path = f"{self.root}/{name}/{commit['folder']}"
+        plain = self.spark.read.parquet(path)
+        if not commit["buckets"] or not set(KEYS) <= set(plain.columns):
+            return plain
+        table = f"snapshot_{name}_{commit['folder']}"
+        if not self.spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+            keys = ", ".join(KEYS)
+            self.spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+                f"INTO {commit['buckets']} BUCKETS LOCATION '{path}'"
+            )
+        return self.spark.table(table)

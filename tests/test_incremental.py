@@ -1,7 +1,9 @@
+import os
+
 import pytest
 
-from codeloom.operators import incremental
-from codeloom.sources.snapshot import SnapshotStore
+from codeloom.operators import incremental, scan
+from codeloom.sources.snapshot import Conflict, SnapshotStore
 from codeloom.streaming.watch import VERSION_SCHEMA, WatchStore, watch_sources
 
 BEFORE = {"a.py": "def a(): pass\n", "b.py": "def b(): pass\n", "c.py": "def c(): pass\n"}
@@ -133,14 +135,113 @@ def test_null_contents_are_there(files):
     }
 
 
-def test_savers_of_one_version_do_not_mix(spark, tmp_path, monkeypatch):
+def test_two_savers_from_one_version_both_survive(spark, tmp_path, monkeypatch):
     store = SnapshotStore(spark, str(tmp_path / "snap"))
     one, two = spark.range(3), spark.range(10, 12)
     monkeypatch.setattr(store, "latest", lambda: None)  # both see no version yet
-    assert store.save(a=one, b=one) == store.save(a=two, b=two) == 1
+    assert store.save(a=one, b=one) == 1 and store.save(a=two, b=two) == 2
+    with pytest.raises(Conflict):
+        store.save(expected=0, a=two)
     monkeypatch.undo()
-    assert store.latest() == 1
-    assert sorted(store.load("a").collect()) == sorted(store.load("b").collect())
+    assert store.latest() == 2
+    assert sorted(store.load("a", 1).collect()) == sorted(store.load("b", 1).collect()) == sorted(one.collect())
+    assert sorted(store.load("a").collect()) == sorted(store.load("b").collect()) == sorted(two.collect())
+    with pytest.raises(Conflict):
+        store.save(expected=1, a=one)
+    assert store.save(expected=2, a=one) == 3
+    assert not [f for f in os.listdir(tmp_path / "snap" / "commits") if f.startswith(".") and not f.endswith(".crc")]
+
+
+def test_records_are_created_once(spark, tmp_path):
+    """The other branch: files that the file system itself creates exclusively."""
+    store = SnapshotStore(spark, f"viewfs://snapshots{tmp_path}/snap")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set(f"fs.viewfs.mounttable.snapshots.link.{tmp_path}", f"file://{tmp_path}")
+    assert store._create("v-1.json", '{"version": 1, "folder": "x"}')
+    assert not store._create("v-1.json", '{"version": 1, "folder": "y"}')
+    assert store._commit()["folder"] == "x"
+
+
+MOVES_BEFORE = {
+    "a.py": "def a(): pass\n", "b.py": "def b(): pass\n", "c.js": "function c() {}\n", "d.go": "package d\nfunc D() {}\n",
+}
+MOVES_AFTER = {
+    "a.py": "def a(): pass\n",  # unchanged
+    "sub/b.py": "def b(): pass\n",  # moved
+    "c.js": "function c() {}\n", "c2.js": "function c() {}\n",  # copied
+    "c3.ts": "function c() {}\n",  # the same text in another language
+    "d.go": "package d\nfunc E() {}\n",  # modified
+    "x.py": "def x(): pass\n", "y.py": "def x(): pass\n", "z.py": "",  # new, two alike
+}
+
+
+@pytest.mark.parametrize("buckets", [None, 8])
+def test_refresh_by_content(spark, files, nodes_of, tmp_path, buckets):
+    store = SnapshotStore(spark, str(tmp_path / "snap"), buckets)
+    store.save(nodes=incremental.nodes_with_digest(scan.source_files(files(MOVES_BEFORE))), files=files(MOVES_AFTER))
+    found = incremental.refresh_by_content(store.load("nodes"), store.load("files"))
+    paths = lambda df: sorted(r.path for r in df.collect())
+    assert paths(found.unchanged) == ["a.py", "c.js"]
+    assert paths(found.copied) == ["c2.js", "sub/b.py", "y.py"]
+    assert paths(found.extracted) == ["c3.ts", "d.go", "x.py", "z.py"]
+    full = nodes_of(MOVES_AFTER)
+    got = found.nodes.select(*full.columns)
+    assert got.schema == full.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, full.collect()))
+    # a second refresh, from the result of the first
+    store.save(nodes=found.nodes, files=files(MOVES_BEFORE | {"n.py": None}))
+    back = incremental.refresh_by_content(store.load("nodes"), store.load("files"))
+    full = nodes_of(MOVES_BEFORE | {"n.py": None})
+    assert sorted(map(str, back.nodes.select(*full.columns).collect())) == sorted(map(str, full.collect()))
+    # d.go is modified again and n.py is new; b.py is where sub/b.py was taken from
+    assert paths(back.extracted) == ["d.go", "n.py"] and paths(back.copied) == ["b.py"]
+
+
+def exchanged(df):
+    """The columns of every shuffle in the plan of a query."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = []
+    for i, line in enumerate(plan):
+        if "Exchange hashpartitioning" in line:
+            below.append("\n".join(plan[i + 1 : i + 6]))
+    return below
+
+
+def test_bucketed_tables_join_without_an_exchange_of_wide_rows(spark, files, tmp_path, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    store = SnapshotStore(spark, str(tmp_path / "snap"), 8)
+    cached = incremental.nodes_with_digest(scan.source_files(files(MOVES_BEFORE)))
+    store.save(nodes=cached, files=files(MOVES_AFTER))
+    plans = []
+    written = incremental.stage
+
+    def stage(df, name):
+        plans.append((name, exchanged(df)))
+        return written(df, name)
+
+    monkeypatch.setattr(incremental, "stage", stage)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        incremental.refresh_by_content(store.load("nodes"), store.load("files"))
+        merged = incremental.merge_nodes(store.load("nodes"), store.load("nodes"))
+        assert exchanged(merged) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = dict(plans)
+    assert found["compared"] == []
+    for name in ("known-contents", "new-contents"):
+        assert found[name] and not [x for x in found[name] if "content#" in x or "functions#" in x]
+
+
+def test_other_sessions_read_bucketed_snapshots(spark, files, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "snap"), 4)
+    store.save(files=files(MOVES_AFTER), other=spark.range(3))
+    for row in spark.sql("SHOW TABLES").collect():
+        if row.tableName.startswith("snapshot_files_"):
+            spark.sql(f"DROP TABLE {row.tableName}")
+    again = SnapshotStore(spark, str(tmp_path / "snap"))
+    assert again.load("files").count() == len(MOVES_AFTER) and again.load("other").count() == 3
+    assert "SelectedBucketsCount" in again.load("files").groupBy("project", "path").count()._jdf.queryExecution().toString()
 
 
 def test_equal_versions_leave_one_row(watched):

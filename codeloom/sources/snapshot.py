@@ -130,3 +130,24 @@ class SnapshotStore:
                 f"INTO {commit['buckets']} BUCKETS LOCATION '{path}'"
             )
         return self.spark.table(table)
+
+    def prune(self, keep: int) -> None:
+        """Deletes all but the newest ``keep`` versions, records first. A session that has
+        entered their tables into its catalog should drop them there."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.root)
+        system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        commits = hadoop.Path(f"{self.root}/commits")
+        if not system.exists(commits):
+            return
+        records = sorted(s.getPath().getName() for s in system.listStatus(commits) if s.getPath().getName().startswith("v-"))
+        gone = records[: max(0, len(records) - keep)]
+        folders = set()
+        for name in gone:
+            row = self.spark.read.schema("version long, folder string").json(f"{self.root}/commits/{name}").first()
+            folders |= {row["folder"]} if row else set()
+            system.delete(hadoop.Path(f"{self.root}/commits/{name}"), False)
+        for table in system.listStatus(root):
+            name = table.getPath().getName()
+            for folder in folders if name != "commits" else ():
+                system.delete(hadoop.Path(f"{self.root}/{name}/{folder}"), True)

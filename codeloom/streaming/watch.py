@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,72 +15,151 @@ from codeloom.sources.snapshot import SnapshotStore
 
 VERSION_SCHEMA = "project string, path string, seq long, content string"
 KEYS = ["project", "path"]
-# The log is folded into a state after so many batches.
+KEPT = ("seq", "deleted", "digest")
+# The log is folded into the state after so many batches.
 COMPACT_EVERY = 16
+# Parts of the state, by a hash of project and path; a fold rewrites those with arrivals.
+BUCKETS = 32
 
 
 class WatchStore:
-    """A log of extracted batches; the current state is the newest row per file.
+    """A log of extracted batches beside a state in buckets; the current state is the
+    newest row per file.
 
     A batch only ever writes its own folder, so replaying it changes nothing,
-    and a version that arrives late cannot displace a newer one.
+    and a version that arrives late cannot displace a newer one. A fold writes the
+    buckets that its batches touch anew, commits which folder holds which bucket, and then
+    deletes what the fold before it has superseded: what a reader of the last but one
+    state may still read stays until the next fold.
     """
 
-    def __init__(self, spark: SparkSession, root: str, config: AnalysisConfig = AnalysisConfig()):
+    def __init__(
+        self, spark: SparkSession, root: str, config: AnalysisConfig = AnalysisConfig(), buckets: int = BUCKETS
+    ):
         self.spark = spark
         self.root = root.rstrip("/")
         self.config = config
+        self.buckets = buckets
         self.base = SnapshotStore(spark, f"{self.root}/base")
 
+    def _extracted(self, versions: DataFrame) -> DataFrame:
+        accepted = (
+            scan.source_files(versions, self.config)
+            .withColumn("deleted", F.col("content").isNull())
+            .withColumn("digest", F.xxhash64("content"))
+        )
+        return extract.file_nodes(accepted, keep=KEPT).withColumn("row", F.monotonically_increasing_id())
+
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """Extract one micro-batch of file versions, without a shuffle.
 
         Null content marks a deletion, which is kept so that it outranks the
-        versions before it. Every COMPACT_EVERY batches the log is folded.
+        versions before it. Every COMPACT_EVERY batches the log is folded. A batch that
+        has been folded already is not written again.
         """
-        accepted = (
-            scan.source_files(batch, self.config)
-            .withColumn("deleted", F.col("content").isNull())
-            .withColumn("digest", F.xxhash64("content"))
-        )
-        rows = extract.file_nodes(accepted, keep=("seq", "deleted", "digest"))
-        rows.withColumn("row", F.monotonically_increasing_id()).write.mode("overwrite").parquet(
-            f"{self.root}/batches/batch={batch_id}"
-        )
-        if batch_id - self._covered() >= COMPACT_EVERY:
+        covered = self._covered()
+        if batch_id <= covered:
+            return
+        self._extracted(batch).write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
+        if batch_id - covered >= COMPACT_EVERY:
             self.compact()
 
-    def _covered(self) -> int:
-        """The last batch that the folded state holds; -1 without one."""
-        version = self.base.latest()
-        return -1 if version is None else self.base.load("covered", version).first()[0]
+    def _manifest(self, version: int | None) -> tuple[int, dict[int, str]]:
+        """The last batch that a state holds (-1 without one), and the folder of each bucket."""
+        if version is None:
+            return -1, {}
+        rows = self.base.load("manifest", version).collect()
+        return rows[0]["covered"], {r["bucket"]: r["folder"] for r in rows if r["bucket"] is not None}
 
-    def _newest(self) -> DataFrame:
+    def _covered(self) -> int:
+        return self._manifest(self.base.latest())[0]
+
+    def _folders(self, name: str) -> list[str]:
+        """Names in a folder below the root; their number is bounded by the folds."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _log(self, after: int) -> tuple[int, DataFrame | None]:
+        """The last batch there is, and the rows of those after the given one."""
+        batches = sorted(int(name.split("=")[1]) for name in self._folders("batches") if name.startswith("batch="))
+        batches = [b for b in batches if b > after]
+        if not batches:
+            return after, None
+        read = [
+            self.spark.read.parquet(f"{self.root}/batches/batch={b}").withColumn("batch", F.lit(b).cast("long"))
+            for b in batches
+        ]
+        return batches[-1], reduce(DataFrame.unionByName, read)
+
+    def _state(self, folders: dict[int, str]) -> DataFrame | None:
+        paths = [f"{self.root}/state/{folder}/bucket={bucket}" for bucket, folder in folders.items()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _bucket(self):
+        return F.pmod(F.hash(*KEYS), F.lit(self.buckets))
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
         """The newest version of every file, deletions included.
 
         The pick is by ``seq``, then batch, digest and place in the batch, so it is
         one row whatever ties there are. It aggregates five narrow columns, one row
         per file and task; the wide rows then meet the picks once.
         """
-        log = self.spark.read.parquet(f"{self.root}/batches").filter(F.col("batch") > self._covered())
-        log = log.withColumn("batch", F.col("batch").cast("long"))
-        version = self.base.latest()
-        if version is not None:
-            log = log.unionByName(self.base.load("state", version))
         order = F.max(F.struct("seq", "batch", "digest", "row")).alias("pick")
-        picks = log.groupBy(*KEYS).agg(order).select("pick.batch", "pick.row")
-        return log.join(picks, ["batch", "row"], "left_semi")
+        picks = rows.groupBy(*KEYS).agg(order).select("pick.batch", "pick.row")
+        return rows.join(picks, ["batch", "row"], "left_semi")
 
     def current(self) -> DataFrame:
-        return self._newest().filter(~F.col("deleted")).drop("deleted", "digest", "batch", "row")
+        covered, folders = self._manifest(self.base.latest())
+        parts = [p for p in (self._log(covered)[1], self._state(folders)) if p is not None]
+        if not parts:
+            nothing = self.spark.createDataFrame([], VERSION_SCHEMA)
+            parts = [self._extracted(nothing).withColumn("batch", F.lit(0).cast("long"))]
+        rows = self._newest(reduce(DataFrame.unionByName, parts))
+        return rows.filter(~F.col("deleted")).drop("deleted", "digest", "batch", "row")
 
     def compact(self) -> None:
-        """Fold the batches so far into one state, so that readers scan that and
-        the batches after it only."""
-        batches = self.spark.read.parquet(f"{self.root}/batches")
-        covered = batches.agg(F.max("batch").cast("long").alias("batch")).first()[0]
-        state = self._newest()
-        self.base.save(state=state, covered=self.spark.range(covered, covered + 1).toDF("batch"))
+        """Fold the batches so far into the state. Buckets without arrivals stay as they
+        are, so what is written follows the arrivals and not the state."""
+        version = self.base.latest()
+        before, folders = self._manifest(version)
+        covered, log = self._log(before)
+        if log is None:
+            return
+        touched = [r["bucket"] for r in log.select(self._bucket().alias("bucket")).distinct().collect()]
+        folder = uuid.uuid4().hex
+        rows, old = log, self._state({b: f for b, f in folders.items() if b in touched})
+        if old is not None:
+            rows = rows.unionByName(old)
+        newest = self._newest(rows).withColumn("bucket", self._bucket())
+        newest.write.partitionBy("bucket").parquet(f"{self.root}/state/{folder}")
+        following = folders | {b: folder for b in touched}
+        manifest = [(b, f, covered) for b, f in following.items()] or [(None, None, covered)]
+        table = self.spark.createDataFrame(manifest, "bucket int, folder string, covered long").coalesce(1)
+        self.base.save(expected=version or 0, manifest=table)
+        self._clear(version, folders, before)
+
+    def _clear(self, version: int | None, folders: dict[int, str], covered: int) -> None:
+        """Deletes what neither the newest state nor ``version``, the one before it, reads."""
+        _, newest = self._manifest(self.base.latest())
+        used = set(newest.values()) | set(folders.values())
+        for folder in set(self._folders("state")) - used:
+            self._delete(f"state/{folder}")
+        needed = {(f, b) for manifest in (newest, folders) for b, f in manifest.items()}
+        for folder in used:
+            for name in self._folders(f"state/{folder}"):
+                if name.startswith("bucket=") and (folder, int(name.split("=")[1])) not in needed:
+                    self._delete(f"state/{folder}/{name}")
+        for name in self._folders("batches"):
+            if name.startswith("batch=") and int(name.split("=")[1]) <= covered:
+                self._delete(f"batches/{name}")
+        self.base.prune(keep=2)
 
 
 def watch_sources(

@@ -266,3 +266,63 @@ def test_wide_rows_are_not_aggregated(watched):
     feed(("p", "a.py", 1, "def a(): pass"))
     plan = store.current()._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Aggregate" in x and "functions" in x]
+
+
+def folded_bytes(store, folder):
+    """Bytes of the buckets that one fold has written."""
+    base = os.path.join(store.root, "state", folder)
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base) for f in names if f.endswith(".parquet"))
+
+
+def test_folds_write_what_arrived_and_delete_what_they_cover(spark, watched):
+    store, feed = watched
+    many = [("p", f"d{i}/f{i}.py", 1, f"def f{i}(): pass\n" * 20) for i in range(400)]
+    feed(*many)
+    store.compact()
+    (first,) = os.listdir(os.path.join(store.root, "state"))
+    whole = folded_bytes(store, first)
+    state = {p: v for p, v in feed(("p", "d7/f7.py", 2, "def g(): pass")).items()}
+    assert len(state) == 400 and state["d7/f7.py"] == (2, ["g"])
+    store.compact()
+    (second,) = set(os.listdir(os.path.join(store.root, "state"))) - {first}
+    assert 0 < folded_bytes(store, second) < whole / 8
+    buckets = [n for n in os.listdir(os.path.join(store.root, "state", second)) if n.startswith("bucket=")]
+    assert len(buckets) == 1
+    # what the state before the newest reads is still there, and goes with the next fold
+    covered, folders = store._manifest(1)
+    assert store._state(folders).count() == 400
+    for seq in range(3, 9):
+        assert feed(("p", "d7/f7.py", seq, f"def g{seq}(): pass"), ("p", "d8/f8.py", -seq, "def late(): pass")).items() >= {
+            "d7/f7.py": (seq, [f"g{seq}"]), "d8/f8.py": (1, ["f8"] * 20),
+        }.items()
+        store.compact()
+        assert len(os.listdir(os.path.join(store.root, "batches"))) <= 4
+        assert len(os.listdir(os.path.join(store.root, "state"))) <= 5
+        assert len([f for f in os.listdir(os.path.join(store.root, "base", "commits")) if f.startswith("v-")]) == 2
+        assert len(os.listdir(os.path.join(store.root, "base", "manifest"))) == 2
+    assert len(store.current().collect()) == 400
+    # a batch that has been folded is not written again
+    store.upsert(spark.createDataFrame([("p", "d9/f9.py", 99, None)], VERSION_SCHEMA), 0)
+    assert store.current().count() == 400
+
+
+def test_a_store_without_batches_is_empty(spark, tmp_path):
+    store = WatchStore(spark, str(tmp_path / "none"))
+    assert store.current().count() == 0 and "functions" in store.current().columns
+    store.compact()
+    assert store.base.latest() is None
+
+
+def test_two_folds_at_once_do_not_mix(watched):
+    from codeloom.sources.snapshot import Conflict
+
+    store, feed = watched
+    feed(("p", "a.py", 1, "def a(): pass"))
+    store.compact()
+    latest = store.base.latest
+    feed(("p", "a.py", 2, "def b(): pass"))
+    store.base.latest = lambda: None  # a fold that has not seen the first one
+    with pytest.raises(Conflict):
+        store.compact()
+    store.base.latest = latest
+    assert [f.name for r in store.current().collect() for f in r.functions] == ["b"]

@@ -41,17 +41,18 @@ def exports(content: Column, functions: Column, types: Column) -> Column:
     )
 
 
-# Marks an opening bracket that an arrow behind a closing one follows in its line. Only
-# there may a route have parameters, so no other bracket is searched to the line's end.
+# Marks an opening bracket that an arrow and a word behind a closing one follow in its
+# line. Only there may a route have parameters, so a bracket that is searched for its
+# arrow always finds one, and what it has searched is then part of its route.
 _ARROW_AHEAD = "\ufdd5"
 _ROUTE = P.DART_ROUTE.replace(r"(?:\(", rf"(?:{_ARROW_AHEAD}\(")
-_UP_TO_ARROW = rf"(?d).*\){P.S}*+=>|[^\n]++|\n"
+_UP_TO_ARROW = rf"(?d).*\){P.S}*+=>{P.S}*+\w|[^\n]++|\n"
 
 
 def _marked(content: Column) -> Column:
     def mark(part: Column) -> Column:
         return F.when(
-            part.rlike(rf"\){P.S}*+=>\z"), F.replace(part, F.lit("("), F.lit(_ARROW_AHEAD + "("))
+            part.rlike(rf"\){P.S}*+=>{P.S}*+\w\z"), F.replace(part, F.lit("("), F.lit(_ARROW_AHEAD + "("))
         ).otherwise(part)
 
     parts = F.regexp_extract_all(content, F.lit(_UP_TO_ARROW), F.lit(0))

@@ -54,6 +54,33 @@ GRAPH = (
 FUNCTIONS = "\n\nKey functions and modules:\n"
 
 
+_UNPRINTED = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
+# Escapes of control characters that have a letter.
+_ESCAPES = {7: "a", 8: "b", 9: "t", 10: "n", 11: "v", 12: "f", 13: "r"}
+
+
+def quoted(text: Column) -> Column:
+    """The inside of a double-quoted literal: quote and backslash are escaped, and so are
+    characters that are not printed (all but letters, marks, numbers, punctuation,
+    symbols and the plain space)."""
+    plain = text
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"')):
+        plain = F.replace(plain, F.lit(raw), F.lit(escaped))
+
+    def escape(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code < 0x80, F.format_string("\\x%02x", code)).when(
+            code < 0x10000, F.format_string("\\u%04x", code)
+        ).otherwise(F.format_string("\\U%08x", code))
+        for number, letter in _ESCAPES.items():
+            out = F.when(code == number, f"\\{letter}").otherwise(out)
+        return F.when(c.rlike(_UNPRINTED), out).otherwise(c)
+
+    return F.when(
+        text.rlike(_UNPRINTED), F.array_join(F.transform(F.split(plain, ""), escape), "")
+    ).otherwise(plain)
+
+
 def build_prompts(nodes: DataFrame, edges: DataFrame, language: str = "en") -> DataFrame:
     """``project, section, file, seq, text``: the prompt of each project in pieces.
 
@@ -72,9 +99,7 @@ def build_prompts(nodes: DataFrame, edges: DataFrame, language: str = "en") -> D
             ", ",
         ).alias("langs")
     )
-    name = F.col("project")
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"')):
-        name = F.replace(name, F.lit(raw), F.lit(escaped))
+    name = quoted(F.col("project"))
     has_entry = F.col("first_prompt_entry").isNotNull()
     opening = F.concat(
         report.block(
@@ -189,15 +214,28 @@ _RESPONSE = {
 }
 
 
+# A member's name, a string of another kind, or what lies between.
+_NAME = r'"(?:[^"\\]|\\.)*+"\s*+:'
+_UPPER_NAME = r'"[^"\\]*[A-Z][^"\\]*"\s*+:'
+
+
+def _folded_names(raw: Column) -> Column:
+    """``raw`` with the names of members in lower case; texts stay as they are."""
+    parts = F.regexp_extract_all(raw, F.lit(rf'(?s){_NAME}|"(?:[^"\\]|\\.)*+"|[^"]++|"'), F.lit(0))
+    name = rf"(?s)\A{_NAME}\z"
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(name), F.lower(p)).otherwise(p)), "")
+
+
 def normalize_usage(responses: DataFrame) -> DataFrame:
     """Raw responses as ``text``, token counts and ``error``.
 
     ``responses`` has ``project, provider, model, response, error``. A call that
     failed, text that is not the provider's JSON (one object, nothing behind it, whole
     numbers of tokens) and an empty answer all give an ``error``, with no text and no
-    tokens.
+    tokens. Names of members are read in any case, and of repeated ones the last counts.
     """
     provider, raw = F.col("provider"), F.col("response")
+    folded = F.when(raw.rlike(_UPPER_NAME), _folded_names(raw)).otherwise(raw)
     shape = F.when(provider.isin("claude", "gemini", "ollama"), provider).when(
         provider.isin("openai", "mistral", "deepseek"), F.lit("openai")
     )
@@ -208,18 +246,18 @@ def normalize_usage(responses: DataFrame) -> DataFrame:
             F.when(
                 F.col("shape") == name,
                 F.from_json(
-                    raw, f"{schema}, _unread string",
+                    folded, f"{schema.lower()}, _unread string",
                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"},
                 ),
             ),
         )
 
     def field(claude: str, openai: str, gemini: str, ollama: str, default: str) -> Column:
-        return F.when(F.col("shape") == "claude", F.expr(f"coalesce({claude}, {default})")).when(
-            F.col("shape") == "openai", F.expr(f"coalesce({openai}, {default})")
-        ).when(F.col("shape") == "gemini", F.expr(f"coalesce({gemini}, {default})")).when(
-            F.col("shape") == "ollama", F.expr(f"coalesce({ollama}, {default})")
-        )
+        found = F.lit(None)
+        for name, path in (("ollama", ollama), ("gemini", gemini), ("openai", openai), ("claude", claude)):
+            value = F.expr(f"coalesce({path.lower()}, {default})")
+            found = F.when(F.col("shape") == name, value).otherwise(found)
+        return found
 
     text = field(
         "get(claude.content, 0).text",
@@ -247,9 +285,12 @@ def normalize_usage(responses: DataFrame) -> DataFrame:
         "size(claude.content)", "size(openai.choices)",
         "size(get(gemini.candidates, 0).content.parts)", "length(ollama.response)", "0",
     )
-    # as the only member of an array, a text that goes on behind its object is no JSON
-    alone = F.concat(F.lit("["), raw, F.lit("]"))
-    whole = F.try_parse_json(alone).isNotNull() & F.get_json_object(alone, "$[1]").isNull()
+    # in an array before an end mark, one object and nothing else is the first of two
+    marked = F.from_json(
+        F.concat(F.lit("["), raw, F.lit(',"end"]')), "array<string>",
+        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
+    )
+    whole = (F.size(marked) == 2) & (F.get(marked, F.lit(1)) == "end")
     typed = F.coalesce(*[F.col(f"{name}._unread") for name in _RESPONSE]).isNull()
     parsed = whole & typed & raw.rlike(r"^\s*\{")
     problem = (

@@ -407,6 +407,20 @@ def _usage() -> str:
         "json_array_length(response, '$.content')", "json_array_length(response, '$.choices')",
         "json_array_length(response, '$.candidates[0].content.parts')", "length(" + text("$.response") + ")",
     )
+    # of repeated names the last counts, and names are read in any case
+    response = r"""regexp_replace(response, '^\{"other":\{"a":1,"a":2\},', '{')"""
+    for key, earlier in (("content", "[]"), ("choices", "[]"), ("candidates", "[]"), ("response", '"first"')):
+        repeated = f'{{"{key}":{earlier},"{key}"'
+        response = (
+            f"CASE WHEN starts_with(response, {_q(repeated)}) "
+            f"THEN concat('{{', substr(response, {len(repeated) - len(key) - 1})) ELSE {response} END"
+        )
+        named = f'{{"{key.capitalize()}"'
+        response = (
+            f"CASE WHEN starts_with(response, {_q(named)}) "
+            f"THEN concat({_q(named.lower())}, substr(response, {len(named) + 1})) ELSE {response} END"
+        )
+    plain = f"SELECT * REPLACE ({response} AS response) FROM responses"
     return (
         "SELECT conv_id, turn, project, provider, model, problem AS error, "
         + ", ".join(
@@ -416,7 +430,7 @@ def _usage() -> str:
         + " FROM (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN shape IS NULL THEN 'unknown provider' "
         f"WHEN response IS NULL OR NOT json_valid(response) THEN 'unreadable response' WHEN {untyped} THEN 'unreadable response' WHEN coalesce({answers}, 0) = 0 THEN 'empty response' END AS problem "
         "FROM (SELECT *, CASE WHEN provider IN ('claude', 'gemini', 'ollama') THEN provider "
-        "WHEN provider IN ('openai', 'mistral', 'deepseek') THEN 'openai' END AS shape FROM responses))"
+        f"WHEN provider IN ('openai', 'mistral', 'deepseek') THEN 'openai' END AS shape FROM ({plain})))"
     )
 
 

@@ -285,7 +285,7 @@ def next_corpus_sql(traps: bool = True) -> str:
 
 
 # Model responses: one per conversation turn, in the shape of its provider.
-# n picks the provider, m what went wrong, if anything.
+# n picks the provider, m what is wrong or unusual, if anything.
 _QUOTED = (
     "concat(chr(34), replace(replace(replace(CASE WHEN m = 3 THEN '  ' ELSE text END, "
     "chr(92), repeat(chr(92), 2)), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(34))"
@@ -323,9 +323,17 @@ _SHAPES = [
 def _response() -> str:
     cases = []
     for cond, head, before, after, tail, usage in _SHAPES:
+        # m = 8 repeats a member of what is not read, m = 9 the first one that is, m = 10
+        # writes that in another case: decoders take the last of a name in any case
+        _, key, rest = head.split('"', 2)
+        earlier = '"first"' if not before else "[]"
+        head = (
+            f"""CASE m WHEN 8 THEN '{{"other":{{"a":1,"a":2}},"{key}' WHEN 9 THEN '{{"{key}":{earlier},"{key}' """
+            f"""WHEN 10 THEN '{{"{key.capitalize()}' ELSE '{{"{key}' END, '"{rest}'"""
+        )
         nothing = "chr(34), chr(34)" if not before else "''"
         body = (
-            f"concat('{head}', CASE WHEN m = 1 THEN concat({nothing}) "
+            f"concat({head}, CASE WHEN m = 1 THEN concat({nothing}) "
             f"ELSE concat('{before}', {_QUOTED}, '{after}') END, '{tail}', "
             f"CASE WHEN m = 4 THEN '' ELSE {usage} END, CASE WHEN m = 2 THEN '' WHEN m = 5 THEN '}} trailing' ELSE '}}' END)"
         )

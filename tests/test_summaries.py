@@ -93,6 +93,17 @@ def test_responses(spark):
         ("ollama", '{"response":""}', None): (None, None, None, None, "empty response"),
         ("ollama", None, "timeout"): (None, None, None, None, "timeout"),
         ("other", '{"response":"x"}', None): (None, None, None, None, "unknown provider"),
+        ("ollama", '{"response":"x","response":"y","eval_count":2,"eval_count":3}', None): ("y", 0, 3, 3, None),
+        ("ollama", '{"other":{"a":1,"a":2},"response":"x"}', None): ("x", 0, 0, 0, None),
+        ("ollama", '{"Response":"x","EVAL_COUNT":4}', None): ("x", 0, 4, 4, None),
+        ("gemini", '{"Candidates":[{"CONTENT":{"parts":[{"text":"Text: \\"Usage\\" : y"}]}}],"usagemetadata":{"TotalTokenCount":7}}', None): ('Text: "Usage" : y', 0, 0, 7, None),
+        ("claude", '{"content":[{"text":"a"}]} {"content":[]}', None): (None, None, None, None, "unreadable response"),
+        ("claude", '{"content":[{"text":"a"}]}],[1', None): (None, None, None, None, "unreadable response"),
+        ("claude", "{'content':[{'text':'a'}]}", None): (None, None, None, None, "unreadable response"),
+        ("claude", '{"content":[{"text":"a"}], "x": NaN}', None): (None, None, None, None, "unreadable response"),
+        ("claude", '[{"content":[{"text":"a"}]}]', None): (None, None, None, None, "unreadable response"),
+        ("claude", ' {"content":[{"text":"a"}]}\n', None): ("a", 0, 0, 0, None),
+        ("claude", "", None): (None, None, None, None, "unreadable response"),
         ("claude", "<html>", None): (None, None, None, None, "unreadable response"),
         ("claude", None, None): (None, None, None, None, "unreadable response"),
     }
@@ -139,3 +150,13 @@ def test_fallback(spark):
         "ok": ("primary", "good"), "blank": ("fallback", "local"), "failed": ("fallback", "local"),
         "fallback blank": ("fallback", ""), "both failed": ("structural", "plain"), "silent": ("structural", "plain"),
     }
+
+
+def test_quoted_names(spark):
+    cases = {
+        "plain": "plain", 'a"b\\c': 'a\\"b\\\\c', "t\tn\nr\rv\vf\fb\ba\a": "t\\tn\\nr\\rv\\vf\\fb\\ba\\a",
+        "\x00\x1f\x7f": "\\x00\\x1f\\x7f", "\u00e9\u4e94\U0001f600": "\u00e9\u4e94\U0001f600",
+        "\u00a0\u00ad\u200b\ufeff": "\\u00a0\\u00ad\\u200b\\ufeff", "\U000e0001\n": "\\U000e0001\\n", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", summaries.quoted(F.col("t")).alias("q"))
+    assert {r.t: r.q for r in rows.collect()} == cases

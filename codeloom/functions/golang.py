@@ -2,8 +2,8 @@
 
 Comments and multi-line raw strings are blanked first (their line breaks stay),
 and specs of a grouped ``type ( ... )`` are rewritten to stand alone, so that
-column-0 declarations are all that is left to match. Files with syntax errors
-are not dropped: that would need a full parser per file.
+column-0 declarations are all that is left to match. :func:`parses` tells whether
+brackets, literals and the heads of declarations are those of a Go file.
 """
 
 from __future__ import annotations
@@ -77,6 +77,46 @@ def code(content: Column) -> Column:
     return bare
 
 
+_LITERALS = r'"(?:[^"\\\n]|\\.)*+"|`[^`]*+`|' + r"'(?:[^'\\\n]|\\.)++'"
+_PACKAGE = rf"\A[\s\x{{FEFF}}]*+package[\t ]++{_ID}[\t ]*+(?:[;\n]|\z)"
+# A line that may end a statement, and then one that begins no declaration.
+_STRAY = r"[\p{L}\p{Nd}_)][\t ]*+[;\n]\s*+(?!(?:import|const|var|type|func)(?![\p{L}\p{Nd}_]))[^\s;]"
+_CLOSERS = {"(": ")", "[": "]", "{": "}"}
+
+
+def parses(content: Column) -> Column:
+    """Whether a text has the outline of a Go file: a package clause, closed literals and
+    comments, brackets that match at any depth, and only declarations outside of them.
+
+    One pass over the brackets keeps the closers that are due, innermost first, and the
+    text outside of all brackets. Errors inside a declaration are not looked for.
+    """
+    # every literal becomes a number, so that quotes that are left have no partner
+    plain = F.regexp_replace(code(content), F.lit(_LITERALS), F.lit("0"))
+
+    def step(state: Column, part: Column) -> Column:
+        due, outside = state["due"], state["outside"]
+        opened = F.lit(None)
+        for bracket, closer in _CLOSERS.items():
+            opened = F.when(part == bracket, closer).otherwise(opened)
+        closes = part.isin(*_CLOSERS.values())
+        # an unmatched closer is due for ever
+        now = F.when(opened.isNotNull(), F.concat(opened, due)).when(
+            ~closes, due
+        ).when(due.startswith(part), F.substr(due, F.lit(2))).otherwise(F.concat(F.lit("!"), due))
+        text = F.when(now == "", F.concat(outside, F.when(closes, ")").otherwise(part))).otherwise(outside)
+        return F.struct(now.alias("due"), text.alias("outside"))
+
+    def outline(plain: Column) -> Column:
+        parts = F.regexp_extract_all(plain, F.lit(r"[()\[\]{}]|[^()\[\]{}]++"), F.lit(0))
+        start = F.struct(F.lit("").alias("due"), F.lit("").alias("outside"))
+        end = F.aggregate(parts, start, step)
+        sound = plain.rlike(_PACKAGE) & ~plain.rlike("[\"'`]") & ~plain.contains("/*")
+        return F.array(sound & (end["due"] == "") & ~end["outside"].rlike(_STRAY))
+
+    return F.coalesce(F.element_at(let(plain, outline), 1), F.lit(True))
+
+
 def ungrouped(bare: Column) -> Column:
     """``bare`` with the specs of each ``type ( ... )`` as declarations of their own."""
 

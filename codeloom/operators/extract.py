@@ -27,6 +27,11 @@ def _by_language(js: Column, py: Column, dt: Column, go: Column) -> Column:
     )
 
 
+def is_broken() -> Column:
+    """Go files with syntax errors, which have no symbols and no node."""
+    return F.when(F.col("language") == "Go", ~golang.parses(F.col("content"))).otherwise(F.lit(False))
+
+
 def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     content = F.col("content")
     return files.select(
@@ -74,10 +79,13 @@ def _symbol_columns(application: str) -> tuple[list[Column], Column]:
     return found, exports.alias("exports")
 
 
-def file_nodes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def file_nodes(files: DataFrame, keep: tuple[str, ...] = (), broken: bool = False) -> DataFrame:
     """One nested row per file: functions, imports, exports, api_routes, types.
 
-    Columns named in ``keep`` are carried along."""
+    Files that are broken are left out unless asked for. Columns named in ``keep``
+    are carried along."""
+    if not broken:
+        files = files.filter(~is_broken())
     found, exports = _symbol_columns(files.sparkSession.sparkContext.applicationId)
     base = ["project", "path", *keep, "language"]
     return (
@@ -137,9 +145,10 @@ def _exploded(
     to_code: Callable[[Column], Column] = lambda c: c,
 ) -> DataFrame:
     """``project, path, ord`` and the element of an array computed from the text."""
-    code = files.filter(F.col("language").isin(*languages)).select(
-        "project", "path", to_code(F.col("content")).alias("code")
-    )
+    code = files.filter(F.col("language").isin(*languages))
+    if "Go" in languages:
+        code = code.filter(~is_broken())
+    code = code.select("project", "path", to_code(F.col("content")).alias("code"))
     return code.select("project", "path", F.posexplode(array(F.col("code"))).alias("ord", "item"))
 
 

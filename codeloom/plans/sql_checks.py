@@ -129,12 +129,23 @@ def _ctes(corpus: str, plain: str) -> dict[str, str]:
     """Every building block, each over the ones before it."""
     c: dict[str, str] = {}
     c["corpus"] = corpus
-    c["files"] = _files("corpus")
+    c["found"] = _files("corpus")
+    c["plain"] = plain
+    c["plain_go"] = "SELECT * FROM (" + _files("plain") + ") WHERE language = 'Go'"
+    uneven = " OR ".join(
+        f"length(replace(content, '{a}', '')) <> length(replace(content, '{b}', ''))" for a, b in ("()", "[]", "{}")
+    )
+    c["broken"] = (
+        f"SELECT project, path FROM plain_go WHERE NOT starts_with(content, 'package ') OR {uneven} "
+        "UNION SELECT project, path FROM (" + _lines_of("plain_go") + ") "
+        "WHERE (length(txt) - length(replace(txt, chr(34), ''))) % 2 = 1 "
+        "OR regexp_matches(txt, '^[a-z]') AND NOT regexp_matches(txt, '^(package|import|const|var|type|func) ')"
+    )
+    c["files"] = "SELECT * FROM found ANTI JOIN broken USING (project, path)"
     c["js"] = "SELECT * FROM files WHERE language IN ('JavaScript', 'TypeScript')"
     c["py"] = "SELECT * FROM files WHERE language = 'Python'"
     c["dart"] = "SELECT * FROM files WHERE language = 'Dart'"
-    c["plain"] = plain
-    c["go"] = "SELECT * FROM (" + _files("plain") + ") WHERE language = 'Go'"
+    c["go"] = "SELECT * FROM plain_go ANTI JOIN broken USING (project, path)"
 
     # JavaScript and TypeScript
     c["js_imports"] = _deduped("js", ["js_import", "js_require", "js_dynamic_import"])
@@ -619,7 +630,7 @@ def all_checks() -> dict[str, str]:
         "scan_sources": "SELECT project, path, length(content) AS n_chars, md5(content) AS digest FROM corpus",
         "ignore_filter": f"SELECT project, path FROM corpus WHERE {_KEEP}",
         "language_classify": f"SELECT * FROM (SELECT project, path, {_LANGUAGE} AS language FROM corpus) WHERE language IS NOT NULL",
-        "source_lines": f"SELECT project, path, line, md5(txt) AS digest FROM ({_lines_of('files')})",
+        "source_lines": f"SELECT project, path, line, md5(txt) AS digest FROM ({_lines_of('found')})",
         **{f"{n}_imports": s for n, s in strings.items()},
         **{f"{n}_exports": s for n, s in exports.items()},
         **{f"{n}_routes": s for n, s in routes.items()},

@@ -148,6 +148,11 @@ _GO = [
     ("k % 3 = 2", "func (t T[[k]]) handle() {\n\tmux.Handle(\"/m[[k]]\", wrap(t), t.last)\n\tr.Get(path, h)\n}"),
     ("k % 4 = 2", "func multi[[k]](\n\tctx context.Context,\n\tcb func(int) error,\n) error {\n\treturn nil\n}"),
     ("k % 6 = 0", "func Map[T any](xs []T) []T {\n\treturn xs\n}"),
+    # syntax errors: an open body, an open literal, a wrong bracket, a statement by itself
+    ("k % 53 = 0", "func cut[[k]]() {"),
+    ("k % 59 = 0", 'var open[[k]] = "no end'),
+    ("k % 61 = 0", "func wrong[[k]](a int] {\n}"),
+    ("k % 67 = 0", "return [[k]]"),
 ]
 
 

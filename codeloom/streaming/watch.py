@@ -45,16 +45,16 @@ class WatchStore:
     def _extracted(self, versions: DataFrame) -> DataFrame:
         accepted = (
             scan.source_files(versions, self.config)
-            .withColumn("deleted", F.col("content").isNull())
+            .withColumn("deleted", F.col("content").isNull() | extract.is_broken())
             .withColumn("digest", F.xxhash64("content"))
         )
-        return extract.file_nodes(accepted, keep=KEPT).withColumn("row", F.monotonically_increasing_id())
+        return extract.file_nodes(accepted, keep=KEPT, broken=True).withColumn("row", F.monotonically_increasing_id())
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         """Extract one micro-batch of file versions, without a shuffle.
 
         Null content marks a deletion, which is kept so that it outranks the
-        versions before it. Every COMPACT_EVERY batches the log is folded. A batch that
+        versions before it; so is a version with syntax errors, which has no node. Every COMPACT_EVERY batches the log is folded. A batch that
         has been folded already is not written again.
         """
         covered = self._covered()

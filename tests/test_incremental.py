@@ -326,3 +326,10 @@ def test_two_folds_at_once_do_not_mix(watched):
         store.compact()
     store.base.latest = latest
     assert [f.name for r in store.current().collect() for f in r.functions] == ["b"]
+
+
+def test_a_version_with_syntax_errors_outranks_the_one_before_it(watched):
+    _, feed = watched
+    assert feed(("p", "a.go", 1, "package a\nfunc F() {}\n")) == {"a.go": (1, ["F"])}
+    assert feed(("p", "a.go", 2, "package a\nfunc F() {\n")) == {}
+    assert feed(("p", "a.go", 3, "package a\nfunc G() {}\n")) == {"a.go": (3, ["G"])}

@@ -6,31 +6,24 @@ from dataclasses import dataclass, field
 
 # Names and globs that are skipped while scanning a tree.
 DEFAULT_IGNORE = (
-    # version control and dependencies
     ".git",
     "node_modules",
     "vendor",
-    # Python environments
     "__pycache__",
     "venv",
     "env",
     ".venv",
-    # build output
     "dist",
     "build",
     ".next",
     ".nuxt",
-    # framework files
     "__init__.py",
     "manage.py",
-    # this engine's own output and cache
     "codeloom",
     ".codeloom-cache.json",
-    # minified and lock files
     "*.min.js",
     "*.min.css",
     "*.lock",
-    # generated migrations
     "[0-9][0-9][0-9][0-9]_*.py",
 )
 

@@ -80,19 +80,34 @@ def code(content: Column) -> Column:
 _LITERALS = r'"(?:[^"\\\n]|\\.)*+"|`[^`]*+`|' + r"'(?:[^'\\\n]|\\.)++'"
 _PACKAGE = rf"\A[\s\x{{FEFF}}]*+package[\t ]++{_ID}[\t ]*+(?:[;\n]|\z)"
 # A line that may end a statement, and then one that begins no declaration.
-_STRAY = r"[\p{L}\p{Nd}_)][\t ]*+[;\n]\s*+(?!(?:import|const|var|type|func)(?![\p{L}\p{Nd}_]))[^\s;]"
+_STRAY = r"[\p{L}\p{Nd}_)\]}][\t ]*+[;\n]\s*+(?!(?:import|const|var|type|func)(?![\p{L}\p{Nd}_]))[^\s;]"
 _CLOSERS = {"(": ")", "[": "]", "{": "}"}
 
 
-def parses(content: Column) -> Column:
-    """Whether a text has the outline of a Go file: a package clause, closed literals and
-    comments, brackets that match at any depth, and only declarations outside of them.
+# What a file of the usual shape needs: pairs taken out from within so many times, and
+# blocks whose closing bracket is the first of a line.
+_PAIRS, _LEVELS = r"(?:\(\)|\[\]|\{\})++", 6
+_BLOCK = r"(?md)[({]\n(?s:.*?)^[)}]"
 
-    One pass over the brackets keeps the closers that are due, innermost first, and the
-    text outside of all brackets. Errors inside a declaration are not looked for.
+
+def parses(bare: Column) -> Column:
+    """Whether a text without comments (:func:`code`) has the outline of a Go file: a
+    package clause, closed literals, brackets that match at any depth, and only
+    declarations outside of them. Errors inside a declaration are not looked for.
+
+    Files of the usual shape are told by a few regex passes. For others one pass over
+    the brackets keeps the closers that are due, innermost first, and the text outside
+    of all brackets.
     """
     # every literal becomes a number, so that quotes that are left have no partner
-    plain = F.regexp_replace(code(content), F.lit(_LITERALS), F.lit("0"))
+    plain = F.regexp_replace(bare, F.lit(_LITERALS), F.lit("0"))
+
+    def usual(plain: Column) -> Column:
+        left = F.regexp_replace(plain, F.lit(r"[^()\[\]{}]++"), F.lit(""))
+        for _ in range(_LEVELS):
+            left = F.regexp_replace(left, F.lit(_PAIRS), F.lit(""))
+        outside = F.regexp_replace(plain, F.lit(_BLOCK), F.lit(")"))
+        return (left == "") & ~outside.rlike(_STRAY)
 
     def step(state: Column, part: Column) -> Column:
         due, outside = state["due"], state["outside"]
@@ -112,7 +127,8 @@ def parses(content: Column) -> Column:
         start = F.struct(F.lit("").alias("due"), F.lit("").alias("outside"))
         end = F.aggregate(parts, start, step)
         sound = plain.rlike(_PACKAGE) & ~plain.rlike("[\"'`]") & ~plain.contains("/*")
-        return F.array(sound & (end["due"] == "") & ~end["outside"].rlike(_STRAY))
+        exact = (end["due"] == "") & ~end["outside"].rlike(_STRAY)
+        return F.array(F.when(~sound, False).when(usual(plain), True).otherwise(exact))
 
     return F.coalesce(F.element_at(let(plain, outline), 1), F.lit(True))
 

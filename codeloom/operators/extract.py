@@ -29,7 +29,8 @@ def _by_language(js: Column, py: Column, dt: Column, go: Column) -> Column:
 
 def is_broken() -> Column:
     """Go files with syntax errors, which have no symbols and no node."""
-    return F.when(F.col("language") == "Go", ~golang.parses(F.col("content"))).otherwise(F.lit(False))
+    bare = golang.code(F.col("content"))
+    return F.when(F.col("language") == "Go", ~golang.parses(bare)).otherwise(F.lit(False))
 
 
 def _with_code(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -84,13 +85,13 @@ def file_nodes(files: DataFrame, keep: tuple[str, ...] = (), broken: bool = Fals
 
     Files that are broken are left out unless asked for. Columns named in ``keep``
     are carried along."""
-    if not broken:
-        files = files.filter(~is_broken())
     found, exports = _symbol_columns(files.sparkSession.sparkContext.applicationId)
     base = ["project", "path", *keep, "language"]
+    coded = _with_code(files, keep)
+    if not broken:
+        coded = coded.filter(F.when(F.col("language") == "Go", golang.parses(F.col("code"))).otherwise(True))
     return (
-        _with_code(files, keep)
-        .select(*base, "code", *found)
+        coded.select(*base, "code", *found)
         .select(*base, "functions", "imports", exports, "api_routes", "types")
     )
 
@@ -145,10 +146,11 @@ def _exploded(
     to_code: Callable[[Column], Column] = lambda c: c,
 ) -> DataFrame:
     """``project, path, ord`` and the element of an array computed from the text."""
-    code = files.filter(F.col("language").isin(*languages))
+    code = files.filter(F.col("language").isin(*languages)).select(
+        "project", "path", to_code(F.col("content")).alias("code")
+    )
     if "Go" in languages:
-        code = code.filter(~is_broken())
-    code = code.select("project", "path", to_code(F.col("content")).alias("code"))
+        code = code.filter(golang.parses(F.col("code")))
     return code.select("project", "path", F.posexplode(array(F.col("code"))).alias("ord", "item"))
 
 

@@ -95,6 +95,46 @@ def cost(length: int) -> float:
     return LINEAR * length + QUADRATIC * length * length
 
 
+class Rooms:
+    """Sequences by what room they have: a heap by cost for each room, and a tree over the
+    rooms that holds the cheapest sequence below each node."""
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.none = (float("inf"), -1, 0)
+        self.tree = [self.none] * (2 * self.size)
+        self.heaps: dict[int, list[tuple[float, int]]] = {}
+
+    def _update(self, room: int) -> None:
+        heap = self.heaps[room]
+        i, tree = self.size + room, self.tree
+        tree[i] = (*heap[0], room) if heap else self.none
+        while i > 1:
+            i >>= 1
+            left, right = tree[2 * i], tree[2 * i + 1]
+            tree[i] = left if left < right else right
+
+    def put(self, room: int, spent: float, sequence: int) -> None:
+        heapq.heappush(self.heaps.setdefault(room, []), (spent, sequence))
+        self._update(room)
+
+    def take(self, length: int) -> tuple[float, int] | None:
+        """The cheapest sequence with room for ``length``, which is taken out."""
+        low, high, best, tree = self.size + length, 2 * self.size, self.none, self.tree
+        while low < high:
+            if low & 1:
+                best, low = min(best, tree[low]), low + 1
+            if high & 1:
+                high -= 1
+                best = min(best, tree[high])
+            low, high = low >> 1, high >> 1
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._update(best[2])
+        return best[:2]
+
+
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of every piece.
 
@@ -116,7 +156,11 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
     rests.sort()
     bins = -sum(r[0] for r in rests) // capacity
     used = [0] * bins
-    heap = [(0.0, b) for b in range(bins)]
+    rooms = Rooms(capacity)
+    if bins:
+        # all are empty and cost the same, so they need no order but their numbers
+        rooms.heaps[capacity] = [(0.0, b) for b in range(bins)]
+        rooms._update(capacity)
     over: list[tuple[int, int, int]] = []
 
     def put(doc: int, start: int, length: int, b: int) -> None:
@@ -124,21 +168,15 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
         used[b] += length
 
     for negative, doc, start in rests:
-        length, aside = -negative, []
-        # costs grow with what a sequence holds, so a dear one has little room
-        while heap and used[heap[0][1]] + length > capacity:
-            aside.append(heapq.heappop(heap))
-            if len(aside) >= 64:
-                break
-        if heap and used[heap[0][1]] + length <= capacity:
-            spent, b = heapq.heappop(heap)
-            put(doc, start, length, b)
-            if used[b] < capacity:
-                heapq.heappush(heap, (spent + cost(length), b))
-        else:
+        length = -negative
+        found = rooms.take(length)
+        if found is None:
             over.append((doc, start, length))
-        for item in aside:
-            heapq.heappush(heap, item)
+            continue
+        spent, b = found
+        put(doc, start, length, b)
+        if used[b] < capacity:
+            rooms.put(capacity - used[b], spent + cost(length), b)
     room = [b for b in range(bins) if used[b] < capacity]
     while over:
         doc, start, length = over.pop()

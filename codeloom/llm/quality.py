@@ -157,7 +157,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             {"x": "array<double>"},
             pa.schema([("x", pa.list_(pa.float64()))]),
         )
-        .dropDuplicates(["id"])
+        # of several texts of one id the model always sees the same one
+        .groupBy("id")
+        .agg(F.min("x").alias("x"))
         .join(F.broadcast(picked), F.col("id") == F.col("doc_id"))
         .select("id", "quality", "x")
         .toArrow()

@@ -69,6 +69,25 @@ def test_every_token_is_in_one_piece(capacity):
     check([capacity // 2 + 1] * 99, capacity)
 
 
+def test_the_cheapest_sequence_with_room_is_found_wherever_it_is():
+    """Against a search of all sequences, also where very many cheap ones are too full."""
+    rng = random.Random(9)
+    for lengths in ([60] * 300 + [3] * 900 + [41] * 100, [rng.choice([1, 2, 30, 55, 63]) for _ in range(800)], [40] * 200 + [24] * 200):
+        rests = sorted((-n, i) for i, n in enumerate(lengths))
+        bins = sum(lengths) // 64
+        used, spent, whole = [0] * bins, [0.0] * bins, {}
+        for negative, doc in rests:
+            fits = [(spent[b], b) for b in range(bins) if used[b] - negative <= 64]
+            if fits:
+                _, b = min(fits)
+                whole[doc], used[b], spent[b] = b, used[b] - negative, spent[b] + packing.cost(-negative)
+        pieces = check(lengths, 64)
+        cut = {d for d, start, n, *_ in pieces if n < lengths[d]}
+        assert {d for d, start, n, *_ in pieces if n == lengths[d]} >= set(whole)
+        assert not cut & set(whole)
+        assert all(sequence == whole[d] for d, _, n, sequence, _ in pieces if d in whole)
+
+
 def test_costs_are_even():
     rng = random.Random(8)
     lengths = [min(700, int(rng.lognormvariate(5, 1)) + 1) for _ in range(5000)]

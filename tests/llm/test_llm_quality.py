@@ -82,3 +82,16 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.95
+
+
+def test_texts_of_one_id_give_one_model(spark):
+    rows = [(i, ("good words in a plain sentence. " if i % 2 else "$$ !! ") * (1 + i % 5), "en", "s", 0) for i in range(60)]
+    rows += [(i, "another text of the same id " * (i % 7 + 1), "en", "s", 0) for i in range(0, 60, 3)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, schema).repartition(3)
+        model = quality.train(docs, labels)
+        found.append(sorted((r["id"], r["score"]) for r in quality.scores(docs, model).collect()))
+    assert found[0] == found[1]

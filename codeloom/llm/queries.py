@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import (
@@ -101,21 +101,30 @@ TOOLS = (
 
 
 def call_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Calls from the assistants' turns and results from the users', by projection: a
-    call depends on the first one of its eight turns and some on the one before; a
-    user's turn answers the turn before it, but for one in eleven."""
+    """Calls from the assistants' turns and results from all others, by projection and with
+    whole texts: a call depends on the first one of its eight turns and some on the one
+    before, and one in thirteen repeats an earlier identifier. A user's turn answers the
+    turn before it, one in eleven under an identifier that no call has, and a system turn
+    has none."""
     rows = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 7 + F.col("turn"))
     k, turn = F.col("k"), F.col("turn")
-    word, n = F.regexp_extract("text", "[A-Za-z]+", 0), F.length("text")
+    # the text as a JSON string
+    quoted = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    quoted = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
+    n = F.coalesce(F.length("text"), F.lit(0)).cast("string")
     name = F.when(k % 4 == 0, "search").when(k % 4 == 1, "convert").when(k % 4 == 2, "lookup").otherwise("wipe")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
     arguments = (
-        F.when(k % 35 == 0, F.format_string('{"query":"%s"} tail', word))
-        .when(k % 6 == 0, F.format_string('{"query":"%s","limit":%d}', word, n))
-        .when(k % 6 == 1, F.format_string('{ "limit": %d, "query": "%s" }', n, word))
-        .when(k % 6 == 2, F.format_string('{"unit":"%s","amount":%d.5}', word, n))
-        .when(k % 6 == 3, F.format_string('{"ids":[%d,1],"exact":true}', n))
-        .when(k % 6 == 4, F.format_string('{"query":%d}', n))
-        .otherwise(F.format_string('{"query":"%s"', word))
+        F.when(k % 35 == 0, text('{"query":', quoted, "} tail"))
+        .when(k % 6 == 0, text('{"query":', quoted, ',"limit":', n, "}"))
+        .when(k % 6 == 1, text('{ "limit": ', n, ', "query": ', quoted, " }"))
+        .when(k % 6 == 2, text('{"unit":', quoted, ',"amount":', n, ".5}"))
+        .when(k % 6 == 3, text('{"ids":[', n, ",", quoted, '],"exact":true}'))
+        .when(k % 6 == 4, text('{"query":[', quoted, "]}"))
+        .otherwise(text('{"query":', quoted))
     )
     call = lambda t: F.concat(F.lit("c"), t)
     after = F.array_compact(
@@ -125,12 +134,14 @@ def call_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             F.when((F.col("conv_id") % 50 == 7) & (turn == 1), F.lit("c5")),
         )
     )
+    again = (k % 13 == 0) & (turn > 2)
     calls = rows.filter("role = 'assistant'").select(
-        "conv_id", call(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
-        after.alias("after"),
+        "conv_id", call(F.when(again, turn - 2).otherwise(turn)).alias("call_id"), "turn", name.alias("name"),
+        arguments.alias("arguments"), after.alias("after"),
     )
-    results = rows.filter("role = 'user' and turn >= 1 and k % 11 <> 0").select(
-        "conv_id", call(turn - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    answered = F.when(k % 11 == 0, F.concat(F.lit("x"), turn)).otherwise(call(turn - 1))
+    results = rows.filter("role is null or role <> 'assistant'").select(
+        "conv_id", F.when(F.col("role") == "user", answered).alias("call_id"), "turn", F.col("text").alias("content")
     )
     return calls, results
 

@@ -116,37 +116,50 @@ _errors = ", ".join(
 
 _CALLS = f"""
 WITH RECURSIVE rows AS (
-  SELECT *, conv_id * 7 + turn AS k, regexp_extract(text, '[A-Za-z]+') AS word, length(text) AS n
+  SELECT *, conv_id * 7 + turn AS k, to_json(coalesce(text, ''))::VARCHAR AS q, coalesce(length(text), 0) AS n
   FROM conversations
 ),
 schemas AS (SELECT * FROM (VALUES {_errors}) v(name, kind, own)),
-calls AS (
-  SELECT conv_id, 'c' || turn AS call_id, turn,
+made AS (
+  SELECT conv_id, 'c' || CASE WHEN k % 13 = 0 AND turn > 2 THEN turn - 2 ELSE turn END AS call_id, turn,
     CASE k % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'convert' WHEN 2 THEN 'lookup' ELSE 'wipe' END AS name,
-    CASE WHEN k % 35 = 0 THEN 'x' ELSE substr('abcdex', (k % 6 + 1)::INT, 1) END AS kind,
+    CASE WHEN k % 35 = 0 OR k % 6 = 5 THEN 'x' ELSE substr('abcde', (k % 6 + 1)::INT, 1) END AS kind,
+    CASE WHEN k % 35 = 0 THEN '{{"query":' || q || '}} tail'
+      WHEN k % 6 = 0 THEN '{{"query":' || q || ',"limit":' || n || '}}'
+      WHEN k % 6 = 1 THEN '{{ "limit": ' || n || ', "query": ' || q || ' }}'
+      WHEN k % 6 = 2 THEN '{{"unit":' || q || ',"amount":' || n || '.5}}'
+      WHEN k % 6 = 3 THEN '{{"ids":[' || n || ',' || q || '],"exact":true}}'
+      WHEN k % 6 = 4 THEN '{{"query":[' || q || ']}}' ELSE '{{"query":' || q END AS raw,
     CASE WHEN k % 35 = 0 THEN NULL
-      WHEN k % 6 <= 1 THEN '{{"limit":' || n || ',"query":"' || word || '"}}'
-      WHEN k % 6 = 2 THEN '{{"amount":' || n || '.5,"unit":"' || word || '"}}'
-      WHEN k % 6 = 3 THEN '{{"exact":true,"ids":[' || n || ',1]}}'
-      WHEN k % 6 = 4 THEN '{{"query":' || n || '}}' END AS arguments,
-    list_distinct(list_filter([
+      WHEN k % 6 <= 1 THEN '{{"limit":' || n || ',"query":' || q || '}}'
+      WHEN k % 6 = 2 THEN '{{"amount":' || n || '.5,"unit":' || q || '}}'
+      WHEN k % 6 = 3 THEN '{{"exact":true,"ids":[' || n || ',' || q || ']}}'
+      WHEN k % 6 = 4 THEN '{{"query":[' || q || ']}}' END AS arguments,
+    list_filter([
       CASE WHEN turn % 8 > 1 THEN 'c' || (turn - turn % 8 + 1) END,
       CASE WHEN turn % 4 = 3 THEN 'c' || (turn - 2) END,
       CASE WHEN conv_id % 50 = 7 AND turn = 1 THEN 'c5' END
-    ], lambda x: x IS NOT NULL)) AS after,
-    count(*) OVER (PARTITION BY conv_id, turn) AS n_calls
+    ], lambda x: x IS NOT NULL) AS after
   FROM rows WHERE role = 'assistant'
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, CASE
-    WHEN k % 35 = 0 OR k % 6 = 5 OR k % 6 = 0 THEN '{{"query":"' || word || '"'
-    ELSE arguments END, n) = 1
 ),
-results AS (
-  SELECT conv_id, 'c' || (turn - 1) AS call_id, text AS content,
-    count(*) OVER (PARTITION BY conv_id, turn) AS n_results
-  FROM rows WHERE role = 'user' AND turn >= 1 AND k % 11 <> 0
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1
+answers AS (
+  SELECT conv_id, CASE WHEN role = 'user' THEN CASE WHEN k % 11 = 0 THEN 'x' || turn ELSE 'c' || (turn - 1) END END AS call_id,
+    turn, text AS content
+  FROM rows WHERE role IS NULL OR role <> 'assistant'
 ),
-needs AS (SELECT conv_id, call_id, unnest(after) AS dep FROM calls),
+keyed_calls AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, name NULLS FIRST, raw NULLS FIRST, after) AS place,
+    count(*) OVER (PARTITION BY conv_id, call_id) AS total
+  FROM made WHERE conv_id IS NOT NULL AND call_id IS NOT NULL
+),
+keyed_results AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, content NULLS FIRST) AS place,
+    count(*) OVER (PARTITION BY conv_id, call_id) AS total
+  FROM answers WHERE conv_id IS NOT NULL AND call_id IS NOT NULL
+),
+calls AS (SELECT * FROM keyed_calls WHERE place = 1),
+results AS (SELECT * FROM keyed_results WHERE place = 1),
+needs AS (SELECT DISTINCT conv_id, call_id, unnest(after) AS dep FROM calls),
 edges AS (SELECT n.* FROM needs n SEMI JOIN calls c ON c.conv_id = n.conv_id AND c.call_id = n.dep),
 steps AS (
   SELECT conv_id, call_id, 0 AS level FROM calls c
@@ -154,29 +167,67 @@ steps AS (
   UNION
   SELECT e.conv_id, e.call_id, level + 1 FROM steps s JOIN edges e ON e.conv_id = s.conv_id AND e.dep = s.call_id
 ),
-levels AS (SELECT conv_id, call_id, max(level) AS level FROM steps GROUP BY ALL),
+-- a call behind a cycle may be reached from elsewhere, but has no level
+blocked AS (
+  SELECT conv_id, call_id FROM calls ANTI JOIN steps USING (conv_id, call_id)
+  UNION
+  SELECT e.conv_id, e.call_id FROM blocked b JOIN edges e ON e.conv_id = b.conv_id AND e.dep = b.call_id
+),
+levels AS (SELECT conv_id, call_id, max(level) AS level FROM steps ANTI JOIN blocked USING (conv_id, call_id) GROUP BY ALL),
 lost AS (
   SELECT conv_id, call_id, list('unknown_dependency:' || dep) AS lost FROM needs n
   ANTI JOIN calls c ON c.conv_id = n.conv_id AND c.call_id = n.dep GROUP BY ALL
 ),
-joined AS (
-  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name,
-    c.arguments, level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results, content,
-    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS link,
-    CASE WHEN c.call_id IS NULL THEN [] ELSE list_sort(list_concat(
-      CASE WHEN c.kind = 'x' THEN ['not_an_object'] ELSE coalesce(own, ['unknown_tool']) END,
-      coalesce(lost, []), CASE WHEN level IS NULL THEN ['cycle'] ELSE [] END)) END AS problems
+sizes AS (
+  SELECT conv_id, call_id, coalesce(c.total, 0) AS n_calls, coalesce(r.total, 0) AS n_results
+  FROM calls c FULL JOIN results r USING (conv_id, call_id)
+),
+whole AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.name, c.kind,
+    c.raw, c.arguments, r.turn AS result_turn, content, 1 AS repeat, 1 AS copies,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS link
   FROM calls c FULL JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
-  LEFT JOIN schemas s ON s.name = c.name AND s.kind = c.kind
-  LEFT JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.call_id
-  LEFT JOIN lost o ON o.conv_id = c.conv_id AND o.call_id = c.call_id
+  UNION ALL
+  SELECT conv_id, call_id, turn, name, kind, raw, arguments, NULL, NULL,
+    1 + row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, name NULLS FIRST, raw NULLS FIRST, after),
+    count(*), 'duplicate'
+  FROM keyed_calls WHERE place > 1 GROUP BY conv_id, call_id, turn, name, kind, raw, arguments, after
+  UNION ALL
+  SELECT conv_id, call_id, NULL, NULL, NULL, NULL, NULL, turn, content,
+    1 + row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn NULLS FIRST, content NULLS FIRST), count(*), 'duplicate'
+  FROM keyed_results WHERE place > 1 GROUP BY conv_id, call_id, turn, content
+  UNION ALL
+  SELECT conv_id, call_id, turn, name, kind, raw, arguments, NULL, NULL, NULL, count(*), 'unkeyed'
+  FROM made WHERE conv_id IS NULL OR call_id IS NULL GROUP BY conv_id, call_id, turn, name, kind, raw, arguments, after
+  UNION ALL
+  SELECT conv_id, call_id, NULL, NULL, NULL, NULL, NULL, turn, content, NULL, count(*), 'unkeyed'
+  FROM answers WHERE conv_id IS NULL OR call_id IS NULL GROUP BY ALL
+),
+joined AS (
+  SELECT w.*, CASE WHEN link IN ('linked', 'unanswered') THEN level END AS level,
+    CASE WHEN link <> 'unkeyed' THEN n_calls WHEN raw IS NOT NULL THEN copies ELSE 0 END AS n_calls,
+    CASE WHEN link <> 'unkeyed' THEN n_results WHEN raw IS NOT NULL THEN 0 ELSE copies END AS n_results,
+    CASE WHEN raw IS NULL THEN [] ELSE list_sort(list_concat(
+      CASE WHEN w.kind = 'x' THEN ['not_an_object'] ELSE coalesce(own, ['unknown_tool']) END,
+      CASE link WHEN 'duplicate' THEN ['duplicate_identifier'] WHEN 'unkeyed' THEN ['no_identifier']
+        ELSE list_concat(coalesce(lost, []), CASE WHEN level IS NULL THEN ['cycle'] ELSE [] END) END)) END AS problems
+  FROM whole w
+  LEFT JOIN schemas s ON s.name = w.name AND s.kind = w.kind
+  LEFT JOIN levels l ON l.conv_id = w.conv_id AND l.call_id = w.call_id
+  LEFT JOIN lost o ON o.conv_id = w.conv_id AND o.call_id = w.call_id
+  LEFT JOIN sizes z ON z.conv_id = w.conv_id AND z.call_id = w.call_id
 )
-SELECT conv_id, level, turn, call_id, link, n_calls::BIGINT AS n_calls, n_results::BIGINT AS n_results,
-  n_calls > 0 AND len(problems) = 0 AS valid, array_to_string(problems, ';') AS errors,
+SELECT conv_id, level, turn, call_id, result_turn, link, repeat::BIGINT AS repeat, copies::BIGINT AS copies,
+  n_calls::BIGINT AS n_calls, n_results::BIGINT AS n_results,
+  raw IS NOT NULL AND len(problems) = 0 AS valid, array_to_string(problems, ';') AS errors,
   '{{' || CASE WHEN arguments IS NULL THEN '' ELSE '"arguments":' || arguments || ',' END
-  || '"call_id":"' || call_id || '","conv_id":' || conv_id || ',"errors":' || to_json(problems)::VARCHAR
+  || CASE WHEN call_id IS NULL THEN '' ELSE '"call_id":"' || call_id || '",' END
+  || CASE WHEN conv_id IS NULL THEN '' ELSE '"conv_id":' || conv_id || ',' END
+  || '"errors":' || to_json(problems)::VARCHAR
   || CASE WHEN level IS NULL THEN '' ELSE ',"level":' || level END || ',"link":"' || link || '"'
   || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END
+  || CASE WHEN raw IS NULL OR arguments IS NOT NULL THEN '' ELSE ',"raw_arguments":' || to_json(raw)::VARCHAR END
+  || CASE WHEN repeat IS NULL THEN '' ELSE ',"repeat":' || repeat END
   || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content)::VARCHAR END || '}}' AS json
 FROM joined
 """

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from codeloom.session import stage
+from codeloom.operators.skew import lookup
+from codeloom.session import new_stage_path, stage
 
 # JSON types by the names that Spark gives to parsed values.
 _TYPES = {
@@ -68,130 +70,204 @@ def problems(name: Column, value: Column, tools: tuple[Tool, ...]) -> Column:
     return F.array_sort(F.when(value.isNull(), broken).otherwise(known))
 
 
+_CALL = ("turn", "name", "arguments", "after")
+_RESULT = ("turn", "content")
+_KEY = ["conv_id", "call_id"]
+
+
+def _combined(rows: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+    """Different rows with the number of their ``copies``, counted before the shuffle."""
+    return stage(rows.groupBy(*_KEY, *columns).agg(F.count("*").alias("copies")), name)
+
+
+def _firsts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Of each identifier the first row by ``columns`` and how many rows it has (``n``).
+    A hot identifier comes as one row a task."""
+    least = F.min(F.struct(*columns))
+    keyed = rows.filter("conv_id is not null and call_id is not null")
+    return keyed.groupBy(*_KEY).agg(least.alias("first"), F.sum("copies").alias("n"))
+
+
+def _repeats(rows: DataFrame, more: DataFrame, columns: tuple[str, ...], name: str) -> DataFrame:
+    """The rows behind the ``first`` of their identifier, numbered from 2 by ``columns``;
+    ``more`` has the identifiers with several rows.
+
+    Copies of the first row are one row of their own. Rows are cut by ranges, so that
+    the repeats of a hot identifier lie in many partitions; each adds what lies before it.
+    """
+    keyed = rows.filter("conv_id is not null and call_id is not null")
+    met = lookup(keyed, more, _KEY, list(columns), "inner")
+    again = F.struct(*columns).eqNullSafe(F.col("first"))
+    left = met.withColumn("copies", F.col("copies") - again.cast("long")).filter("copies > 0")
+    counts = ["n_calls", "n_results"]
+    ranged = left.select(*_KEY, *columns, "copies", *counts).repartitionByRange(*_KEY, *columns)
+    ranged = stage(ranged.withColumn("part", F.spark_partition_id()), name)
+    before = Window.partitionBy(*_KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*_KEY, "part").agg(F.count("*").alias("size"))
+    offsets = sizes.select(*_KEY, "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy(*_KEY, "part").orderBy(*columns))
+    numbered = ranged.withColumn("repeat", own)
+    return numbered.join(offsets, [*_KEY, "part"]).select(
+        *_KEY, *columns, "copies", *counts, F.lit("duplicate").alias("link"),
+        (F.col("repeat") + F.col("offset") + 1).alias("repeat"),
+    )
+
+
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per conversation and identifier, of calls, results or both.
+    """Every call and every result once.
 
     ``calls(conv_id, call_id, turn, name, arguments, after)``, ``results(conv_id,
-    call_id, turn, content)``. Of calls that share an identifier the first by turn,
-    name and arguments stands, of results the first by turn and content; ``n_calls``
-    and ``n_results`` tell how many there were. Both sides are combined before their
-    shuffle, so a hot identifier arrives as one row per task. Rows without a
-    conversation or an identifier form a group like any other (``null``).
+    call_id, turn, content)``. The first call of a conversation and identifier (by turn,
+    name, arguments and dependencies) meets the first result (by turn and content) in one
+    row: ``linked``, or ``unanswered`` or ``orphan`` where a side is missing. Each further
+    one is a ``duplicate`` row with its ``repeat`` number from 2. Rows without a
+    conversation or an identifier are ``unkeyed`` and meet nothing; nulls come first in
+    any order. Equal rows that are duplicates or unkeyed are one row with their number as
+    ``copies``. ``n_calls`` and ``n_results`` tell how many rows the identifier has.
     """
-    first_call = calls.groupBy("conv_id", "call_id").agg(
-        F.min(F.struct("turn", "name", "arguments", "after")).alias("call"), F.count("*").alias("n_calls")
+    calls = _combined(calls, _CALL, "calls")
+    results = _combined(results, _RESULT, "results")
+    answers = _firsts(results, _RESULT).select(
+        F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"),
+        F.col("first").alias("result"), F.col("n").alias("n_results"),
+    )
+    same = (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_call"))
+    both = (
+        _firsts(calls, _CALL).select(*_KEY, F.col("first").alias("call"), F.col("n").alias("n_calls"))
+        .hint("shuffle_hash").join(answers, same, "full")
     )
-    first_result = results.groupBy(
-        F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call")
-    ).agg(F.min(F.struct("turn", "content")).alias("result"), F.count("*").alias("n_results"))
-    same = F.col("conv_id").eqNullSafe(F.col("r_conv")) & F.col("call_id").eqNullSafe(F.col("r_call"))
-    both = first_call.hint("shuffle_hash").join(first_result, same, "full")
-    return both.select(
-        F.coalesce("conv_id", "r_conv").alias("conv_id"),
-        F.coalesce("call_id", "r_call").alias("call_id"),
-        F.col("call.turn").alias("turn"), "call.name", "call.arguments", "call.after",
-        F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
-        F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        F.col("result.content").alias("content"),
+    no, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    met = both.select(
+        F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_call").alias("call_id"),
+        *[F.col(f"call.{c}").alias(c) for c in _CALL],
+        F.col("result.turn").alias("result_turn"), F.col("result.content").alias("content"),
+        F.col("call").isNotNull().alias("is_call"), one.alias("repeat"), one.alias("copies"),
+        F.coalesce("n_calls", no).alias("n_calls"), F.coalesce("n_results", no).alias("n_results"),
         F.when(F.col("call").isNull(), "orphan").when(F.col("result").isNull(), "unanswered")
         .otherwise("linked").alias("link"),
     )
+    met = stage(met, "first-calls")
+
+    def repeated(first: Column, count: str) -> DataFrame:
+        return met.filter(F.col(count) > 1).select(*_KEY, first.alias("first"), "n_calls", "n_results")
+
+    def alone(rows: DataFrame, is_call: bool) -> DataFrame:
+        n = F.col("copies")
+        return rows.filter("conv_id is null or call_id is null").select(
+            "*", F.lit(None).cast("long").alias("repeat"), F.lit("unkeyed").alias("link"),
+            (n if is_call else no).alias("n_calls"), (no if is_call else n).alias("n_results"),
+        )
+
+    first_result = F.struct(F.col("result_turn").alias("turn"), "content")
+    more_calls = _repeats(calls, repeated(F.struct(*_CALL), "n_calls"), _CALL, "more-calls")
+    more_results = _repeats(results, repeated(first_result, "n_results"), _RESULT, "more-results")
+    more_calls = more_calls.unionByName(alone(calls, True))
+    more_results = more_results.unionByName(alone(results, False))
+    return met.unionByName(
+        more_calls.withColumn("is_call", F.lit(True)), allowMissingColumns=True
+    ).unionByName(
+        more_results.withColumnRenamed("turn", "result_turn").withColumn("is_call", F.lit(False)),
+        allowMissingColumns=True,
+    )
 
 
-def levels(rows: DataFrame) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level`` of the calls whose dependencies can be resolved.
 
-    A call without dependencies has level 0, another one more than the highest level it
-    depends on; sorting by level is a topological order. Each round takes the calls
-    whose last dependency the round before has resolved, and is written to the shared
-    folder; there are as many rounds as the longest chain has calls. Calls in or
-    behind a cycle get no row. Dependencies on unknown identifiers do not count.
+    ``calls(conv_id, call_id, after)``, a row per identifier. A call without dependencies
+    has level 0, another one more than the highest level it depends on; sorting by level
+    is a topological order. Each round takes the calls whose last dependency the round
+    before has resolved, and is written to the shared folder, where one scan reads all
+    rounds; there are as many as the longest chain has calls. Calls in or behind a cycle
+    get no row. Dependencies on unknown identifiers do not count.
     """
-    key = ["conv_id", "call_id"]
-    calls = rows.filter("n_calls > 0").select(*key, "after")
+    spark, folder = calls.sparkSession, new_stage_path(calls.sparkSession, "call-levels")
     needs = (
         calls.select("conv_id", F.col("call_id").alias("by"), F.explode(F.array_distinct("after")).alias("call_id"))
-        .join(calls.select(*key), key, "left_semi")
+        .join(calls.select(*_KEY), _KEY, "left_semi")
         .select("conv_id", "by", "call_id")
     )
     needs = stage(needs, "call-needs")
     open_ = needs.groupBy("conv_id", F.col("by").alias("call_id")).agg(F.count("*").alias("need"))
     open_ = stage(open_, "call-open")
-    ready = stage(
-        calls.select(*key).join(open_, key, "left_anti").withColumn("level", F.lit(0)), "call-level"
-    )
-    # rows with a null key stand alone at level 0: no dependency can name them
-    done, level = ready, 0
-    while not open_.isEmpty():
+    key_types = calls.select(*_KEY).schema
+
+    def write(ready: DataFrame, level: int) -> DataFrame:
+        ready.select(*_KEY).write.parquet(f"{folder}/level={level}")
+        return spark.read.schema(key_types).parquet(f"{folder}/level={level}")
+
+    ready, level = write(calls.join(open_, _KEY, "left_anti"), 0), 0
+    while not (open_.isEmpty() or ready.isEmpty()):
         met = (
-            needs.join(ready.select(*key), key, "left_semi")
+            needs.join(ready, _KEY, "left_semi")
             .groupBy("conv_id", F.col("by").alias("call_id"))
             .agg(F.count("*").alias("met"))
         )
         counted = stage(
-            open_.join(met, key, "left").select(
-                *key, (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")
+            open_.join(met, _KEY, "left").select(
+                *_KEY, (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")
             ),
             "call-counted",
         )
         level += 1
-        ready = counted.filter("need = 0").select(*key, F.lit(level).alias("level"))
-        if ready.isEmpty():
-            break
-        done = done.unionByName(ready)
+        ready = write(counted.filter("need = 0"), level)
         open_ = counted.filter("need > 0")
-    return done
+    return spark.read.schema(f"{_ddl(key_types)}, level int").parquet(folder)
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
 
 def tool_calls(calls: DataFrame, results: DataFrame, tools: tuple[Tool, ...]) -> DataFrame:
-    """``conv_id, level, turn, call_id, link, n_calls, n_results, valid, errors, json``.
+    """``conv_id, level, turn, call_id, result_turn, link, repeat, copies, n_calls,
+    n_results, valid, errors, json``, a row per call or result as :func:`linked` has them.
 
     Sorted by ``conv_id, level, turn, call_id`` a conversation's calls stand in a
-    topological order. ``level`` is null for a result without a call, and for a call in
-    or behind a cycle, which has the error ``cycle``. Identifiers in ``after`` that the
-    conversation lacks give ``unknown_dependency:<id>``. ``json`` holds the keys in
-    order, nulls left out, and arguments with their keys in order as well.
+    topological order. ``level`` is null for a result without a call, for a call in or
+    behind a cycle (error ``cycle``), and for duplicate and unkeyed calls (errors
+    ``duplicate_identifier`` and ``no_identifier``), on which nothing depends. Identifiers
+    in ``after`` of other calls that the conversation lacks give
+    ``unknown_dependency:<id>``. ``json`` holds the keys in order, nulls left out, and
+    arguments with their keys in order as well; those that are no object are kept as
+    ``raw_arguments``.
     """
     rows = stage(linked(calls, results), "linked-calls")
-    key = ["conv_id", "call_id"]
-    wanted = rows.filter("n_calls > 0").select(*key, F.explode(F.array_distinct("after")).alias("dep"))
-    there = rows.filter("n_calls > 0").select("conv_id", F.col("call_id").alias("dep"))
+    heads = rows.filter("is_call and link in ('linked', 'unanswered')").select(*_KEY, "after")
+    wanted = heads.select(*_KEY, F.explode(F.array_distinct("after")).alias("dep"))
+    there = heads.select("conv_id", F.col("call_id").alias("dep"))
     lost = (
         wanted.join(there, ["conv_id", "dep"], "left_anti")
-        .groupBy(*key)
+        .groupBy(*_KEY)
         .agg(F.array_sort(F.collect_set(F.concat(F.lit("unknown_dependency:"), "dep"))).alias("lost"))
     )
     none = F.array().cast("array<string>")
-    value = parsed(F.col("arguments"))
-    is_call = F.col("n_calls") > 0
-    level = levels(rows).withColumnsRenamed({"conv_id": "l_conv", "call_id": "l_call"})
-    same = F.col("conv_id").eqNullSafe(F.col("l_conv")) & F.col("call_id").eqNullSafe(F.col("l_call"))
-    checked = (
-        rows.join(lost, key, "left")
-        .join(level, same, "left")
-        .withColumn("value", value)
-        .withColumn(
-            "errors",
-            F.when(
-                is_call,
-                F.array_sort(
-                    F.concat(
-                        problems(F.col("name"), F.col("value"), tools),
-                        F.coalesce("lost", none),
-                        F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none),
-                    )
-                ),
-            ).otherwise(none),
-        )
+    link, is_call = F.col("link"), F.col("is_call")
+    place = (
+        F.when(link == "duplicate", F.array(F.lit("duplicate_identifier")))
+        .when(link == "unkeyed", F.array(F.lit("no_identifier")))
+        .otherwise(F.concat(F.coalesce("lost", none), F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none)))
     )
+
+    def checked(part: DataFrame) -> DataFrame:
+        errors = F.array_sort(F.concat(problems(F.col("name"), F.col("value"), tools), place))
+        return part.withColumn("value", parsed(F.col("arguments"))).withColumn(
+            "errors", F.when(is_call, errors).otherwise(none)
+        )
+
+    # repeats and unkeyed rows need no look-up, so their hot keys are in no shuffle
+    single = link.isin("duplicate", "unkeyed")
+    placed = rows.filter(~single).join(lost, _KEY, "left").join(levels(heads), _KEY, "left")
+    apart = rows.filter(single).select("*", none.alias("lost"), F.lit(None).cast("int").alias("level"))
     line = F.to_json(
         F.struct(
             F.col("value").alias("arguments"), "call_id", "conv_id", "errors", "level", "link", "name",
-            F.col("content").alias("result"),
+            F.when(F.col("value").isNull(), F.col("arguments")).alias("raw_arguments"),
+            "repeat", F.col("content").alias("result"),
         )
     )
-    return checked.select(
-        "conv_id", "level", "turn", "call_id", "link", "n_calls", "n_results",
+    return checked(placed.unionByName(apart)).select(
+        "conv_id", "level", "turn", "call_id", "result_turn", "link", "repeat", "copies", "n_calls", "n_results",
         (is_call & (F.size("errors") == 0)).alias("valid"),
         F.array_join("errors", ";").alias("errors"), line.alias("json"),
     )

@@ -46,14 +46,44 @@ def test_arguments_against_schemas(spark):
 
 def test_links_duplicates_and_nulls(spark):
     calls = [(1, "a", 1, "h", "{}", []), (1, "b", 3, "h", "{}", []), (1, "b", 2, "h", '{"q":1}', []), (2, "a", 1, "h", "{}", None), (None, None, 1, "h", "{}", None), (None, None, None, None, None, None)]
-    results = [(1, "a", 2, "late"), (1, "a", 1, "soon"), (1, "x", 5, None), (2, None, 1, "lost"), (None, None, 1, "n")]
-    got = run(spark, calls, results)
-    assert {k: (r["link"], r["n_calls"], r["n_results"]) for k, r in got.items()} == {
-        (1, "a"): ("linked", 1, 2), (1, "b"): ("unanswered", 2, 0), (2, "a"): ("unanswered", 1, 0), (1, "x"): ("orphan", 0, 1),
-        (2, None): ("orphan", 0, 1), (None, None): ("linked", 2, 1),
-    }
-    assert json.loads(got[1, "a"]["json"])["result"] == "soon" and got[1, "b"]["errors"] == "unexpected:q"
-    assert got[1, "x"]["level"] is None and not got[1, "x"]["valid"]
+    calls += [(1, "b", 3, "h", "{}", [])] + [(3, "e", 1, "h", "{}", ["b"])] * 3 + [(3, None, 1, "h", "{}", ["e"])] * 2
+    results = [(1, "a", 2, "late"), (1, "a", 1, "soon"), (1, "x", 5, None), (2, None, 1, "lost"), (None, None, 1, "n"), (None, None, 1, "m")]
+    c = spark.createDataFrame([(*x, 0, "j") for x in calls], CALLS)
+    r = spark.createDataFrame([(*x, "r") for x in results], RESULTS)
+    rows = toolcalls.tool_calls(c, r, TOOLS).collect()
+    got = sorted(((x["conv_id"], x["call_id"], x["turn"], x["result_turn"], x["link"], x["repeat"], x["copies"], x["n_calls"], x["n_results"]) for x in rows), key=repr)
+    assert got == sorted([
+        (1, "a", 1, 1, "linked", 1, 1, 1, 2), (1, "a", None, 2, "duplicate", 2, 1, 1, 2),
+        (1, "b", 2, None, "unanswered", 1, 1, 3, 0), (1, "b", 3, None, "duplicate", 2, 2, 3, 0),
+        (2, "a", 1, None, "unanswered", 1, 1, 1, 0), (1, "x", None, 5, "orphan", 1, 1, 0, 1),
+        (3, "e", 1, None, "unanswered", 1, 1, 3, 0), (3, "e", 1, None, "duplicate", 2, 2, 3, 0),
+        (2, None, None, 1, "unkeyed", None, 1, 0, 1), (3, None, 1, None, "unkeyed", None, 2, 2, 0),
+        (None, None, 1, None, "unkeyed", None, 1, 1, 0), (None, None, None, None, "unkeyed", None, 1, 1, 0),
+        (None, None, None, 1, "unkeyed", None, 1, 0, 1), (None, None, None, 1, "unkeyed", None, 1, 0, 1),
+    ], key=repr)
+    at = {(x["conv_id"], x["call_id"], x["repeat"], x["turn"]): x for x in rows}
+    assert json.loads(at[1, "a", 1, 1]["json"])["result"] == "soon"
+    assert at[1, "b", 1, 2]["errors"] == "unexpected:q" and at[1, "b", 2, 3]["errors"] == "duplicate_identifier"
+    assert at[3, "e", 1, 1]["errors"] == "unknown_dependency:b" and at[3, None, None, 1]["errors"] == "no_identifier"
+    assert {json.loads(x["json"]).get("result") for x in rows} == {"late", "soon", "lost", "n", "m", None}
+    assert at[1, "x", 1, None]["level"] is None and not at[1, "x", 1, None]["valid"]
+
+
+def test_a_hot_identifier_is_numbered_in_parts(spark):
+    """Repeats of one identifier, a third of all rows, beside single ones; arguments that
+    are no object are kept as they came."""
+    hot = [(1, "hot", i % 7, "f", f"no object {i}", []) for i in range(3000)]
+    calls = hot + hot[:50] + [(i, "c", 1, "h", "{}", []) for i in range(6000)]
+    c = spark.createDataFrame([(*x, 0, "j") for x in calls], CALLS)
+    r = spark.createDataFrame([(1, "hot", i, "x", "r") for i in range(2000)], RESULTS)
+    rows = [x for x in toolcalls.tool_calls(c, r, TOOLS).collect() if x["call_id"] == "hot"]
+    own = [x for x in rows if x["turn"] is not None]
+    texts = {x["repeat"]: (x["turn"], json.loads(x["json"])["raw_arguments"]) for x in own}
+    order = sorted((x[2], x[4]) for x in set((*x[:5],) for x in hot))
+    surplus = 1 if order[0] in {(x[2], x[4]) for x in hot[:50]} else 0
+    assert [texts[i] for i in sorted(texts)] == order[:surplus] + order and sorted(texts) == list(range(1, 3001 + surplus))
+    assert sum(x["copies"] for x in own) == 3050 and {x["n_calls"] for x in rows} == {3050}
+    assert sorted(x["result_turn"] for x in rows if x["result_turn"] is not None) == list(range(2000))
 
 
 def slow_levels(after):

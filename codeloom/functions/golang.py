@@ -298,13 +298,109 @@ def _without_raw_strings(bare: Column) -> Column:
     return F.when(bare.contains("`"), masked).otherwise(bare)
 
 
-def routes(bare: Column) -> Column:
-    return F.transform(
-        matches(_without_raw_strings(bare), _ROUTE, ("(",), ahead=3),
-        lambda h: sym.route(
-            F.upper(group(h, _ROUTE_HEAD, 1)),
-            F.btrim(group(h, _ROUTE_HEAD, 2), F.lit('"')),
-            h["ahead"],
-            h["line"],
+# A route call whose receiver is no plain name on its own line.
+_CHAINED = rf"(?di)(?:[)\]}}\"`]{P.S}*+\.{P.S}*+|\.{P.S}*\n{P.S}*+)(?:{_METHOD}){P.S}*+\("
+# Tiles a text: route heads (groups as in ``_ROUTE``), literals, words, space, the rest.
+_CHAIN_TOKEN = (
+    rf"{_ROUTE}|{_LITERALS}|[\p{{L}}\p{{Nd}}_]++|\s++|[()\[\]{{}}.]|[^()\[\]{{}}.\s\p{{L}}\p{{Nd}}_\"`']++|[\"`']"
+)
+# Tiles a text: declarations and the statements of their bodies, which no chain leaves.
+_STATEMENT = r"(?md)(?:\A(?s:.)|^\t?[^\s)}\]])(?s:.*?)(?=^\t?[^\s)}\]]|\z)"
+
+
+def _chained_routes(text: Column, line: Column) -> Column:
+    """Routes in a statement that starts at ``line``, of calls that may be links of one
+    chain: each on the line where its chain starts, the last link of a chain first, and
+    what stands in arguments behind the chain.
+
+    One pass keeps the start of the operand that is being read (its line and token number
+    in one number, null between operands) and those that the open brackets belong to, so
+    that a closing bracket takes up its own again.
+    """
+    fields = ("text", "method", "path", "handler")
+    parts = F.zip_with(
+        F.zip_with(
+            *(F.regexp_extract_all(text, F.lit(_CHAIN_TOKEN), F.lit(i)) for i in (0, 1)),
+            lambda t, m: F.struct(t.alias("text"), m.alias("method")),
         ),
+        F.zip_with(
+            *(F.regexp_extract_all(text, F.lit(_CHAIN_TOKEN), F.lit(i)) for i in (2, 3)),
+            lambda p, h: F.struct(p.alias("path"), h.alias("handler")),
+        ),
+        lambda a, b: F.struct(*[(a if f in fields[:2] else b)[f].alias(f) for f in fields]),
+    )
+    none = F.lit(None).cast("bigint")
+    start = F.struct(
+        line.cast("bigint").alias("line"), F.lit(0).cast("bigint").alias("at"), none.alias("operand"),
+        F.lit(False).alias("dot"), F.array().cast("array<bigint>").alias("open"), F.lit("").alias("starts"),
     )
+
+    def step(s: Column, part: Column) -> Column:
+        text = part["text"]
+        is_route = part["method"] != ""
+        breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+        here = F.coalesce(s["operand"], s["line"] * F.lit(2**32) + s["at"])
+        opens, closes = is_route | text.isin("(", "[", "{"), text.isin(")", "]", "}")
+        # a word or a literal goes on behind a dot or a bracket only
+        word = text.rlike("^[\\p{L}\\p{Nd}_\"`']")
+        space = text.rlike(r"^\s")
+        operand = (
+            F.when(opens, none).when(closes, F.get(s["open"], F.lit(0))).when(word, here)
+            .when(text == ".", s["operand"]).when(space & s["dot"], s["operand"])
+        )
+        stack = F.when(opens, F.concat(F.array(here), s["open"])).when(
+            closes, F.slice(s["open"], 2, 2**30)
+        ).otherwise(s["open"])
+        # as text, since a state is copied at every step
+        starts = F.when(is_route, F.concat(s["starts"], here.cast("string"), F.lit(" "))).otherwise(s["starts"])
+        return F.struct(
+            (s["line"] + breaks).alias("line"), (s["at"] + 1).alias("at"), operand.alias("operand"),
+            ((text == ".") | (space & s["dot"])).alias("dot"), stack.alias("open"), starts.alias("starts"),
+        )
+
+    def ordered(parts: Column) -> Column:
+        starts = F.split(F.aggregate(parts, start, step, lambda s: s["starts"]), " ")
+        heads = F.transform(
+            F.filter(parts, lambda p: p["method"] != ""),
+            lambda p, i: F.struct((-i).alias("back"), *[p[f].alias(f) for f in fields[1:]]),
+        )
+        links = F.zip_with(
+            F.slice(starts, 1, F.size(heads)), heads,
+            lambda at, h: F.struct(at.cast("bigint").alias("start"), h.alias("head")),
+        )
+        return F.transform(
+            F.array_sort(links),
+            lambda r: sym.route(
+                F.upper(r["head"]["method"]), F.btrim(r["head"]["path"], F.lit('"')), r["head"]["handler"],
+                F.shiftright(r["start"], 32),
+            ),
+        )
+
+    kind = f"array<struct<{','.join(f + ':string' for f in fields)}>>"
+    return let(parts, ordered, kind=kind)
+
+
+def routes(bare: Column) -> Column:
+    """Route calls in the order of the syntax tree: outer calls before those in their
+    arguments, and of a chain of calls the last link first, all on the chain's first line."""
+
+    def plain(text: Column, first: Column) -> Column:
+        return F.transform(
+            matches(text, _ROUTE, ("(",), ahead=3),
+            lambda h: sym.route(
+                F.upper(group(h, _ROUTE_HEAD, 1)),
+                F.btrim(group(h, _ROUTE_HEAD, 2), F.lit('"')),
+                h["ahead"],
+                h["line"] + first - 1,
+            ),
+        )
+
+    def one(h: Column) -> Column:
+        chained = h["text"].rlike(_CHAINED)
+        return F.when(chained, _chained_routes(h["text"], h["line"])).otherwise(plain(h["text"], h["line"]))
+
+    def either(masked: Column) -> Column:
+        by_statement = F.flatten(F.transform(matches(masked, _STATEMENT, ("(",)), one))
+        return F.when(masked.rlike(_CHAINED), by_statement).otherwise(plain(masked, F.lit(1)))
+
+    return let(_without_raw_strings(bare), either, when=bare.contains("("))

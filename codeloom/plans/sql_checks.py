@@ -254,10 +254,15 @@ def _ctes(corpus: str, plain: str) -> dict[str, str]:
         "SELECT project, path, line, concat_ws('.', receiver, name) AS export FROM go_functions WHERE exported UNION ALL "
         "SELECT project, path, line, name FROM go_types WHERE exported)"
     )
+    # a line behind a dot goes on with the chain of the line before; its last link comes first
     c["go_routes"] = (
-        f"SELECT project, path, {_ord('line')}, upper(verb) AS method, regexp_extract(txt, '\"([^\"]*)\"', 1) AS route, "
-        "CASE verb WHEN 'HandleFunc' THEN 't.handle' WHEN 'Handle' THEN 't.last' ELSE '' END AS handler, line FROM ("
-        r"SELECT *, regexp_extract(txt, '\.(Get|Handle|HandleFunc)\(\"', 1) AS verb FROM go_lines) WHERE verb <> ''"
+        f"SELECT project, path, {_ord('head, below')}, upper(verb) AS method, regexp_extract(txt, '\"([^\"]*)\"', 1) AS route, "
+        "CASE verb WHEN 'HandleFunc' THEN 't.handle' WHEN 'Handle' THEN 't.last' "
+        r"ELSE regexp_extract(txt, ', (h\.\w+)\)', 1) END AS handler, head AS line FROM ("
+        r"SELECT *, -line AS below, regexp_extract(txt, '(?:\.|^\t\t)(Get|Post|Put|Handle|HandleFunc)\(\"', 1) AS verb, "
+        "max(first) OVER (PARTITION BY project, path ORDER BY line) AS head FROM ("
+        "SELECT *, CASE WHEN lag(txt, 1, '') OVER (PARTITION BY project, path ORDER BY line) NOT LIKE '%).' THEN line END AS first "
+        "FROM go_lines)) WHERE verb <> ''"
     )
 
     # all languages together

@@ -146,6 +146,11 @@ _GO = [
         '\tq := r.Header.Get("X-Id")\n}',
     ),
     ("k % 3 = 2", "func (t T[[k]]) handle() {\n\tmux.Handle(\"/m[[k]]\", wrap(t), t.last)\n\tr.Get(path, h)\n}"),
+    (
+        "k % 5 = 1",
+        "func chain[[k]]() {\n\tr.With(auth).Get(\"/c[[k]]\", h.get).\n"
+        '\t\tPost("/c[[c]]", wrap(h)).\n\t\tPut("/p[[c]]", h.put)\n\tr.Handle("/s[[k]]", t.last)\n}',
+    ),
     ("k % 4 = 2", "func multi[[k]](\n\tctx context.Context,\n\tcb func(int) error,\n) error {\n\treturn nil\n}"),
     ("k % 6 = 0", "func Map[T any](xs []T) []T {\n\treturn xs\n}"),
     # syntax errors: an open body, an open literal, a wrong bracket, a statement by itself

@@ -36,12 +36,24 @@ _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _VERSION = b"WARC/1.1\r\n"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+# Names of stores that Arrow does not know, and the ones it has for them.
+_STORES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host under which Spark itself finds it: one without a
+    scheme lies on the default file system, which on a cluster is not the local one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
 
 def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The file system of a shared folder, from tasks and the driver alike."""
-    if "://" in path or path.startswith("file:"):
-        return arrow_fs.FileSystem.from_uri(path)
-    return arrow_fs.LocalFileSystem(), path
+    """The file system of a shared folder, from tasks and the driver alike. Schemes that
+    only Hadoop knows are opened by the common name of their store."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return arrow_fs.LocalFileSystem(), path
+    return arrow_fs.FileSystem.from_uri(_STORES.get(scheme, scheme) + colon + rest)
 
 
 # ---- records
@@ -213,8 +225,10 @@ def write_archives(records: DataFrame, root: str, frame_bytes: int = FRAME_BYTES
 
     Bundles carry the number of the task attempt in their names, and only those of
     attempts that Spark committed are in the index: a lost or repeated task leaves at
-    most a file that nobody reads. A task holds one frame besides an Arrow batch.
+    most a file that nobody reads. A task holds one frame besides an Arrow batch. ``root``
+    is qualified by the driver, so that all tasks write where Spark would.
     """
+    root = qualified(records.sparkSession, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -82,3 +82,20 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_folders_are_those_that_spark_finds(spark, archive, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/a") == f"file:{tmp_path}/a"
+    assert warc.qualified(spark, f"file://{tmp_path}/a").startswith("file:/")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://cluster/")
+    conf.set("fs.viewfs.mounttable.cluster.link./shared", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/shared/a") == "viewfs://cluster/shared/a"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert {r["file"].split(":")[0] for r in archive.select("file").collect()} == {"file"}
+    for path in (f"file:{tmp_path}/x", f"file://{tmp_path}/x", f"{tmp_path}/x"):
+        system, local = warc.open_fs(path)
+        assert system.type_name == "local" and local == f"{tmp_path}/x"

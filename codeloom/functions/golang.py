@@ -16,7 +16,20 @@ from codeloom.functions import symbols as sym
 from codeloom.functions.text import captures, group, let, matches
 
 _ID = r"[\p{L}_][\p{L}\p{Nd}_]*+"
-_BALANCED = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+"
+_DEPTH = 8
+
+
+def _inside(opening: str, closing: str, but: str = "") -> str:
+    """What may stand between two brackets of one kind that hold pairs of it, so many deep."""
+    run = rf"[^{opening}{closing}{but}]"
+    found = run + "*+"
+    for _ in range(_DEPTH):
+        found = rf"(?:{run}++|{opening}{found}{closing})*+"
+    return found
+
+
+_BALANCED, _SQUARE, _CURLY = _inside(r"\(", r"\)"), _inside(r"\[", r"\]"), _inside(r"\{", r"\}")
+_CURLY_LINE = _inside(r"\{", r"\}", r"\n")
 
 # Tiles a file completely: comments, strings, runes, plain runs, single leftovers.
 _TOKEN = (
@@ -31,12 +44,12 @@ _IMPORT = rf"""(?md)^import{P.S}*+(?:\(([^)]*+)\)|(?:[\p{{L}}\w.]++{P.S}++)?("[^
 _LITERAL = r'"[^"\n]*+"|`[^`]*+`'
 
 _FUNC = (
-    rf"(?md)^func{P.S}*+(?:\(([^()]*+)\){P.S}*+)?({_ID})(?:\[[^\]]*+\])?{P.S}*+\(({_BALANCED})\)"
-    rf"[\t ]*+(?:\(({_BALANCED})\)|((?:(?:interface|struct)[\t ]*+\{{[^{{}}]*+\}}|[^{{}}\n])*+))"
+    rf"(?md)^func{P.S}*+(?:\(([^()]*+)\){P.S}*+)?({_ID})(?:\[{_SQUARE}\])?{P.S}*+\(({_BALANCED})\)"
+    rf"[\t ]*+(?:\(({_BALANCED})\)|((?:(?:interface|struct)[\t ]*+\{{{_CURLY}\}}|[^{{}}\n])*+))"
 )
 _TYPE = (
-    rf"(?md)^type[\t ]++({_ID})(?:\[[^\]\n]*+\])?[\t ]++(?:=[\t ]*+)?"
-    r"(?:(struct|interface)[\t ]*+\{([^{}\n]*+\}|(?s:.*?)^\})|[^\n]++)"
+    rf"(?md)^type[\t ]++({_ID})(?:\[{_inside(r'\[', r'\]', r'\n')}\])?[\t ]++(?:=[\t ]*+)?"
+    rf"(?:(struct|interface)[\t ]*+\{{({_CURLY_LINE}\}}|(?s:.*?)^\}})|[^\n]++)"
 )
 _FIELDS = rf"""(?md)^\t({_ID}(?:,[\t ]*+{_ID})*+)[\t ]++(?=[^\t\n `"])"""
 _METHODS = rf"(?md)^\t({_ID})\("
@@ -157,8 +170,8 @@ def exported(name: Column) -> Column:
 
 def type_text(text: Column) -> Column:
     """The short form of one type expression; shapes without one are ``unknown``."""
-    flat = F.regexp_replace(text, F.lit(r"interface ?\{[^{}]*+\}"), F.lit("interface{}"))
-    flat = F.regexp_replace(flat, F.lit(r"(?<![\p{L}\p{Nd}_])\[[^\[\]]*+\]"), F.lit("[]"))
+    flat = F.regexp_replace(text, F.lit(rf"interface ?\{{{_CURLY}\}}"), F.lit("interface{}"))
+    flat = F.regexp_replace(flat, F.lit(rf"(?<![\p{{L}}\p{{Nd}}_])\[{_SQUARE}\]"), F.lit("[]"))
     prefix = rf"^((?:\*|\.\.\.|\[\]|map\[(?:\*|\[\])*+{_ID}(?:\.{_ID}|\{{\}})?+\])*+)"
 
     def short(flat: Column) -> Column:
@@ -180,7 +193,7 @@ def _plain_or_unknown(rest: Column) -> Column:
 
 def group_types(params: Column) -> Column:
     """One type per parameter group: ``a, b int`` is one ``int``."""
-    piece = r"(?:[^,()\[\]{}]++|\((?:[^()]++|\([^()]*+\))*+\)|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\]|\{[^{}]*+\})++"
+    piece = rf"(?:[^,()\[\]{{}}]++|\({_BALANCED}\)|\[{_SQUARE}\]|\{{{_CURLY}\}})++"
     one_line = F.regexp_replace(params, F.lit(P.S + "++"), F.lit(" "))
     pieces = F.filter(
         F.transform(
@@ -242,7 +255,9 @@ def types(flat: Column) -> Column:
     def build(h: Column) -> Column:
         name, kind, body = (group(h, _TYPE, i) for i in (1, 2, 3))
         lines = F.when(body.contains("\n"), body).otherwise(
-            F.regexp_replace(body, F.lit(r"(?:^|;)[\t ]*+"), F.lit("\n\t"))
+            F.regexp_replace(
+                F.regexp_replace(body, F.lit(rf"\{{{_CURLY}\}}"), F.lit("{}")), F.lit(r"(?:^|;)[\t ]*+"), F.lit("\n\t")
+            )
         )
         members = F.when(
             kind == "struct",

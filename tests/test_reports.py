@@ -197,3 +197,13 @@ def test_lines_of_one_project_span_files_in_order(spark, tmp_path):
     assert len([n for n in os.listdir(folder) if n.startswith("part-")]) > 1
     expected = [str(f + 100 * s) for f in range(100) for s in range(200)]
     assert read_text(folder).split() == expected
+
+
+def test_outputs_leave_compressed_files_and_no_staged_lines(spark):
+    from codeloom.plans import registry
+    from codeloom.session import run_folder
+
+    lines = registry.QUERIES["write_outputs"](spark, "/root/testdata/sf0.001")
+    files = [f for f in lines.inputFiles() if "/outputs-" in f]
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    assert not [n for n in os.listdir(run_folder(spark)) if "-lines-" in n]

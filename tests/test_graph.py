@@ -160,6 +160,26 @@ def test_imports_unfold_to_at_most_a_gram_a_character(spark):
         assert set(got[t]) == {t[i : i + 4] for i in range(len(t) - 3)} and len(got[t]) <= len(t)
 
 
+def test_grams_are_not_shared_by_more_directories_of_a_larger_project(spark):
+    keys = spark.range(100_000, 120_000).selectExpr(
+        "'mono' AS project", "concat('services/s', id) AS key", "1 AS rule",
+        "named_struct('order', -16, 'path', concat('services/s', id, '/index.ts')) AS best",
+    )
+    shared = graph.gram_index(keys).groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert shared == 1  # of grams of four characters some twenty directories share one
+
+
+def test_long_names_and_paths_are_found(spark):
+    long = "n" * 70
+    files = [("p", f"{d}/x.py") for d in (f"a{long}", f"b{long}", f"deep/{long}/q{long}z", "five5", "four")]
+    imports = [("p", t) for t in (f"m/b{long}", f"m/a{long}", f"deep/{long}/q{long}z/tail", long, "xfive5", "four/x", "none")]
+    nodes = spark.createDataFrame(files, "project string, path string")
+    wanted = spark.createDataFrame(imports, "project string, `import` string")
+    rows = graph.resolve_package(wanted, nodes).collect()
+    found = {(r.project, getattr(r, "import")): r.to_path for r in rows}
+    assert found == brute_force_package(files, imports) and len(found) == 5
+
+
 def test_joins_stay_equi_joins(spark, nodes_of):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     nodes = nodes_of(SAMPLE)

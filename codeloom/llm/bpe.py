@@ -2,7 +2,8 @@
 
 A text is cut into words by the vocabulary's pattern. A word that is a token is that
 token; in any other one a segment tree over its byte positions holds the rank of the
-pair that starts there, and at its root the leftmost pair of the lowest rank. A merge
+pair that starts there, and at its root the leftmost pair of the lowest rank. Its nodes
+have many children, so that the tree of a usual word is one level. A merge
 changes three positions (the pair, the byte it swallows, the live neighbour before),
 so each costs a walk of logarithmic length, also in a word of many megabytes.
 """
@@ -24,6 +25,8 @@ from codeloom.llm.common import id_and_text, map_texts
 # Words whose ids a Python worker remembers, and the longest such word in characters:
 # together they bound its memory. What is forgotten is encoded anew.
 MEMORY_WORDS, MEMORY_CHARS = 200_000, 64
+# Children of a node of the tree: a minimum of so many numbers takes one call.
+FAN_OUT = 32
 # Long texts are cut into words in parts of so many characters, at places where the
 # pattern cuts them anyway.
 PART_CHARS = 1_000_000
@@ -46,51 +49,44 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     Leaf ``i`` of the tree is ``rank << bits | i`` for the pair that starts at byte
     ``i``, so that a minimum is the lowest rank and, of equal ones, the leftmost.
     Positions that a merge has swallowed, and pairs that are no token, hold ``none``.
-    ``longest`` is the longest token's length, which bounds what is looked up.
+    A node has FAN_OUT children, and the last level is the root's. ``longest`` is the
+    longest token's length, which bounds what is looked up.
     """
     n, get = len(word), ranks.get
     if n == 1:
         return [ranks[word]]
+    last = n - 1  # no pair starts at the last byte
     bits = n.bit_length()
-    size = 1 << (n - 2).bit_length()  # leaves: the n - 1 pairs, rounded up
     none, mask = 1 << (bits + 40), (1 << bits) - 1
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        rank = get(word[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank << bits | i
-    for i in range(2 * size - 2, 0, -2):
-        left, right = tree[i], tree[i + 1]
-        tree[i >> 1] = left if left < right else right
+    leaves = [none if (rank := get(word[i : i + 2])) is None else rank << bits | i for i in range(last)]
+    top, levels = leaves, []
+    while len(top) > FAN_OUT:
+        below, top = top, [min(top[at : at + FAN_OUT]) for at in range(0, len(top), FAN_OUT)]
+        levels.append((below, top))
     after = list(range(1, n + 1))  # start of the next live part; n behind the last one
     before = list(range(-1, n))
-    while (least := tree[1]) != none:
+    while (least := min(top)) != none:
         i = least & mask
-        gone = after[i]
+        gone, start = after[i], before[i]
         end = after[i] = after[gone]
         before[end] = i
         # the swallowed byte starts no pair any more, the merged part and its neighbour
-        # before start others; the highest position first
-        for start in (gone, i, before[i]):
-            value = none
-            if start < 0 or start == n - 1:
-                continue  # nothing before the word, and no pair starts at its last byte
-            if start != gone:
-                middle = after[start]
-                if middle < n and after[middle] - start <= longest:
-                    rank = get(word[start : after[middle]])
-                    if rank is not None:
-                        value = rank << bits | start
-            at = size + start
-            tree[at] = value
-            while at > 1:
-                other = tree[at ^ 1]
-                if other < value:
-                    value = other
-                at >>= 1
-                if tree[at] == value:
-                    break
-                tree[at] = value
+        # before start others
+        if gone < last:
+            leaves[gone] = none
+        leaves[i] = none
+        if end < n and (stop := after[end]) - i <= longest and (rank := get(word[i:stop])) is not None:
+            leaves[i] = rank << bits | i
+        if start >= 0:
+            leaves[start] = none
+            if end - start <= longest and (rank := get(word[start:end])) is not None:
+                leaves[start] = rank << bits | start
+        if levels:
+            changed = {max(start, 0), i, min(gone, last - 1)}
+            for below, above in levels:
+                changed = {at // FAN_OUT for at in changed}
+                for at in changed:
+                    above[at] = min(below[at * FAN_OUT : (at + 1) * FAN_OUT])
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : after[i]]])
@@ -100,10 +96,12 @@ def merge(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 class Encoder(dict):
     """Texts to ids, by the ranks of a file. As a dictionary it maps words to their ids
-    and remembers at most ``MEMORY_WORDS`` of them."""
+    and remembers at most ``MEMORY_WORDS`` of them, half of them in ``older``: when the
+    newer half is full the older one is forgotten, but for what has been met since."""
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.ranks = read_ranks(path)
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
@@ -115,12 +113,15 @@ class Encoder(dict):
         return _encoders[path, pattern]
 
     def __missing__(self, text: str) -> bytes:
-        raw = text.encode("utf-8")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else merge(raw, self.ranks, self.longest)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(text)
+        if out is None:
+            raw = text.encode("utf-8")
+            whole = self.ranks.get(raw)
+            ids = [whole] if whole is not None else merge(raw, self.ranks, self.longest)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            if 2 * len(self) >= MEMORY_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[text] = out
         return out

@@ -114,3 +114,15 @@ def test_query_on_the_given_table(spark, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+
+
+def test_words_met_again_outlive_a_full_memory(monkeypatch):
+    calls = []
+    plain = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word, *rest: calls.append(word) or plain(word, *rest))
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 8)
+    encoder = bpe.Encoder(PATH, PATTERN)
+    for i in range(40):
+        encoder.encode(f"qzxjvk xq{chr(97 + i % 26)}{chr(97 + i // 26)}zxq".encode())
+        assert len(encoder) + len(encoder.older) <= 8
+    assert calls.count(b"qzxjvk") == 1 and len(calls) > 20

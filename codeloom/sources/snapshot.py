@@ -10,6 +10,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from codeloom.session import COMPRESSION
+
 KEYS = ("project", "path")
 
 
@@ -88,8 +90,16 @@ class SnapshotStore:
     def _bucketed(self, df: DataFrame) -> bool:
         return bool(self.buckets) and set(KEYS) <= set(df.columns)
 
-    def save(self, expected: int | None = None, **tables: DataFrame) -> int:
+    def deal(self, df: DataFrame) -> DataFrame:
+        """``df``, where it is bucketed, with its rows dealt out as the buckets are.
+
+        Dealing out what a wider table is computed from, row by row, spares the shuffle of
+        that table: name it in ``dealt`` when it is saved."""
+        return df.repartition(self.buckets, *KEYS) if self._bucketed(df) else df
+
+    def save(self, expected: int | None = None, dealt: tuple[str, ...] = (), **tables: DataFrame) -> int:
         """Write the tables, by name, as the next version, whose number is returned.
+        Those named in ``dealt`` come from rows dealt out by :meth:`deal`.
 
         With ``expected`` the save is refused by ``Conflict`` unless the newest version
         is that one (0: none) when it is committed.
@@ -100,10 +110,11 @@ class SnapshotStore:
             if self._bucketed(df):
                 # dealt out as the buckets are, so that a bucket is one file
                 table = f"snapshot_{name}_{folder}"
-                dealt = df.repartition(self.buckets, *KEYS)
-                dealt.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", path).saveAsTable(table)
+                rows = df if name in dealt else self.deal(df)
+                writer = rows.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS)
+                writer.option("path", path).option("compression", COMPRESSION).saveAsTable(table)
             else:
-                df.write.parquet(path)
+                df.write.parquet(path, compression=COMPRESSION)
         version = (self.latest() or 0) + 1
         while True:
             if expected is not None and version != expected + 1:

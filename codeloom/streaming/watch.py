@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.config import AnalysisConfig
 from codeloom.operators import extract, scan
+from codeloom.session import COMPRESSION
 from codeloom.sources.snapshot import SnapshotStore
 
 VERSION_SCHEMA = "project string, path string, seq long, content string"
@@ -60,7 +61,8 @@ class WatchStore:
         covered = self._covered()
         if batch_id <= covered:
             return
-        self._extracted(batch).write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch_id}")
+        extracted = self._extracted(batch).write.mode("overwrite")
+        extracted.parquet(f"{self.root}/batches/batch={batch_id}", compression=COMPRESSION)
         if batch_id - covered >= COMPACT_EVERY:
             self.compact()
 
@@ -138,7 +140,7 @@ class WatchStore:
         if old is not None:
             rows = rows.unionByName(old)
         newest = self._newest(rows).withColumn("bucket", self._bucket())
-        newest.write.partitionBy("bucket").parquet(f"{self.root}/state/{folder}")
+        newest.write.partitionBy("bucket").parquet(f"{self.root}/state/{folder}", compression=COMPRESSION)
         following = folders | {b: folder for b in touched}
         manifest = [(b, f, covered) for b, f in following.items()] or [(None, None, covered)]
         table = self.spark.createDataFrame(manifest, "bucket int, folder string, covered long").coalesce(1)

@@ -233,6 +233,19 @@ def test_bucketed_tables_join_without_an_exchange_of_wide_rows(spark, files, tmp
         assert found[name] and not [x for x in found[name] if "content#" in x or "functions#" in x]
 
 
+def test_nodes_of_dealt_texts_are_saved_without_an_exchange(spark, files, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "snap"), 8)
+    sources = scan.source_files(files(MOVES_BEFORE))
+    nodes = incremental.nodes_with_digest(store.deal(sources))
+    assert not [x for x in exchanged(nodes) if "functions#" in x]
+    store.save(dealt=("nodes",), nodes=nodes)
+    written = list((tmp_path / "snap" / "nodes").glob("*/part-*"))
+    assert len({f.name.split("_")[-1] for f in written}) == len(written)  # a file a bucket
+    plain = incremental.nodes_with_digest(sources)
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(store.load("nodes")) == rows(plain)
+
+
 def test_other_sessions_read_bucketed_snapshots(spark, files, tmp_path):
     store = SnapshotStore(spark, str(tmp_path / "snap"), 4)
     store.save(files=files(MOVES_AFTER), other=spark.range(3))

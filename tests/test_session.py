@@ -28,3 +28,10 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.stage_root(Cluster)
+
+
+def test_staged_tables_are_written_small(spark, tmp_path):
+    session.stage_at(spark.range(10), str(tmp_path / "t"))
+    assert [f.name for f in (tmp_path / "t").glob("part-*")] and all(
+        f.name.endswith(".zstd.parquet") for f in (tmp_path / "t").glob("part-*")
+    )

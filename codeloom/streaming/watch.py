@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.config import AnalysisConfig
 from codeloom.operators import extract, scan
-from codeloom.session import COMPRESSION
+from codeloom.session import COMPRESSION, stage_at
 from codeloom.sources.snapshot import SnapshotStore
 
 VERSION_SCHEMA = "project string, path string, seq long, content string"
@@ -28,7 +28,8 @@ class WatchStore:
     newest row per file.
 
     A batch only ever writes its own folder, so replaying it changes nothing,
-    and a version that arrives late cannot displace a newer one. A fold writes the
+    and a version that arrives late cannot displace a newer one: it is left out of its
+    batch before its text is read for symbols. A fold writes the
     buckets that its batches touch anew, commits which folder holds which bucket, and then
     deletes what the fold before it has superseded: what a reader of the last but one
     state may still read stays until the next fold.
@@ -43,16 +44,46 @@ class WatchStore:
         self.buckets = buckets
         self.base = SnapshotStore(spark, f"{self.root}/base")
 
-    def _extracted(self, versions: DataFrame) -> DataFrame:
-        accepted = (
-            scan.source_files(versions, self.config)
-            .withColumn("deleted", F.col("content").isNull() | extract.is_broken())
-            .withColumn("digest", F.xxhash64("content"))
+    def _extracted(self, accepted: DataFrame) -> DataFrame:
+        versions = accepted.withColumn("deleted", F.col("content").isNull() | extract.is_broken()).withColumn(
+            "digest", F.xxhash64("content")
         )
-        return extract.file_nodes(accepted, keep=KEPT, broken=True).withColumn("row", F.monotonically_increasing_id())
+        return extract.file_nodes(versions, keep=KEPT, broken=True).withColumn("row", F.monotonically_increasing_id())
+
+    def _in_time(self, accepted: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        """``accepted`` without the versions that a newer one of an earlier batch outranks.
+
+        Where all versions are newer than what the store holds, two numbers tell so. Else
+        keys are compared, and the shorter list of versions, late ones or those in time,
+        meets the texts. Of equal ``seq`` all stay.
+        """
+        covered, folders = self._manifest(self.base.latest())
+        parts = [p for p in (self._log(covered, batch_id)[1], self._state(folders)) if p is not None]
+        if not parts:
+            return accepted
+        held = reduce(DataFrame.unionByName, [p.select(*KEYS, F.col("seq").alias("held")) for p in parts])
+        key = [*KEYS, "seq"]
+        # a batch is read anew, texts and all, whenever it is used: its keys are kept
+        arrived = stage_at(accepted.select(*key), f"{folder}/arrived")
+        newest, oldest = held.agg(F.max("held")).first()[0], arrived.agg(F.min("seq")).first()[0]
+        if newest is None or oldest is None or oldest >= newest:
+            return accepted
+        # one row per file first, so that files of many versions do not meet pair by pair
+        held = held.join(arrived.select(*KEYS), KEYS, "left_semi").groupBy(*KEYS).agg(F.max("held").alias("held"))
+        outranked = arrived.join(held, KEYS).filter("held > seq").select(*key).distinct()
+        late = stage_at(outranked, f"{folder}/late")
+        n_late = late.count()
+        if not n_late:
+            return accepted
+        if 2 * n_late <= arrived.count():
+            return accepted.join(late, key, "left_anti")
+        kept = stage_at(arrived.join(late, key, "left_anti"), f"{folder}/kept")
+        same = reduce(Column.__and__, [accepted[name].eqNullSafe(kept[name]) for name in key])
+        return accepted.join(kept, same, "left_semi")
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Extract one micro-batch of file versions, without a shuffle.
+        """Extract one micro-batch of file versions, but for those that are outranked
+        already. Without late versions nothing is shuffled.
 
         Null content marks a deletion, which is kept so that it outranks the
         versions before it; so is a version with syntax errors, which has no node. Every COMPACT_EVERY batches the log is folded. A batch that
@@ -61,8 +92,11 @@ class WatchStore:
         covered = self._covered()
         if batch_id <= covered:
             return
-        extracted = self._extracted(batch).write.mode("overwrite")
+        arrivals = f"arrivals/{uuid.uuid4().hex}"
+        accepted = self._in_time(scan.source_files(batch, self.config), batch_id, f"{self.root}/{arrivals}")
+        extracted = self._extracted(accepted).write.mode("overwrite")
         extracted.parquet(f"{self.root}/batches/batch={batch_id}", compression=COMPRESSION)
+        self._delete(arrivals)
         if batch_id - covered >= COMPACT_EVERY:
             self.compact()
 
@@ -86,10 +120,11 @@ class WatchStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _log(self, after: int) -> tuple[int, DataFrame | None]:
-        """The last batch there is, and the rows of those after the given one."""
+    def _log(self, after: int, before: int | None = None) -> tuple[int, DataFrame | None]:
+        """The last batch there is, and the rows of those after the given one; with
+        ``before``, only of batches before that."""
         batches = sorted(int(name.split("=")[1]) for name in self._folders("batches") if name.startswith("batch="))
-        batches = [b for b in batches if b > after]
+        batches = [b for b in batches if b > after and (before is None or b < before)]
         if not batches:
             return after, None
         read = [
@@ -122,7 +157,7 @@ class WatchStore:
         parts = [p for p in (self._log(covered)[1], self._state(folders)) if p is not None]
         if not parts:
             nothing = self.spark.createDataFrame([], VERSION_SCHEMA)
-            parts = [self._extracted(nothing).withColumn("batch", F.lit(0).cast("long"))]
+            parts = [self._extracted(scan.source_files(nothing, self.config)).withColumn("batch", F.lit(0).cast("long"))]
         rows = self._newest(reduce(DataFrame.unionByName, parts))
         return rows.filter(~F.col("deleted")).drop("deleted", "digest", "batch", "row")
 

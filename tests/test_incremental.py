@@ -346,3 +346,26 @@ def test_a_version_with_syntax_errors_outranks_the_one_before_it(watched):
     assert feed(("p", "a.go", 1, "package a\nfunc F() {}\n")) == {"a.go": (1, ["F"])}
     assert feed(("p", "a.go", 2, "package a\nfunc F() {\n")) == {}
     assert feed(("p", "a.go", 3, "package a\nfunc G() {}\n")) == {"a.go": (3, ["G"])}
+
+
+def test_outranked_versions_are_not_extracted(spark, watched):
+    store, feed = watched
+    rows = [("p", f"f{i}.py", 5, f"def f{i}(): pass") for i in range(6)]
+    state = feed(*rows, ("p", "gone.py", 5, None), (None, "n.py", 5, "def n(): pass"))
+    late = [("p", f"f{i}.py", 4, f"def old{i}(): pass") for i in range(6)]
+    # most versions late; one equal, one newer, one new file, null keys and a null seq
+    in_time = [("p", "f0.py", 5, "def g0(): pass"), ("p", "f1.py", 6, "def g1(): pass"), ("p", "new.py", 1, "def h(): pass")]
+    odd = [(None, "n.py", 4, "def m(): pass"), ("p", "f2.py", None, "def g2(): pass")]
+    got = feed(*late, *in_time, *odd, ("p", "gone.py", 4, "def gone(): pass"))
+    assert got["f1.py"] == (6, ["g1"]) and got["new.py"] == (1, ["h"]) and got["n.py"] == state["n.py"]
+    assert {p: got[p] for p in ("f2.py", "f3.py", "f4.py", "f5.py")} == {p: state[p] for p in ("f2.py", "f3.py", "f4.py", "f5.py")}
+    assert "gone.py" not in got and got["f0.py"][0] == 5
+    kept = lambda batch: sorted((r.path, r.seq or 0) for r in spark.read.parquet(f"{store.root}/batches/batch={batch}").collect())
+    assert kept(1) == sorted([(r[1], r[2] or 0) for r in in_time + odd])
+    # few late ones, against the folded state and the log; then none at all that is in time
+    store.compact()
+    more = [("p", f"m{i}.py", 1, f"def m{i}(): pass") for i in range(5)]
+    got = feed(("p", "f1.py", 5, "def late(): pass"), *more)
+    assert got["f1.py"] == (6, ["g1"]) and kept(2) == [(f"m{i}.py", 1) for i in range(5)]
+    assert feed(("p", "m0.py", 0, "def late(): pass"), ("p", "f1.py", 1, None)) == got and kept(3) == []
+    assert not os.listdir(os.path.join(store.root, "arrivals"))

@@ -19,6 +19,8 @@ from codeloom.session import stage
 MIN_COSINE = 0.5
 # Least cosine of one passage: a line has few words, and half of them are in any notice.
 PASSAGE_COSINE = 0.7
+# Up to so many matching passages are broadcast to the files they stand in.
+BROADCAST_ROWS = 100_000
 
 
 # Short notices by which licences are known.
@@ -209,11 +211,14 @@ def passage_matches(
         for i, t in enumerate(every)
     ])
     scored = dots.select("id", F.explode(F.filter(cosines, lambda c: c["cosine"] >= least)).alias("c")).select("id", "c.*")
-    near = (
-        scored.groupBy("id", "form").agg(_best().alias("b")).select("id", "form", "b.license", "b.cosine")
+    near = stage(
+        scored.groupBy("id", "form").agg(_best().alias("b")).select("id", "form", "b.license", "b.cosine"),
+        "license-passages",
     )
+    # one header may stand in most files: a join by its id would bring them all to one task
+    few = near.count() <= BROADCAST_ROWS
     return (
-        placed.select("path", "id").join(near, "id")
+        placed.select("path", "id").join(F.broadcast(near) if few else near, "id")
         .groupBy("path", "form").agg(_best().alias("b")).select("path", "b.license", "b.cosine", "form")
     )
 

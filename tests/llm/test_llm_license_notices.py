@@ -123,3 +123,8 @@ def test_long_files(spark):
         ("a.c", "int x;\n" * 100_000 + "\n" + comment(HOLDER, gnu("GPL-2.0"))), ("b/LICENSE", "word license " * 50_000),
         ("c.txt", "\n" * 100_000 + " " * 100_000 + "Released under the MIT License.")])
     assert [got[p]["license"] for p in ("a.c", "b/LICENSE", "c.txt")] == ["GPL-2.0", None, "MIT"]
+
+
+def test_many_passages_are_joined_by_a_shuffle(spark, real, monkeypatch):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    assert scanned(spark, [(path, text) for path, (text, _) in REAL.items()]) == real

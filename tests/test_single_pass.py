@@ -39,6 +39,18 @@ def staged(spark, sf_dir):
     return set(Workspace.of(spark, sf_dir)._tables)
 
 
+@pytest.mark.parametrize("name", ["mermaid_lines", "resolve_package_with_root"])
+def test_graph_queries_extract_what_they_read(spark, tables, name):
+    alone = rows_of(registry.QUERIES[name](spark, tables))
+    kept = staged(spark, tables)
+    assert "file-nodes" not in kept and "corpus" not in kept
+    Workspace.forget(spark, tables)
+    w = Workspace.of(spark, tables)
+    w.nodes
+    assert rows_of(registry.QUERIES[name](spark, tables)) == alone != []
+    assert not {"imports", "graph-symbols"} & staged(spark, tables)
+
+
 def test_symbols_are_taken_from_what_is_staged(spark, tables):
     w = Workspace.of(spark, tables)
     w.graph_nodes

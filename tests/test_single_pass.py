@@ -57,3 +57,12 @@ def test_symbols_are_taken_from_what_is_staged(spark, tables):
     w.edges
     assert staged(spark, tables) == {"graph-symbols", "edges"}
     assert "functions" in w.symbols("functions").columns
+
+
+def test_merge_extracts_each_revision_from_the_tables(spark, tables):
+    alone = rows_of(registry.QUERIES["merge_nodes"](spark, tables))
+    assert not {"corpus", "next-corpus", "file-nodes"} & staged(spark, tables)
+    w = Workspace.of(spark, tables)
+    fresh = extract.file_nodes(scan.source_files(w.next_corpus))
+    gone = w.nodes.join(fresh, ["project", "path"], "left_anti")
+    assert rows_of(registry._counts(fresh.unionByName(gone))) == alone != []

@@ -66,3 +66,22 @@ def test_merge_extracts_each_revision_from_the_tables(spark, tables):
     fresh = extract.file_nodes(scan.source_files(w.next_corpus))
     gone = w.nodes.join(fresh, ["project", "path"], "left_anti")
     assert rows_of(registry._counts(fresh.unionByName(gone))) == alone != []
+
+
+def test_context_lines_are_not_shuffled(spark, tables, monkeypatch):
+    w = Workspace.of(spark, tables)
+    nodes, edges = w.nodes, w.edges
+    small = report.context_json(nodes, edges, "now")
+    assert "_salt" not in plan(small)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    large = report.context_json(nodes, edges, "now")
+    assert "_salt" in plan(large)
+    assert rows_of(small) == rows_of(large) != []
+
+
+def test_file_objects_are_parsed_once(spark):
+    text = '{"path":"a","language":"Go","imports":["x","y"],"types":[{"line":1}]}'
+    df = spark.createDataFrame([(text,), ("," + text,), ('],"graph":{',)], "text string")
+    counted = df.select(registry._counted_file(df["text"]).alias("text"))
+    assert [r[0] for r in counted.collect()] == ["a|Go|0|2|0|0|1", ",a|Go|0|2|0|0|1", '],"graph":{']
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1

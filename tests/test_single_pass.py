@@ -85,3 +85,17 @@ def test_file_objects_are_parsed_once(spark):
     counted = df.select(registry._counted_file(df["text"]).alias("text"))
     assert [r[0] for r in counted.collect()] == ["a|Go|0|2|0|0|1", ",a|Go|0|2|0|0|1", '],"graph":{']
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_written_lines_are_numbered_where_they_are_read(spark, tables):
+    df = registry.QUERIES["write_outputs"](spark, tables)
+    assert "Window" not in plan(df) and "row_number" not in plan(df)
+    found = {}
+    for project, kind, line, text in df.collect():
+        found.setdefault((project, kind), {})[line] = text
+    assert all(sorted(lines) == list(range(1, len(lines) + 1)) for lines in found.values())
+    w = Workspace.of(spark, tables)
+    lines = report.markdown_report(w.nodes, w.edges, registry.GENERATED_AT).collect()
+    ordered = sorted(lines, key=lambda r: (r.project, r.section, r.file, r.seq))
+    project = next(p for p, kind in found if kind == "md")
+    assert [r.text for r in ordered if r.project == project] == [t for _, t in sorted(found[project, "md"].items())]
